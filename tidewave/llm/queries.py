@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, simhash
+from . import sharding, simhash, sstable, weak_supervision
 from .common import table
 
 N_SHARDS = 16
@@ -20,8 +20,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.store(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_supervision.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
