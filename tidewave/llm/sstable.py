@@ -238,7 +238,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col="doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("_order", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)))
     rows = rows.repartitionByRange("doc_id", "_order").sortWithinPartitions("doc_id", "_order").select("doc_id", "text")
-    schema = "part int, file string, entries long, tokens long"
+    schema = "part long, file string, entries long, tokens long"
     found = rows.mapInArrow(_write_task(folder, tokenizer, end_id), schema).filter("entries > 0").collect()
     return sorted(found, key=lambda r: r["part"])
 
