@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, simhash, sstable, weak_supervision
+from . import mixing, sharding, simhash, sstable, warc, weak_supervision
 from .common import table
 
 N_SHARDS = 16
@@ -34,8 +34,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_supervision.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality, op7_warc, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
