@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, simhash, sstable, warc, weak_supervision
+from . import decontamination, mixing, sharding, simhash, sstable, warc, weak_supervision
 from .common import table
 
 N_SHARDS = 16
@@ -34,6 +34,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_supervision.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality, op7_warc, op9_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality, op6_decontamination, op7_warc, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
