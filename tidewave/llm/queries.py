@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, mixing, sharding, simhash, sstable, warc, weak_supervision
+from . import decontamination, mixing, pii, sharding, simhash, sstable, toxicity, warc, weak_supervision
 from .common import table
 
 N_SHARDS = 16
@@ -42,12 +43,32 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def held_out(doc_id):
+    """Rows whose labels are kept for the test."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Trained on the labelled documents that aren't held out."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    return toxicity.train(table(spark, sf_dir, "documents"), labels)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality, op6_decontamination, op7_warc, op9_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality, op6_decontamination, op7_warc, op8_pii, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,20 +35,23 @@ def _votes(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprint_of(tokens: list[bytes], shingle: int = SHINGLE) -> int:
-    """Of the lower-cased words of a text; no words give zero."""
+def shingle_hashes(tokens: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, joined by single spaces; of all words where there are fewer."""
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     text = memoryview(b" ".join(tokens))
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    width = min(shingle, len(tokens))
-    last = ends[width - 1 :]
+    last = ends[min(shingle, len(tokens)) - 1 :]
     first = np.concatenate(([0], ends[: len(last) - 1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(text[a:b], SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(last)
     )
-    return _votes(hashes)
+
+
+def fingerprint_of(tokens: list[bytes], shingle: int = SHINGLE) -> int:
+    """Of the lower-cased words of a text; no words give zero."""
+    return _votes(shingle_hashes(tokens, shingle)) if tokens else 0
 
 
 def fingerprint(text: Column) -> Column:
