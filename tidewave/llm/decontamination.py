@@ -187,15 +187,18 @@ def find(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text",
     return out
 
 
+def _holds(key: str, items, rate: float):
+    def run(texts: pd.Series) -> pd.Series:
+        matcher = _matcher(key, items, rate)
+        return pd.Series([bool(matcher.find(normalise(t), first=True)) for t in texts], dtype=bool)
+
+    return run
+
+
 def clean(docs: DataFrame, items: DataFrame, *, text_col="text", rate: float = ERROR_RATE) -> DataFrame:
     """The rows of docs whose text holds no item within the budget, with all their columns. Nothing is shuffled."""
     spark = docs.sparkSession
     for block in blocks(items):
-        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def holds(texts: pd.Series, key=key, shared=shared) -> pd.Series:
-            matcher = _matcher(key, shared, rate)
-            return pd.Series([bool(matcher.find(normalise(t), first=True)) for t in texts], dtype=bool)
-
-        docs = docs.filter(~F.pandas_udf(holds, "boolean")(F.col(text_col)))
+        holds = F.pandas_udf(_holds(uuid.uuid4().hex, spark.sparkContext.broadcast(block), rate), "boolean")
+        docs = docs.filter(~holds(F.col(text_col)))
     return docs

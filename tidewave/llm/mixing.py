@@ -63,71 +63,95 @@ def _uniform(doc_id: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(
-    docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, seed: int = 0
-) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies.
-
-    Sources in code point order, null last, weigh `weights`, over and over; together they take as many words as there are.
-    taken is size times copies. Within a source, what is taken differs from the target by half the size of one document at
-    most (and a rounding). Null texts have no words and are taken with whole epochs only; null ids and sources are values
-    like others; repeated rows share a key and follow each other; an empty table gives no rows; reruns agree.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> Column:
+    """A row's id, source, size, hash, key and bucket, as a struct."""
+    text, quality = F.col(text_col), quality_weight(F.col(text_col))
+    key = -F.ln(_uniform(F.col(id_col).cast("long"), seed)) / quality
+    return F.struct(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("_source"),
-        n_words(F.col(text_col)).alias("size"),
-        quality_weight(F.col(text_col)).alias("_quality"),
-        F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(-1)).alias("_crc"),
+        F.col(source_col).cast("string").alias("source"),
+        n_words(text).alias("size"),
+        key.alias("key"),
+        F.floor((F.lit(1.0) - F.exp(-key)) * BUCKETS).cast("int").alias("bucket"),
+        F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("crc"),
     )
-    key = -F.ln(_uniform(F.col("doc_id"), seed)) / F.col("_quality")
-    rows = rows.withColumn("_key", key)
-    rows = rows.withColumn("_bucket", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
-    rows = materialize(rows)
-    sums = materialize(rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum")))
-    budgets = _budgets(spark, sums, weights)
-    return _take(rows, sums, *budgets)
 
 
-def _budgets(spark, sums: DataFrame, weights) -> tuple[DataFrame, int]:
-    """Per source: source_size, target, epochs and the words left for the sample; the number of sources.
+def _meet(left: DataFrame, right: DataFrame, broadcast: bool) -> DataFrame:
+    """Join by source, nulls equal."""
+    right = right.withColumnRenamed("source", "_s")
+    right = F.broadcast(right) if broadcast else right
+    return left.join(right, F.col("_row.source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def plan(rows: DataFrame, weights=WEIGHTS) -> tuple[DataFrame, bool]:
+    """Per source of rows (a struct _row each): source_size, target, _epochs, and up to where the sample goes, the bucket
+    _end and in it the last row _bound; and whether the plan is small enough to be broadcast.
 
     The driver sees one row a source.
     """
-    per = sums.groupBy("_source").agg(F.sum("_sum").alias("n")).collect()
-    per = sorted(per, key=lambda r: (r["_source"] is None, (r["_source"] or "").encode()))
+    spark = rows.sparkSession
+    sums = materialize(rows.groupBy(F.col("_row.source").alias("source"), F.col("_row.bucket").alias("_end")).agg(F.sum("_row.size").alias("_sum")))
+    per = sums.groupBy("source").agg(F.sum("_sum").alias("n")).collect()
+    per = sorted(per, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["n"] for r in per]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(per))], sum(sizes))
     out = []
     for r, target in zip(per, targets, strict=True):
         epochs = min(MAX_EPOCHS, int(target // r["n"])) if r["n"] else 0
-        out.append((r["_source"], r["n"], target, epochs, target - epochs * r["n"]))
-    plans = spark.createDataFrame(out, "_source string, source_size long, target double, _epochs long, _left double")
-    return plans, len(out)
-
-
-def _take(rows: DataFrame, sums: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame:
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnRenamed("_source", "_s")
-        right = F.broadcast(right) if n_sources <= BROADCAST_SOURCES else right
-        return left.join(right, left["_source"].eqNullSafe(right["_s"])).drop("_s")
-
-    before = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        out.append((r["source"], r["n"], target, epochs, target - epochs * r["n"]))
+    small = len(out) <= BROADCAST_SOURCES
+    budgets = spark.createDataFrame(out, "source string, source_size long, target double, _epochs long, _left double")
+    before = W.partitionBy("source").orderBy("_end").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     # The bucket where the budget ends: it begins below the budget and ends at or above it.
-    ends = meet(offsets, budgets).filter((F.col("_offset") < F.col("_left")) & (F.col("_offset") + F.col("_sum") >= F.col("_left")))
-    ends = ends.select("_source", F.col("_bucket").alias("_end"), "_offset")
-    plans = budgets.withColumnRenamed("_source", "_t")
-    plans = plans.join(ends, plans["_t"].eqNullSafe(ends["_source"]), "left").drop("_source").withColumnRenamed("_t", "_source")
-    told = meet(rows, plans)
-    whole = told.filter(F.col("_end").isNull() | (F.col("_bucket") != F.col("_end"))).withColumn(
-        "_in", F.coalesce((F.col("_bucket") < F.col("_end")).cast("long"), F.lit(0))
+    offsets = offsets.select(F.struct("source").alias("_row"), "_end", "_sum", "_offset")
+    ends = _meet(offsets, budgets.select("source", "_left"), small)
+    ends = ends.filter((F.col("_offset") < F.col("_left")) & (F.col("_offset") + F.col("_sum") >= F.col("_left")))
+    ends = materialize(ends.select(F.col("_row.source").alias("source"), "_end", "_offset", "_left"))
+    inside = W.partitionBy("_row.source").orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1)
+    edge = _meet(rows, ends, small).filter(F.col("_row.bucket") == F.col("_end"))
+    edge = edge.withColumn("_used", F.col("_offset") + F.coalesce(F.sum("_row.size").over(inside), F.lit(0)))
+    # A row is in if that brings its source nearer to the budget: true of the first ones, and then of no more.
+    edge = edge.filter(F.col("_used") + F.col("_row.size") / 2 <= F.col("_left"))
+    bounds = edge.groupBy(F.col("_row.source").alias("_b")).agg(F.max(F.struct(*_ORDER)).alias("_bound"))
+    named = budgets.drop("_left").join(ends.select(F.col("source").alias("_e"), "_end"), F.col("source").eqNullSafe(F.col("_e")), "left")
+    named = named.join(bounds, F.col("source").eqNullSafe(F.col("_b")), "left").drop("_e", "_b")
+    return materialize(named), small
+
+
+_ORDER = ("_row.key", "_row.doc_id", "_row.crc", "_row.size")
+
+
+def _copies() -> Column:
+    sampled = (F.col("_row.bucket") < F.col("_end")) | (
+        (F.col("_row.bucket") == F.col("_end")) & (F.struct(*_ORDER) <= F.col("_bound"))
     )
-    inside = W.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "_crc").rowsBetween(W.unboundedPreceding, -1)
-    used = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    # A document is in if that brings the source nearer to its budget.
-    edge = told.filter(F.col("_bucket") == F.col("_end")).withColumn("_used", used)
-    edge = edge.withColumn("_in", (F.col("_used") + F.col("size") / 2 <= F.col("_left")).cast("long")).drop("_used")
-    both = whole.unionByName(edge).withColumn("copies", F.col("_epochs") + F.col("_in"))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return F.col("_epochs") + F.coalesce(sampled.cast("long"), F.lit(0))
+
+
+def mix(
+    docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, seed: int = 0
+) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, copies.
+
+    Sources in code point order, null last, weigh `weights`, over and over; together they take as many words as there are.
+    taken is size times copies. Within a source, what is taken differs from the target by half the size of one document at
+    most (and a rounding). Null texts have no words; null ids and sources are values like others; repeated rows share a
+    key, and all of them are taken or none in the sample; an empty table gives no rows; reruns agree.
+    """
+    rows = materialize(docs.select(_drawn(docs, id_col, text_col, source_col, seed).alias("_row")))
+    told = _meet(rows, *plan(rows, weights)).withColumn("copies", _copies())
+    taken = (F.col("_row.size") * F.col("copies")).alias("taken")
+    return told.select("_row.doc_id", "_row.size", "source_size", "target", taken, "copies")
+
+
+def apply(
+    docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, seed: int = 0
+) -> DataFrame:
+    """The mix itself: each row of docs, with all its columns, as often as it is taken. Texts aren't shuffled."""
+    drawn = _drawn(docs, id_col, text_col, source_col, seed)
+    rows = materialize(docs.select(drawn.alias("_row")))
+    told = _meet(docs.select(F.struct("*").alias("_doc"), drawn.alias("_row")), *plan(rows, weights))
+    repeated = told.select("_doc", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))).alias("_copy"))
+    return repeated.select("_doc.*")

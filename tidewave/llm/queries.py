@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, sharding, simhash, sstable, toxicity, warc, weak_supervision
+from . import decontamination, mixing, pii, sharding, simhash, sstable, toxicity, warc, weak_supervision, wrappers
 from .common import table
 
 N_SHARDS = 16
@@ -35,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_supervision.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality, op6_decontamination, op7_warc, op8_pii, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality, op5_html, op6_decontamination, op7_warc, op8_pii, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
