@@ -52,7 +52,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
 def held_out(doc_id):
@@ -75,5 +75,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality, op5_html, op6_decontamination, op7_warc, op8_pii, op9_mixing, op10_toxicity)}
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, with the usual table of 256 steps made by its rule."""
+    steps = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        steps.append(i)
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, CAST({steps} AS BIGINT[])[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _place_sql(key: str, n: int) -> str:
+    """The shard by three rounds of draws, as in sharding.place()."""
+    tree = sharding._children(sharding.topology(n))
+    nodes = "MAP {" + ", ".join(
+        f"'{parent}': [" + ", ".join(f"{{'name': '{c}', 'weight': {w}}}" for c, w in below.items()) + "]" for parent, below in tree.items()
+    ) + "}"
+    at = "''"
+    for _ in range(3):
+        u = f"(CAST('0x' || substr(md5({key} || '|' || c.name), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496"
+        at = f"list_min(list_transform(({nodes})[{at}], lambda c: {{'draw': -ln({u}) / c.weight, 'name': c.name}})).name"
+    return f"CAST(substr({at}, 2) AS INTEGER)"
+
+
+def _op1_sql() -> str:
+    return f"""WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, md5(k) AS o, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size,
+  CAST({_crc32_sql("t")} AS BIGINT) AS text_crc32, {_place_sql("k", N_SHARDS)} AS shard, {_place_sql("k", N_SHARDS + 1)} AS grown_shard FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY o, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
+
+
+_OP7_SQL = f"""WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.LEAST_BYTES} AND page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.LEAST_BYTES} AND page_id < best THEN best END AS refers_to FROM m"""
+
+_OP9_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  -ln((CAST('0x' || substr(md5('0|' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496)
+  / greatest(0.05::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE * (length(t) - length(translate(t, '#*$%&|<>0123456789', ''))) / greatest(length(t), 1)) AS key FROM d),
+n AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM r GROUP BY source),
+w AS (SELECT source, n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM n),
+o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * n / w, source) AS i FROM w WHERE n > 0),
+c AS (SELECT *, CAST((SELECT sum(n) FROM w) - coalesce(sum(3 * n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+  / CAST(sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS share FROM o),
+k AS (SELECT min(i) AS i FROM c WHERE share * w <= 3 * n),
+g AS (SELECT source, n, CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN c.i < k.i OR k.i IS NULL THEN CAST(3 * n AS DOUBLE)
+  ELSE (SELECT share FROM c c2 WHERE c2.i = k.i) * w END AS target FROM c CROSS JOIN k),
+e AS (SELECT *, CAST(least(3, floor(target / n)) AS BIGINT) AS epochs FROM g WHERE n > 0),
+u AS (SELECT r.*, e.n, e.target, e.epochs, e.target - e.epochs * e.n AS budget,
+  coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+  FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, n AS source_size, target, CAST(size * (epochs + (budget > 0 AND used + size / 2.0::DOUBLE <= budget)::INT) AS BIGINT) AS taken FROM u"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators depend on XXH64, tokenizers, models or edit distances, and have tests instead."""
+    return {"op1_sharding": _op1_sql(), "op7_warc": _OP7_SQL, "op9_mixing": _OP9_SQL}
