@@ -23,6 +23,8 @@ from .common import add_crc32, materialize
 
 #: Rows of one (shard, bucket) group, which one task numbers; buckets are added with the table.
 ROWS_PER_BUCKET = 200_000
+#: Shards that a cluster begins with, in full racks; a smaller cluster begins with what it has.
+BASE = 16
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ class Shard:
     weight: float = 1.0
 
 
-def topology(n_shards: int, base: int = 16, shards_per_rack: int = 2, racks_per_region: int = 2) -> list[Shard]:
+def topology(n_shards: int, base: int = BASE, shards_per_rack: int = 2, racks_per_region: int = 2) -> list[Shard]:
     """The first `base` shards in full racks and regions; each later one in a region of its own."""
     out = []
     for s in range(n_shards):
@@ -97,13 +99,14 @@ def assign(
     slots of their own, an empty table gives no rows, and further columns are ignored.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    base = min(BASE, n_shards)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"),
         add_crc32(F.col(text_col)).alias("text_crc32"),
         F.md5(key).alias("_order"),
-        place(key, topology(n_shards)).alias("shard"),
-        (place(key, topology(n_shards + 1)) if grow else F.lit(None).cast("int")).alias("grown_shard"),
+        place(key, topology(n_shards, base)).alias("shard"),
+        (place(key, topology(n_shards + 1, base)) if grow else F.lit(None).cast("int")).alias("grown_shard"),
     )
     rows = materialize(rows)
     digits = 1
