@@ -14,7 +14,6 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +77,7 @@ class Matcher:
         by_piece: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text, budget) in enumerate(self.items):
             for offset, piece in pieces(text, budget):
-                by_piece[piece].append((n, offset - len(piece) + 1))
+                by_piece[piece].append((n, offset + len(piece) - 1))
         self.automaton = ahocorasick.Automaton()
         for piece, places in by_piece.items():
             self.automaton.add_word(piece, places)
@@ -188,9 +187,9 @@ def find(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text",
 
 
 def _holds(key: str, items, rate: float):
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pa.Array) -> pa.Array:
         matcher = _matcher(key, items, rate)
-        return pd.Series([bool(matcher.find(normalise(t), first=True)) for t in texts], dtype=bool)
+        return pa.array([bool(matcher.find(normalise(t.as_py()), first=True)) for t in texts], pa.bool_())
 
     return run
 
@@ -199,6 +198,6 @@ def clean(docs: DataFrame, items: DataFrame, *, text_col="text", rate: float = E
     """The rows of docs whose text holds no item within the budget, with all their columns. Nothing is shuffled."""
     spark = docs.sparkSession
     for block in blocks(items):
-        holds = F.pandas_udf(_holds(uuid.uuid4().hex, spark.sparkContext.broadcast(block), rate), "boolean")
+        holds = F.arrow_udf(_holds(uuid.uuid4().hex, spark.sparkContext.broadcast(block), rate), "boolean")
         docs = docs.filter(~holds(F.col(text_col)))
     return docs
