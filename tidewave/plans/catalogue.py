@@ -672,3 +672,68 @@ def recording_summary(spark, d):
         F.count("*").alias("n"), F.count("z").alias("n_norm"), F.count("back").alias("n_back"),
         r6(F.avg("z")).alias("z"), r6(F.avg("back")).alias("back"), r6(F.avg("t")).alias("trail"),
     )
+
+
+# Kernels, models and staging: no SQL; tests hold them against formulas and against each other.
+
+RATE = 100.0
+
+
+def _recordings(spark, d):
+    """Embeddings as epochs of two channels; a label is a recording."""
+    return signals(spark, d).select("label", "vec_id", F.array("x", F.reverse("x")).alias("signal"))
+
+
+@query()
+def bandpass(spark, d):
+    from tidewave.operators.spectra import filter_recordings
+
+    return filter_recordings(_recordings(spark, d), ["label"], "vec_id", "signal", RATE, "zerophase")
+
+
+@query()
+def epoch_features(spark, d):
+    """Welch spectra, band powers, moments, complexity and correlations of each epoch."""
+    from tidewave.operators.spectra import epoch_features as kernel
+
+    return kernel(_recordings(spark, d), ["label", "vec_id"], "signal", RATE, ["front", "back"], 64)
+
+
+@query()
+def spindle_features(spark, d):
+    from tidewave.operators.spectra import spindle_features as kernel
+
+    return kernel(_recordings(spark, d), ["label"], "vec_id", "signal", RATE)
+
+
+@query()
+def group_folds(spark, d):
+    """Whole users dealt to three folds of even stages."""
+    from tidewave.operators.models import group_folds as deal
+
+    return spark.createDataFrame(deal(kept(spark, d), "user_id", "stage", 3), "user_id long, fold int")
+
+
+@query()
+def model_cv_ridge(spark, d):
+    """Each third of the users scored by a linear model of the others."""
+    from tidewave.operators.models import cross_validate
+
+    rows = kept(spark, d).select(
+        "user_id", "epoch_idx", "stage", (F.col("user_id") % 3).alias("fold"),
+        X.expanding_norm(F.col("value"), KEYS, "epoch_idx").alias("value_norm"),
+        X.trailing_mean(F.col("value"), KEYS, "epoch_idx").alias("value_p2min"), "k",
+    )
+    return cross_validate(rows.cache(), ["value_norm", "value_p2min", "k"], "fold", [0, 1, 2])
+
+
+@query()
+def stage_sessions(spark, d):
+    """The stream's decisions for whole sessions, computed as a batch."""
+    from tidewave.streaming.stager import LinearStager, stage_batch
+
+    rows = kept(spark, d).select(
+        F.col("user_id").cast("string").alias("session"), F.col("pos").alias("seq"), F.array("value", "k").alias("features"), F.lit(False).alias("ended")
+    )
+    coef = tuple(tuple(0.3 * ((i + 2 * j) % 5 - 2) for j in range(6)) for i in range(4))
+    return stage_batch(rows, LinearStager(coef, (0.1, 0.0, 0.2, -0.1), tuple(map(tuple, STEPS)), WEIGHT), 2)
