@@ -24,17 +24,11 @@ def ratio_spread(ratios: DataFrame, stage: str) -> DataFrame:
     return per.withColumn("spread", F.col("high") - F.col("low"))
 
 
-def balanced_weight(stage: str, keys: Sequence[str] = ()) -> Column:
-    """n / (classes present * rows of the class), over the frame or within keys."""
-    present = F.size(F.collect_set(stage).over(W.partitionBy(*keys)))
-    return F.count("*").over(W.partitionBy(*keys)) / (present * F.count("*").over(W.partitionBy(*keys, stage)))
-
-
 def balanced_weights(df: DataFrame, stage: str) -> DataFrame:
-    """Per class: n and weight, from counts; nothing but the counts is shuffled."""
+    """Per class: n and weight, n of all / (classes present * n), from counts; nothing but the counts is shuffled."""
     counts = df.groupBy(stage).agg(F.count("*").alias("n"))
-    every = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("_classes"))
-    return counts.crossJoin(F.broadcast(every)).select(stage, "n", (F.col("_all") / (F.col("_classes") * F.col("n"))).alias("weight"))
+    every = W.partitionBy(F.lit(0))  # over the counts, a row per class
+    return counts.select(stage, "n", (F.sum("n").over(every) / (F.count("*").over(every) * F.col("n"))).alias("weight"))
 
 
 def band(x: Column, edges: Sequence[float]) -> Column:

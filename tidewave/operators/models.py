@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .evaluation import balanced_weight
+from .evaluation import balanced_weights
 
 MODELS: dict[str, Callable[[], list]] = {
     "ridge": lambda: [
@@ -28,12 +28,12 @@ MODELS: dict[str, Callable[[], list]] = {
 
 def majority(df: DataFrame, fold: str, stage: str) -> DataFrame:
     """df with `pred`: the most frequent stage of the other folds, the smaller one of equals. Only counts are shuffled."""
-    counts = df.groupBy(fold, stage).agg(F.count("*").alias("n"))
-    every = counts.groupBy(stage).agg(F.sum("n").alias("_all"))
-    grid = counts.select(fold).distinct().crossJoin(F.broadcast(every))
-    others = grid.join(counts, [fold, stage], "left").withColumn("_n", F.col("_all") - F.coalesce("n", F.lit(0)))
-    best = others.groupBy(fold).agg(F.max(F.struct(F.col("_n"), (-F.col(stage)).alias("_s"))).alias("_m"))
-    return df.join(F.broadcast(best.select(fold, (-F.col("_m._s")).alias("pred"))), fold)
+    wide = df.groupBy(fold).pivot(stage).count().na.fill(0)
+    names = [c for c in wide.columns if c != fold]
+    every = W.partitionBy(F.lit(0))  # over the counts, a row per fold
+    others = [F.struct((F.sum(c).over(every) - F.col(c)).alias("n"), (-F.lit(int(c))).alias("s")) for c in names]
+    best = wide.select(fold, (-F.array_max(F.array(*others))["s"]).alias("pred"))
+    return df.join(F.broadcast(best), fold)
 
 
 def group_folds(df: DataFrame, subject: str, stage: str, folds: int = 10, seed: int = 0) -> list[tuple]:
@@ -66,7 +66,8 @@ def fit(train: DataFrame, columns: Sequence[str], model: str):
     """A fitted pipeline; classes are weighted alike. Missing values become zero, which is the middle of a normalised column."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model}; known: {', '.join(sorted(MODELS))}")
-    weighted = train.na.fill(0.0, list(columns)).withColumn("weight", balanced_weight("stage"))
+    weights = balanced_weights(train, "stage").select("stage", "weight")  # a row per class
+    weighted = train.na.fill(0.0, list(columns)).join(F.broadcast(weights), "stage")
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="raw_features"), *MODELS[model]()]).fit(weighted)
 
 
