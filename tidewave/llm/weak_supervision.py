@@ -177,9 +177,9 @@ def fit(patterns: np.ndarray, weights: np.ndarray, n_rules: int, rounds: int = 2
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality.
+    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior.
 
-    base_failed: under 10 words, or over a fifth of the words repeated. kept: not failed and quality, the posterior, at
+    base_failed: under 10 words, or over a fifth of the words repeated. kept: not failed and the posterior probability of good quality at
     least `threshold`. Null and empty texts have no words and fail; repeated rows are judged alike; an empty table gives
     no rows; further columns are ignored.
     """
@@ -191,9 +191,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     patterns = np.array([r["_pattern"] for r in tally], np.int64)
     model = fit(patterns, np.array([r["count"] for r in tally]), len(RULES))
     found = spark.createDataFrame(
-        list(zip(patterns.tolist(), model.posterior.tolist(), strict=True)), "_pattern long, quality double"
+        list(zip(patterns.tolist(), model.posterior.tolist(), strict=True)), "_pattern long, posterior double"
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.join(F.broadcast(found), "_pattern").select(
-        "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.col("quality") >= threshold)).alias("kept"), "quality"
+        "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.col("posterior") >= threshold)).alias("kept"), "posterior"
     )
