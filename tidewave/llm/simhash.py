@@ -13,7 +13,7 @@ with the square of the group.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,13 +56,12 @@ def fingerprint_of(tokens: list[bytes], shingle: int = SHINGLE) -> int:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint as a long. Lower-cases A-Z only; words are runs of bytes outside \\x20 and \\x09-\\x0D."""
-    udf = F.pandas_udf(_fingerprint_batch, "long")
-    return udf(text.cast("binary"))
+    return F.arrow_udf(_fingerprints, "long")(text.cast("binary"))
 
 
-def _fingerprint_batch(texts: pd.Series) -> pd.Series:
-    out = np.array([fingerprint_of(t.lower().split()) if t else 0 for t in texts], np.uint64)
-    return pd.Series(out.view(np.int64))
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    out = np.fromiter((fingerprint_of((t.as_py() or b"").lower().split()) for t in texts), np.uint64, len(texts))
+    return pa.array(out.view(np.int64))
 
 
 def hex16(value: Column) -> Column:

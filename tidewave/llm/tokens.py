@@ -18,7 +18,7 @@ import pyarrow as pa
 from .common import words
 
 #: A worker forgets its words when it holds more than this many.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"

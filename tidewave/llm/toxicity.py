@@ -325,8 +325,8 @@ def score(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", th
 def clean(docs: DataFrame, model: Model, *, text_col="text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score under the threshold, with all their columns. Nothing is shuffled."""
 
-    def passes(texts: pd.Series) -> pd.Series:
-        out = [model.scores(model.margins(part)) < threshold for _, part in slices(pa.array(texts, pa.string()))]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    def passes(texts: pa.Array) -> pa.Array:
+        out = [model.scores(model.margins(part)) < threshold for _, part in slices(texts)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
-    return docs.filter(F.pandas_udf(passes, "boolean")(F.col(text_col)))
+    return docs.filter(F.arrow_udf(passes, "boolean")(F.col(text_col)))
