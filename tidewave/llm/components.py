@@ -12,7 +12,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node reachable, itself included.
 
     nodes has distinct `node`s; edges has `a`, `b`, either way round, repeats allowed. Each round a node takes the
-    smallest label among its neighbours' and then its label's label, until nothing changes. Labels live in Spark tables,
+    smallest label among its neighbours' and its own, then that node's label so far, until nothing changes. Labels live in Spark tables,
     checkpointed each round; only the count of changes comes to the driver. No edges: every node is its own label.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -26,8 +26,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .agg(F.min("label").alias("near"))
         )
         stepped = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        stepped = materialize(stepped)
-        heads = stepped.select(F.col("node").alias("label"), F.col("label").alias("head"))
+        heads = labels.select(F.col("node").alias("label"), F.col("label").alias("head"))
         jumped = stepped.join(heads, "label").select("node", F.least("label", "head").alias("label"), "was")
         labels = materialize(jumped)
         if labels.filter("label <> was").isEmpty():
