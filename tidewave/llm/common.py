@@ -15,12 +15,23 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many UTF-8 bytes, so that a batch of long texts stays small in memory.
 SLICE_BYTES = 4 << 20
+#: Spark passes rows to Python in Arrow batches of about so many bytes at most; they lie outside the heap, several copies at once.
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to ARROW_BATCH_BYTES; a lower one stays. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(name).removesuffix("b")
+    if limit.isdigit() and int(limit) > ARROW_BATCH_BYTES:
+        spark.conf.set(name, str(ARROW_BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -26,12 +26,15 @@ SHINGLE = 3
 SEED = 42
 MAX_DISTANCE = 2
 SEGMENTS = 4
+VOTES = 65_536
 
 
 def _votes(hashes: np.ndarray) -> int:
     """The bits set in over half of the hashes."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int64)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), VOTES):  # a long text's bits need not lie in memory together
+        part = hashes[at : at + VOTES].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 

@@ -76,7 +76,7 @@ def _by_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     for n in np.unique(length).tolist():
         at, weight = _triples(n + 2)
         rows = np.flatnonzero(length == n)
-        for part in np.array_split(rows, max(1, len(rows) * len(weight) // 2_000_000)):
+        for part in np.array_split(rows, max(1, len(rows) * len(weight) // 250_000)):
             symbols = np.array([_codes(units[r]) for r in part.tolist()], np.int64).reshape(len(part), n + 2)
             codes = (symbols[:, at[:, 0]] * SYMBOLS + symbols[:, at[:, 1]]) * SYMBOLS + symbols[:, at[:, 2]]
             yield part, codes, weight
