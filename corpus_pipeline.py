@@ -1,7 +1,7 @@
 """From raw documents to token tables, in stages that each work on what the one before kept.
 
 toxicity         drops documents that the toxicity model rejects
-near_duplicates  keeps one document of each group of near-duplicates
+near_duplicates  keeps one document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more
 decontamination  drops documents that hold a benchmark item, up to a share of edits
 mixing           takes each source up to its target, documents as often as they are taken
 tokens           writes token ids as sorted-string tables and reads them back
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import decontamination, mixing, simhash, sstable, toxicity
+from tidewave.llm import decontamination, mixing, overlap, sstable, toxicity
 from tidewave.llm.common import fresh_dir, table
 from tidewave.llm.queries import tokenizer_path, toxicity_model
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return overlap.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

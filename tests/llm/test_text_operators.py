@@ -18,6 +18,7 @@ from tidewave.llm import (
     components,
     decontamination,
     mixing,
+    overlap,
     pii,
     queries,
     sharding,
@@ -166,6 +167,35 @@ def test_one_row_of_a_group_stays(spark, odd):
     assert ids == [1, 4, 5, 6]  # 1, 2 and 3 have no words: fingerprint zero
 
 
+def test_the_stage_keeps_one_of_texts_with_a_few_words_changed(spark):
+    import corpus_pipeline
+
+    random.seed(9)
+    rows, near = [], []
+    for g in range(20):
+        words = [f"w{random.randrange(5000)}" for _ in range(120)]
+        rows.append((100 * g, " ".join(words)))
+        for k in range(1, 4):  # each changed word takes at most five of 116 shingles
+            other = list(words)
+            for at in random.sample(range(120), k % 2 + 1):
+                other[at] = f"new{g}x{k}x{at}"
+            rows.append((100 * g + k, " ".join(other)))
+            near.append(100 * g + k)
+        rows.append((100 * g + 50, " ".join(words[:60] + [f"other{g}x{i}" for i in range(60)])))
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), SF).collect())
+    assert got == sorted({i for i, _ in rows} - set(near))
+
+
+def test_overlap_groups_equal_brute_force(spark):
+    table = queries.table(spark, SF, "documents")
+    sets = {r["doc_id"]: set(overlap.shingles_of(r["text"].encode()).tolist()) for r in table.collect()}
+    edges = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert edges
+    assert sorted(r["doc_id"] for r in overlap.keep_first(table).collect()) == sorted(set(brute_components(sets, edges).values()))
+    with pytest.raises(ValueError):
+        overlap.keep_first(table, similarity=0)
+
+
 # Tokens
 
 

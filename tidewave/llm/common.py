@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many UTF-8 bytes, so that a batch of long texts stays small in memory.
@@ -58,6 +58,23 @@ def add_crc32(text):
     return F.coalesce(F.crc32(text.cast("binary")), F.lit(0).cast("long"))
 
 
+def text_node(text: Column) -> Column:
+    """XXH64 of a text's UTF-8 bytes; of a null text that of no bytes."""
+    return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def keep_rows(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each of the distinct heads (_id, _node): id, null or not, and XXH64 of the text."""
+    keys = ["_no_id", "_head_id", "_head_node"]
+
+    def keyed(df: DataFrame, i: Column, node: Column) -> DataFrame:
+        return df.withColumns(dict(zip(keys, (i.isNull(), F.coalesce(i, F.lit(0).cast("long")), node), strict=True)))
+
+    left = keyed(docs, F.col(id_col).cast("long"), text_node(F.col(text_col)))
+    right = keyed(heads, F.col("_id"), F.col("_node")).select(*keys)
+    return left.join(right, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+
+
 def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
     """(first row, part) of a string or binary column in order, each of about SLICE_BYTES or one row; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):
