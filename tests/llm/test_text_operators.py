@@ -196,6 +196,14 @@ def test_overlap_groups_equal_brute_force(spark):
         overlap.keep_first(table, similarity=0)
 
 
+def test_groups_of_the_same_id_or_none_stay_apart(spark):
+    near = "one text of some words that comes again under another id"
+    rows = [(None, "a text without an id"), (None, "and a wholly different one"), (3, near), (5, near), (5, "five has another text too"), (None, near)]
+    for keep in (simhash.keep_first, overlap.keep_first):
+        got = [(r["doc_id"], r["text"]) for r in keep(docs(spark, rows)).collect()]
+        assert sorted(got, key=str) == sorted((rows[i] for i in (0, 1, 2, 4)), key=str)
+
+
 # Tokens
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keep_rows, materialize, text_node
 from .components import components
 
 BITS = 64
@@ -116,9 +116,12 @@ def near_duplicates(
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id, with the columns of docs.
 
-    A null id stays only where its group has no other; of repeated rows with one id a single one stays.
+    A null id stays only where its group has no other. Of rows with one id in a group the text with the smallest hash stays;
+    rows with one id, or none, and texts of different groups stay each in its own.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    heads = found.select(F.col("component_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col(id_col).cast("long").eqNullSafe(F.col("_head")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_node(F.col(text_col)).alias("_node"), fingerprint(F.col(text_col)).alias("_print"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_node")).alias("_first")
+    classes = materialize(rows.groupBy(F.col("_print").alias("node")).agg(first))
+    joined = components(classes.select("node"), links(classes.select("node"))).join(classes, "node")
+    heads = joined.groupBy("label").agg(F.min("_first").alias("_head"))
+    return keep_rows(docs, heads.select("_head._id", "_head._node"), id_col, text_col)
