@@ -346,6 +346,14 @@ def test_deep_and_broken_pages():
         wrappers.extract(broken, [])
 
 
+def test_names_count_however_many_stand_before_them():
+    many = " ".join(f"utility-{c * 4}" for c in "abcdefghijkl")
+    page = f'<div class="{many} article-content"><p>Main</p><div class="{many} sidebar"><p>Side</p></div></div><p>Rest</p>'
+    assert wrappers.extract(page, wrappers.items_of(wrappers.parse(page))) == "Main"
+    one, two = (wrappers.parse(f'<div class="{many} {x}">').kids[0].label for x in ("one", "two"))
+    assert one != two
+
+
 # Decontamination
 
 

@@ -81,7 +81,7 @@ def _label(tag: str, attributes: str) -> str:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     names = " ".join(found[k] for k in ("id", "class", "role") if found.get(k))
     names = re.sub(r"\d+", "0", html.unescape(names)).strip()
-    return f"{tag}.{' '.join(names.split())[:80]}" if names else tag
+    return f"{tag}.{' '.join(names.split())}" if names else tag
 
 
 def parse(page: str) -> Node:
