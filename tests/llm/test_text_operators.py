@@ -354,6 +354,32 @@ def test_names_count_however_many_stand_before_them():
     assert one != two
 
 
+def test_texts_after_a_deep_nest_stay_in_their_article():
+    page = "<div id=page><article>" + "<div>" * 60 + "text<nav>menu</nav>" + "</div>" * 60 + "<p>more</p></article></div><p>outside</p>"
+    assert wrappers.extract(page, wrappers.items_of(wrappers.parse(page))) == "text\n\nmore"
+    low = "<div>" * 80 + "<p>around</p><article><p>in it</p></article>" + "</div>" * 80
+    assert wrappers.extract(low, wrappers.items_of(wrappers.parse(low))).split() == ["in", "it"]
+
+
+def test_long_lists_align_in_order():
+    def page(n, extra=""):
+        return "<div>" + "".join(f"<p class={chr(97 + i % 26)}{chr(97 + i // 26)}>x{i}</p>" for i in range(n)) + extra + "</div>"
+
+    one, two = (wrappers.items_of(wrappers.parse(p)) for p in (page(400), page(400, "<ul><li>y</ul>")))
+    (div,) = wrappers.align(one, two)
+    assert len(div[2]) == 401 and [x[1] for x in div[2]] == [0] * 400 + [wrappers.OPTIONAL]
+    random.seed(4)
+    for _ in range(30):
+        a, b = ([random.choice("abcdef") for _ in range(random.randint(0, 40))] for _ in "ab")
+        plain = wrappers._common(a, b)
+        wrappers.TABLE_CELLS, old = 6, wrappers.TABLE_CELLS
+        halved = wrappers._common(a, b)
+        wrappers.TABLE_CELLS = old
+        assert len(plain) == len(halved) and all(a[i] == b[j] for i, j in halved) and halved == sorted(set(halved))
+    many = "<div>" + "<p>x</p>" * 301 + "</div>"
+    assert wrappers.items_of(wrappers.parse(many))[0][2][0][:2] == ["p", wrappers.REPEATED]
+
+
 # Decontamination
 
 

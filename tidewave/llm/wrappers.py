@@ -9,7 +9,7 @@ with the wrapper to read that out.
 
 Alignment combines: a task folds its pages into a wrapper per host, those are folded by (host, salt) and then by host, so
 that a host with very many pages costs no task more than its own pages. Elements below MAX_DEPTH levels are looked
-through; their texts stay.
+through unless they decide what counts as text; their texts stay.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MAX_DEPTH = 60
-MAX_SIBLINGS = 300  # longer lists are aligned by label alone, in the order in which labels first come
+TABLE_CELLS = 90_000  # longer lists are aligned by halves
 LONGEST_GROUP = 4
 SALTS = 64
 BROADCAST_BYTES = 32 << 20
@@ -85,9 +86,16 @@ def _label(tag: str, attributes: str) -> str:
 
 
 def parse(page: str) -> Node:
-    """The page's blocks and texts as a tree. Texts are (text, in a link); inline elements are looked through."""
+    """The page's blocks and texts as a tree. Texts are (text, in a link); inline elements are looked through.
+
+    Below MAX_DEPTH an element gets a node of its own only if it changes what counts: the first one in its line of ancestors
+    that holds no text, or that is named as the main one, or the first article. Others give their kids to the node above.
+    """
     root = Node("root")
     stack, links, at, n = [root], 0, 0, len(page)
+    tags = ["root"]  # of the stack's elements, also of those looked through
+    kinds = [frozenset()]  # _kinds of an element and its ancestors
+    places: dict[str, list[int]] = {}
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
@@ -95,14 +103,32 @@ def parse(page: str) -> Node:
         elif piece:
             stack[-1].kids.append((" ", False))
 
-    def close(tags, scoped: bool) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = stack[k].label.partition(".")[0]
-            if tag in tags:
-                del stack[k:]
-                return
-            if scoped and tag in SCOPES:
-                return
+    def last(names) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
+    def close(names, scoped: bool) -> None:
+        k = last(names)
+        if not k or scoped and last(SCOPES) > k:
+            return
+        if stack[-1] is stack[-2]:
+            text(" ")
+        for t in tags[k:]:
+            places[t].pop()
+        del stack[k:], tags[k:], kinds[k:]
+
+    def push(tag: str, attributes: str) -> None:
+        label = _label(tag, attributes)
+        more = _kinds(label) - kinds[-1]
+        if len(stack) < MAX_DEPTH or more:
+            node = Node(label)
+            stack[-1].kids.append(node)
+        else:
+            text(" ")
+            node = stack[-1]
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(node)
+        tags.append(tag)
+        kinds.append(kinds[-1] | more)
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -136,11 +162,8 @@ def parse(page: str) -> Node:
                 close({"p"}, True)
             if tag in SAME_CLOSES:
                 close(SAME_CLOSES[tag], True)
-            node = Node(_label(tag, m[3] or m[6]))
             links = 0
-            if len(stack) < MAX_DEPTH:
-                stack[-1].kids.append(node)
-                stack.append(node)
+            push(tag, m[3] or m[6])
     return root
 
 
@@ -200,33 +223,45 @@ def align(xs: list, ys: list) -> list:
         return [_unify(x, y) for x, y in zip(xs, ys, strict=True)]
     xs, ys = _grouped(xs, ys), _grouped(ys, xs)
     a, b = [_key(x) for x in xs], [_key(y) for y in ys]
-    if max(len(a), len(b)) > MAX_SIBLINGS:
-        return _bag(xs + ys)
+    out, i, j = [], 0, 0
+    for p, q in [*_common(a, b), (len(a), len(b))]:
+        out += [[x[0], x[1] | OPTIONAL, *x[2:]] for x in xs[i:p]] + [[y[0], y[1] | OPTIONAL, *y[2:]] for y in ys[j:q]]
+        if p < len(a):
+            out.append(_unify(xs[p], ys[q]))
+        i, j = p + 1, q + 1
+    return _fold(out)
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the longest common subsequence of a and each beginning of b."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence; long lists are halved where the halves' lengths add up to the most."""
+    if len(a) > 1 and len(a) * len(b) > TABLE_CELLS:
+        ids = {key: i for i, key in enumerate({*a, *b})}
+        x, y = (np.array([ids[key] for key in keys], np.int32) for keys in (a, b))
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return _common(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in _common(a[half:], b[cut:])]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(_unify(xs[i], ys[j]))
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([xs[i][0], xs[i][1] | OPTIONAL, *xs[i][2:]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([ys[j][0], ys[j][1] | OPTIONAL, *ys[j][2:]])
             j += 1
-    return _fold(out)
-
-
-def _bag(items: list) -> list:
-    found: dict = {}
-    for item in items:
-        key = _key(item)
-        found[key] = _unify(found[key], item) if key in found else item
-        found[key][1] |= OPTIONAL | REPEATED
-    return list(found.values())
+    return out
 
 
 def items_of(node: Node) -> list:
@@ -238,7 +273,7 @@ def items_of(node: Node) -> list:
         elif not kid[0].isspace():
             clean = " ".join(kid[0].split())
             out.append(["#", 0, zlib.crc32(clean.encode("utf-8", "replace")) | 1 << 32, len(clean), len(clean) * kid[1]])
-    return _bag(out) if len(out) > MAX_SIBLINGS else _fold(out)
+    return _fold(out)
 
 
 def _size(item) -> tuple[int, int]:
@@ -248,6 +283,16 @@ def _size(item) -> tuple[int, int]:
     return sum(p[0] for p in parts), sum(p[1] for p in parts)
 
 
+def _kinds(label: str) -> frozenset:
+    """What an element says of the text in it. Of nested main elements the outer has as much text, and articles come first."""
+    if not is_text(label):
+        return frozenset(("no text",))
+    tag, _, names = label.partition(".")
+    if tag == "article":
+        return frozenset(("main", "article"))
+    return frozenset(("main",)) if tag in MAIN_TAGS or names and MAIN_NAMES.search(names) else frozenset()
+
+
 def is_text(label: str) -> bool:
     """Whether an element with this label may hold main text."""
     tag, _, names = label.partition(".")
