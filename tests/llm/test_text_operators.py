@@ -24,6 +24,7 @@ from tidewave.llm import (
     sharding,
     simhash,
     sstable,
+    tokens,
     toxicity,
     warc,
     weak_supervision,
@@ -215,6 +216,18 @@ def test_words_encode_like_whole_texts(spark):
     assert [np.frombuffer(x, coder.type).tolist() for x in coder.encode(pa.array(texts))] == expect
 
 
+def test_a_small_memory_of_words_changes_no_ids():
+    import random
+
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("abéñ.,'9", k=draw.randint(1, 6))) for _ in range(200)) for _ in range(40)] + ["", " "]
+    small, large = (tokens.WordEncoder(queries.tokenizer_path(), n) for n in (1 << 10, 1 << 24))
+    expect = [np.array(e.ids, small.type).tobytes() for e in small.whole.encode_batch(texts, add_special_tokens=False)]
+    for coder in (small, large):
+        assert [ids for at in range(0, len(texts), 3) for ids in coder.encode(pa.array(texts[at : at + 3]))] == expect
+    assert len(small.known) < len(large.known)
+
+
 def test_token_tables_round_trip_and_lookup(spark, tmp_path):
     table = queries.table(spark, SF, "documents")
     files = sstable.write(table, str(tmp_path), queries.tokenizer_path())
