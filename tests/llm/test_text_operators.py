@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewave.llm import (
+    common,
     components,
     decontamination,
     mixing,
@@ -136,22 +137,44 @@ def test_fingerprints_and_components_equal_brute_force(spark):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{p:016x}", label[i]) for i, p in prints.items()}
 
 
-def test_links_join_all_within_two_bits(spark):
-    random.seed(1)
-    nodes = set()
-    for _ in range(60):
-        p = random.getrandbits(64)
+@pytest.mark.parametrize("distance, segments, crowded", [(1, 1, 0), (1, 2, 256), (2, 2, 256), (2, 2, 3), (2, 3, 0), (2, 5, 256)])
+def test_links_join_all_within_the_distance(spark, distance, segments, crowded):
+    draw = random.Random(distance * 100 + segments)
+    nodes = {0, 1 << 63, (1 << 64) - 1}
+    for _ in range(30):
+        p = draw.getrandbits(64)
         nodes.add(p)
-        for _ in range(random.randint(0, 6)):
-            for b in random.sample(range(64), random.randint(0, 2)):
+        for _ in range(draw.randint(0, 6)):
+            for b in draw.sample(range(64), draw.randint(0, 2)):
                 p ^= 1 << b
             nodes.add(p)
     signed = [int(np.uint64(p).astype(np.int64)) for p in nodes]
     frame = spark.createDataFrame([(s,) for s in signed], "node long")
-    got = {r["node"]: r["label"] for r in components.components(frame, simhash.links(frame)).collect()}
     mask = (1 << 64) - 1
-    edges = [(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & mask).bit_count() <= 2]
-    assert got == brute_components(signed, edges)
+    edges = [(a, b) for a, b in itertools.combinations(sorted(signed), 2) if ((a ^ b) & mask).bit_count() <= distance]
+    got = [(r["a"], r["b"]) for r in simhash.links(frame, distance, segments, crowded).collect()]
+    assert set(got) <= set(edges) and len(got) == len(set(got))
+    assert crowded < 256 or set(got) == set(edges)
+    assert brute_components(signed, got) == brute_components(signed, edges)
+
+
+def test_links_of_a_crowded_ball_and_of_nothing(spark):
+    nodes = [0, *(1 << i for i in range(62)), *(3 << i for i in range(60))]
+    frame = spark.createDataFrame([(n,) for n in nodes], "node long")
+    for crowded in (4, 256):
+        pairs = simhash.links(frame, 2, 2, crowded)
+        assert set(brute_components(nodes, [(r["a"], r["b"]) for r in pairs.collect()]).values()) == {0}
+    assert simhash.links(frame.filter("false")).isEmpty()
+    for distance, segments in ((3, 4), (2, 1), (1, 0)):
+        with pytest.raises(ValueError):
+            simhash.links(frame, distance, segments)
+
+
+def test_a_hot_key_is_joined_where_it_lies(spark):
+    left = spark.range(1000).select((F.col("id") % F.when(F.col("id") < 400, 1).otherwise(97)).alias("k"), "id")
+    right = spark.range(80).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = sorted(map(tuple, common.join_hot(left, right, "k").select("k", "id", "v").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "id", "v").collect()))
 
 
 def test_long_chains_come_to_one_component(spark):
@@ -192,15 +215,15 @@ def test_overlap_groups_equal_brute_force(spark):
     sets = {r["doc_id"]: set(overlap.shingles_of(r["text"].encode()).tolist()) for r in table.collect()}
     edges = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     assert edges
-    assert sorted(r["doc_id"] for r in overlap.keep_first(table).collect()) == sorted(set(brute_components(sets, edges).values()))
+    assert sorted(r["doc_id"] for r in simhash.keep_first(table, shingle=5, similarity=0.8).collect()) == sorted(set(brute_components(sets, edges).values()))
     with pytest.raises(ValueError):
-        overlap.keep_first(table, similarity=0)
+        simhash.keep_first(table, similarity=0)
 
 
 def test_groups_of_the_same_id_or_none_stay_apart(spark):
     near = "one text of some words that comes again under another id"
     rows = [(None, "a text without an id"), (None, "and a wholly different one"), (3, near), (5, near), (5, "five has another text too"), (None, near)]
-    for keep in (simhash.keep_first, overlap.keep_first):
+    for keep in (simhash.keep_first, lambda d: simhash.keep_first(d, shingle=5, similarity=0.8)):
         got = [(r["doc_id"], r["text"]) for r in keep(docs(spark, rows)).collect()]
         assert sorted(got, key=str) == sorted((rows[i] for i in (0, 1, 2, 4)), key=str)
 

@@ -33,10 +33,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tidewave-')}"
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tidewave-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -53,6 +57,26 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return posixpath.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
 
 
+#: A key is hot if it holds over one row in so many; fewer than this many keys can be.
+HOT_SHARE = 64
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join where right has a key once at most and left may have one very often.
+
+    Rows of left under a hot key stay where they are: right's rows of these, HOT_SHARE at most, are broadcast. The rest is
+    joined by a shuffle. left is read twice, so hand over a table that is cut from its lineage.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.orderBy(F.desc("_n")).limit(HOT_SHARE).agg(F.collect_list(F.struct("_n", key)).alias("_t")).first()[0]
+    n = left.count() if top else 0
+    hot = [r[key] for r in top if r["_n"] * HOT_SHARE > n and r["_n"] > 1 and r[key] is not None]
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key).unionByName(left.filter(~is_hot).join(right, key))
+
+
 def add_crc32(text):
     """Unsigned CRC-32 of a text's UTF-8 bytes; of a null text that of no bytes."""
     return F.coalesce(F.crc32(text.cast("binary")), F.lit(0).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         stepped = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         heads = labels.select(F.col("node").alias("label"), F.col("label").alias("head"))
-        jumped = stepped.join(heads, "label").select("node", F.least("label", "head").alias("label"), "was")
+        jumped = join_hot(materialize(stepped), heads, "label").select("node", F.least("label", "head").alias("label"), "was")
         labels = materialize(jumped)
         if labels.filter("label <> was").isEmpty():
             break

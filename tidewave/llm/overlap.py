@@ -1,9 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, joined exactly by prefixes.
+"""Pairs of texts by the Jaccard similarity of their sets of word shingles: verified, and completed by prefixes.
 
-All shingles have one order. If two texts of n and m distinct shingles are as similar as asked, they share at least
-similarity * max(n, m) of them, so the first n - ceil(similarity * n) + 1 of one and of the other have one in common. Texts
-therefore meet by equality of these few shingles and no similar pair is missed, whatever the order. The order only decides
-how many others meet: shingles that a sample of the texts holds often come last.
+Pairs that fingerprints propose are verified by the whole sets. Texts as similar as asked may have fingerprints too far
+apart to propose; these are found exactly. All shingles have one order. If two texts of n and m distinct shingles are as
+similar as asked, they share at least similarity * max(n, m) of them, so the first n - ceil(similarity * n) + 1 of one and
+of the other have one in common. Texts therefore meet by equality of these few shingles and no similar pair is missed,
+whatever the order. The order only decides how many others meet: shingles that a sample of the texts holds often come last.
 
 Texts under one shingle are compared with the text that has it earliest, and whatever is similar becomes one component.
 Only texts that still are in different components are then compared with each other, so a group of near copies costs
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, materialize, text_node
 from .components import components
-from .simhash import shingle_hashes
+from .shingles import shingle_hashes, votes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -59,21 +60,23 @@ def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts
 
 def _prefixes(text: Column, shingle: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> Column:
     def found(texts: pa.Array) -> pa.Array:
-        sizes, keys, counted = [], [], []
+        sizes, keys, counted, prints = [], [], [], []
         for t in texts:
             whole = shingles_of(t.as_py(), shingle)
             sizes.append(len(whole))
+            prints.append(votes(whole) if len(whole) else 0)
             keys.append(prefix(whole, similarity, frequent, counts).view(np.int64))
             spread = np.bincount((whole % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             counted.append(spread.astype(np.int16) if spread.max() <= np.iinfo(np.int16).max else None)
         columns = [pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int16()))]
-        return pa.StructArray.from_arrays(columns, names=["n", "keys", "spread"])
+        columns.append(pa.array(np.array(prints, np.uint64).view(np.int64)))
+        return pa.StructArray.from_arrays(columns, names=["n", "keys", "spread", "print"])
 
-    return F.arrow_udf(found, "n int, keys array<long>, spread array<short>")(text.cast("binary"))
+    return F.arrow_udf(found, "n int, keys array<long>, spread array<short>, print long")(text.cast("binary"))
 
 
 def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    sample = texts.filter(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode(_shingles(F.col("_text"), shingle)).alias("s"))
+    sample = texts.filter(F.pmod("_node", F.lit(SAMPLE)) == 0).select(F.explode(_shingles(F.col("_text"), shingle)).alias("s"))
     rows = sample.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(FREQUENT_AT_MOST).collect()
     found = np.array([r["s"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -107,9 +110,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     return materialize(pairs.join(one, "a").join(two, "b").filter(near).select("a", "b"))
 
 
-def labels(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, label): components over all pairs of the similarity or more. docs has `_id` and `_text`, classes a
-    distinct `node`, its `_id`, `n`, `keys` and `spread` a row."""
+def sketches(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each distinct text of `_id`, `_node`, `_text`: _node, its least _id, n (size of its set), keys (the prefix),
+    spread (counts by hash bucket) and _print (the fingerprint of its set)."""
+    frequent, counts = _frequent(texts, shingle)
+    found = texts.select("_id", "_node", _prefixes(F.col("_text"), shingle, similarity, frequent, counts).alias("_f"))
+    found = found.groupBy("_node").agg(F.min("_id").alias("_id"), F.first("_f").alias("_f"))
+    return materialize(found.select("_node", "_id", "_f.n", "_f.keys", "_f.spread", F.col("_f.print").alias("_print")))
+
+
+def labels(docs: DataFrame, sketched: DataFrame, proposed: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label): components over all pairs of the similarity or more. docs has `_id` and `_text`; proposed has pairs
+    (a, b), a < b, to look at first, any or none."""
+    classes = sketched.withColumnRenamed("_node", "node")
+    first_links = _verified(proposed, docs, classes, shingle, similarity)
     entries = classes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     by = W.partitionBy("key").orderBy("pos", "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     first = [F.first(c).over(by).alias(f"_{c}") for c in ("node", "n", "pos")]
@@ -120,7 +134,7 @@ def labels(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, similari
     c = F.col
     stars = met.filter((c("node") != c("_node")) & _may_be(similarity, c("n"), c("pos"), c("_n"), c("_pos")))
     stars = stars.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-    links = _verified(stars, docs, classes, shingle, similarity)
+    links = _verified(stars.join(first_links, ["a", "b"], "left_anti"), docs, classes, shingle, similarity).union(first_links)
 
     part = met.select("key", "node", "n", "pos").join(components(nodes, links), "node")
     split = part.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high")
@@ -130,24 +144,3 @@ def labels(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, similari
     rest = rest.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
     more = _verified(rest, docs, classes, shingle, similarity)
     return components(classes.select("node"), links.union(more))
-
-
-def keep_first(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
-) -> DataFrame:
-    """One row of each group of near-duplicates, with the columns of docs: that with the smallest id, null ids last.
-
-    Groups are the components over pairs of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
-    Texts without words are alike. Of rows with one id in a group the text with the smallest hash stays; rows with one id
-    and texts of different groups stay each in its own.
-    """
-    if not 0 < similarity <= 1 or shingle < 1:
-        raise ValueError("similarity must be over 0 and at most 1, shingle at least 1")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_node(F.col(text_col)).alias("node"), F.col(text_col).alias("_text"))
-    frequent, counts = _frequent(texts, shingle)
-    found = texts.select("_id", "node", _prefixes(F.col("_text"), shingle, similarity, frequent, counts).alias("_f"))
-    classes = found.groupBy("node").agg(F.min("_id").alias("_id"), F.first("_f").alias("_f"))
-    classes = materialize(classes.select("node", "_id", "_f.n", "_f.keys", "_f.spread"))
-    joined = labels(texts.select("_id", "_text"), classes, shingle, similarity).join(classes.select("node", "_id"), "node")
-    heads = joined.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull(), "_id", F.col("node").alias("_node"))).alias("_h"))
-    return keep_rows(docs, heads.select("_h._id", "_h._node"), id_col, text_col)

@@ -1,101 +1,117 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A 64-bit fingerprint is cut into segments. For each segment the index enumerates the Hamming ball of radius 1 inside that
-segment and files the fingerprint under each variant together with its other segments, as they are. Two fingerprints at
-distance 1 or 2 meet in such a table: the point half way between them lies in both balls. So the tables are fetched by
-equality alone, and each match is verified by its complete distance.
-
-A table entry holds at most 65 distinct fingerprints however many near copies a group has, since no more lie within one
-bit of its key. Tables keyed by a bare segment hold whole groups of near copies in one bucket, and their candidates grow
-with the square of the group.
+A 64-bit fingerprint is cut into segments, each with a table of the fingerprints by that segment's value. Two fingerprints
+within max_distance bits are close in some segment: with m segments and max_distance = m * r + a, one of the first a + 1
+is within r bits or one of the others within r - 1. So each fingerprint enumerates the Hamming ball of that radius in each
+segment, fetches what the tables hold there, and every match is verified by its complete distance. Of two values one bit
+apart only the lesser enumerates the greater, which finds the pair once.
+
+Near copies may crowd a table's bucket. Buckets of more than CROWDED fingerprints are split by all other bits: whoever is in
+one or fetches one is filed under each whole fingerprint within one bit, where any two within two bits meet and no more
+than 65 can be. So work grows with the number of fingerprints, not with the square of a group, and no link is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, text_node
+from . import overlap
+from .common import join_hot, keep_rows, materialize, text_node
 from .components import components
+from .shingles import BITS, SHINGLE, fingerprint_of
 
-BITS = 64
-SHINGLE = 3
-SEED = 42
 MAX_DISTANCE = 2
-SEGMENTS = 4
-VOTES = 65_536
+SEGMENTS = 2
+CROWDED = 256
+BROADCAST_ROWS = 100_000
 
 
-def _votes(hashes: np.ndarray) -> int:
-    """The bits set in over half of the hashes."""
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), VOTES):  # a long text's bits need not lie in memory together
-        part = hashes[at : at + VOTES].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
+    """The fingerprint as a long. Lower-cases A-Z only; words are runs of bytes outside \\x20 and \\x09-\\x0D."""
 
+    def found(texts: pa.Array) -> pa.Array:
+        prints = (fingerprint_of((t.as_py() or b"").lower().split(), shingle) for t in texts)
+        return pa.array(np.fromiter(prints, np.uint64, len(texts)).view(np.int64))
 
-def shingle_hashes(tokens: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """XXH64 of each run of `shingle` words, joined by single spaces; of all words where there are fewer."""
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    text = memoryview(b" ".join(tokens))
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    last = ends[min(shingle, len(tokens)) - 1 :]
-    first = np.concatenate(([0], ends[: len(last) - 1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(
-        (digest(text[a:b], SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(last)
-    )
+    return F.arrow_udf(found, "long")(text.cast("binary"))
 
 
-def fingerprint_of(tokens: list[bytes], shingle: int = SHINGLE) -> int:
-    """Of the lower-cased words of a text; no words give zero."""
-    return _votes(shingle_hashes(tokens, shingle)) if tokens else 0
+def hex16(value: Column) -> Column:
+    return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
-def fingerprint(text: Column) -> Column:
-    """The fingerprint as a long. Lower-cases A-Z only; words are runs of bytes outside \\x20 and \\x09-\\x0D."""
-    return F.arrow_udf(_fingerprints, "long")(text.cast("binary"))
+def _long(value: int) -> Column:
+    return F.lit(int(np.uint64(value).astype(np.int64))).cast("long")
 
 
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    out = np.fromiter((fingerprint_of((t.as_py() or b"").lower().split()) for t in texts), np.uint64, len(texts))
-    return pa.array(out.view(np.int64))
+def radii(max_distance: int, segments: int) -> list[int]:
+    """The radius of the ball in each segment; -1 where a segment need not be looked up."""
+    r, a = divmod(max_distance, segments)
+    return [r if i <= a else r - 1 for i in range(segments)]
 
 
-def hex16(value: Column) -> Column:
-    return F.lpad(F.lower(F.hex(value)), 16, "0")
+def _values(max_distance: int, segments: int, ball: bool) -> Column:
+    """(segment, value) of a `node`: its own, or with `ball` also those within the radius that have one bit more set."""
+    cuts, out = [BITS * i // segments for i in range(segments + 1)], []
+    for i, radius in enumerate(radii(max_distance, segments)):
+        if radius >= 0:
+            width = cuts[i + 1] - cuts[i]
+            value = F.shiftrightunsigned("node", cuts[i]).bitwiseAND(_long((1 << width) - 1))
+            keys = [value]
+            if radius and ball:
+                keys += [F.when(value.bitwiseAND(_long(1 << j)) == 0, value.bitwiseOR(_long(1 << j))) for j in range(width)]
+            out += [F.when(k.isNotNull(), F.struct(F.lit(i).alias("segment"), k.alias("value"))) for k in keys]
+    return F.explode(F.array_compact(F.array(*out)))
 
 
-def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b), a < b: fingerprints at up to max_distance (0, 1 or 2) bits, which link all that lie so close.
+def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS, crowded: int = CROWDED) -> DataFrame:
+    """(a, b), a < b: pairs of fingerprints at up to max_distance (0, 1 or 2) bits, which link all that lie so close.
 
-    prints has distinct `node`s. Any two members of a table entry are within the distance, so each entry gives the links
-    from its smallest member to the others, and a pair left out is linked through that member.
+    prints has distinct `node`s. Every link between members of buckets that aren't crowded is returned. In a crowded one, for
+    distance 2, those from each whole-fingerprint key's smallest member, through which the others are linked. An empty table
+    gives no links. Segments need a radius of one bit or less, so two bits take at least two of them.
     """
     if max_distance not in (0, 1, 2):
         raise ValueError("max_distance must be 0, 1 or 2")
+    if not 1 <= segments <= BITS or max(radii(max_distance, segments)) > 1:
+        raise ValueError(f"{segments} segments are too few or too many for distance {max_distance}")
     if not max_distance:
         return prints.select(F.col("node").alias("a"), F.col("node").alias("b")).filter("false")
-    width = BITS // segments
-    flips = [F.lit(0).cast("long")] + [
-        F.lit(int(np.uint64(1 << (s * width + i)).astype(np.int64))).cast("long") for s in range(segments) for i in range(width)
-    ]
-    entries = prints.select("node", F.explode(F.array(*flips)).alias("_flip")).select(
-        "node", F.col("node").bitwiseXOR(F.col("_flip")).alias("_key")
-    )
-    # An entry's members are kept together only where there are two or more; 65 is the most there can be.
-    met = entries.groupBy("_key").agg(F.collect_list("node").alias("_met")).filter(F.size("_met") > 1)
-    pairs = met.select(F.array_min("_met").alias("a"), F.explode("_met").alias("b")).filter("a < b")
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance).distinct()
+    key = ["segment", "value"]
+    filed = prints.select("node", _values(max_distance, segments, False).alias("_k")).select("node", "_k.*")
+    asked = prints.select("node", _values(max_distance, segments, True).alias("_k")).select("node", "_k.*")
+    full = materialize(filed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).select(*key))
+    many = full.count()
+    hot = None
+    if many:
+        near = F.broadcast(full) if many <= BROADCAST_ROWS else full
+        hot = filed.join(near, key, "left_semi").select("node").union(asked.join(near, key, "left_semi").select("node")).distinct()
+        filed = filed.join(near, key, "left_anti")
+    met = asked.withColumnRenamed("node", "_x").join(filed.withColumnRenamed("node", "_y"), key)
+    found = _close(met, max_distance)
+    return (found if hot is None else found.union(_close(_met_whole(hot, max_distance), max_distance))).distinct()
+
+
+def _close(met: DataFrame, max_distance: int) -> DataFrame:
+    near = F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))).between(1, max_distance)
+    return met.filter(near).select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
+def _met_whole(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """(_x, _y): pairs of nodes that link all within max_distance bits, by keys of all bits."""
+    flips = F.explode(F.array(*[_long(0), *(_long(1 << i) for i in range(BITS))])).alias("_flip")
+    ball = nodes.select("node", flips).select("node", F.col("node").bitwiseXOR(F.col("_flip")).alias("_key"))
+    if max_distance == 1:
+        return ball.select(F.col("node").alias("_x"), F.col("_key").alias("_y")).join(nodes.select(F.col("node").alias("_y")), "_y")
+    first = ball.groupBy("_key").agg(F.min("node").alias("_x"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return ball.select("_key", F.col("node").alias("_y")).join(first.select("_key", "_x"), "_key")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS
 ) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -106,22 +122,60 @@ def near_duplicates(
     """
     rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("_print")))
     classes = materialize(rows.groupBy(F.col("_print").alias("node")).agg(F.min("doc_id").alias("_first")))
-    labels = materialize(components(classes.select("node"), links(classes.select("node"), max_distance)))
-    joined = labels.join(classes, "node")
-    heads = joined.groupBy("label").agg(F.min("_first").alias("component_id"))
-    found = joined.join(heads, "label").select(F.col("node").alias("_print"), "component_id")
-    return rows.join(found, "_print").select("doc_id", hex16(F.col("_print")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    heads = print_heads(classes, max_distance, segments)
+    return join_hot(rows, heads, "_print").select("doc_id", hex16(F.col("_print")).alias("fingerprint"), F.col("_first").alias("component_id"))
+
+
+def print_heads(classes: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """(_print, _first): for each distinct fingerprint `node` the least `_first` of its component."""
+    labels = components(classes.select("node"), links(classes.select("node"), max_distance, segments))
+    joined = materialize(labels.join(classes, "node"))
+    heads = joined.groupBy("label").agg(F.min("_first").alias("_least"))
+    return join_hot(joined, heads, "label").select(F.col("node").alias("_print"), F.col("_least").alias("_first"))
+
+
+def keep_first(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    similarity: float | None = None,
+    max_distance: int = MAX_DISTANCE,
+    segments: int = SEGMENTS,
+) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id, with the columns of docs.
 
+    Without a similarity, groups are the components over fingerprints at max_distance bits or fewer. With one, they are those
+    over pairs of texts whose sets of shingles have at least this Jaccard similarity: fingerprints propose pairs, whole sets
+    verify them, and pairs that fingerprints lie too far apart for are found by `overlap`, exactly.
+
     A null id stays only where its group has no other. Of rows with one id in a group the text with the smallest hash stays;
-    rows with one id, or none, and texts of different groups stay each in its own.
+    rows with one id, or none, and texts of different groups stay each in its own. Null, empty and blank texts are alike;
+    an empty table stays empty.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_node(F.col(text_col)).alias("_node"), fingerprint(F.col(text_col)).alias("_print"))
-    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_node")).alias("_first")
-    classes = materialize(rows.groupBy(F.col("_print").alias("node")).agg(first))
-    joined = components(classes.select("node"), links(classes.select("node"))).join(classes, "node")
-    heads = joined.groupBy("label").agg(F.min("_first").alias("_head"))
-    return keep_rows(docs, heads.select("_head._id", "_head._node"), id_col, text_col)
+    if shingle < 1 or similarity is not None and not 0 < similarity <= 1:
+        raise ValueError("similarity must be over 0 and at most 1, shingle at least 1")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_node(F.col(text_col)).alias("_node"), F.col(text_col).alias("_text"))
+    best = F.min(F.struct(F.col("_id").isNull(), "_id", "_node"))
+    if similarity is None:
+        rows = texts.select("_id", "_node", fingerprint(F.col("_text"), shingle).alias("_print"))
+        classes = materialize(rows.groupBy(F.col("_print").alias("node")).agg(best.alias("_first")))
+        heads = print_heads(classes, max_distance, segments).select(F.col("_first").alias("_h")).distinct()
+    else:
+        sketches = overlap.sketches(texts, shingle, similarity)
+        labels = overlap.labels(texts, sketches, _proposed(sketches, max_distance, segments), shingle, similarity)
+        joined = labels.join(sketches.select(F.col("_node").alias("node"), "_id", "_node"), "node")
+        heads = joined.groupBy("label").agg(best.alias("_h"))
+    return keep_rows(docs, heads.select("_h._id", "_h._node"), id_col, text_col)
+
+
+def _proposed(sketches: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """(a, b), a < b: each text with the first of its fingerprint, and those first ones where fingerprints are linked."""
+    prints = materialize(sketches.groupBy("_print").agg(F.min("_node").alias("_rep")))
+    alike = join_hot(sketches.select("_node", "_print"), prints, "_print").select(F.col("_rep").alias("a"), F.col("_node").alias("b"))
+    near = links(prints.select(F.col("_print").alias("node")), max_distance, segments)
+    for x in "ab":
+        near = near.join(prints.select(F.col("_print").alias(x), F.col("_rep").alias(f"_{x}")), x)
+    near = near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return alike.filter("a < b").union(near)

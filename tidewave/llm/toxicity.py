@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, words
-from .simhash import shingle_hashes
+from .shingles import shingle_hashes
 
 LAMBDA = 0.7
 SPAN = 8
