@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import decontamination, mixing, overlap, sstable, toxicity
+from tidewave.llm import decontamination, mixing, simhash, sstable, toxicity
 from tidewave.llm.common import fresh_dir, table
 from tidewave.llm.queries import tokenizer_path, toxicity_model
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return overlap.keep_first(docs)
+    return simhash.keep_first(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
