@@ -1,9 +1,11 @@
 """The library's own operators: catalogue against DuckDB, kernels against formulas, stream against batch."""
 
+import itertools
 import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,13 +94,39 @@ def test_every_position_is_scored_once(spark, n):
 
 
 def test_look_ahead_and_subsets():
-    assert [windows.look_ahead(c) for c in ("a", "a_c7min", "a_ep+2", "a_ep-2")] == [0, 7, 2, 0]
+    assert [windows.look_ahead(c) for c in ("a", "a_c7min", "a_ep+2", "a_ep-2")] == [0, 7, 2, 0] and windows.look_ahead("a_posthoc") > 10**6
     assert selection.within_budget({"a": 0, "b": 2, "c": 7}, 1.0) == ["a", "b"]
     assert selection.within_budget({"a": 0, "b": 2}, 1.0, fixed=0.5) == ["a"] and selection.within_budget({"c": 7}, None) == ["c"]
-    assert selection.subset(["x_c7min", "x"], "no_c7min") == ["x"]
+    channels = ("front", "back")
+    names = ["front__mmd", "front__alpha_max_c7min", "back__alpha_p2min", "ratio__alpha", "corr__broad", "time_hour", "back__std_ep+2"]
+    keeps = {
+        "all": names, "fpz_only": [names[0], names[1], names[5]], "pz_only": [names[2], names[5], names[6]], "no_distance": names[1:],
+        "no_p2min": [*names[:2], *names[3:]], "no_c7min": [names[0], *names[2:]], "smoothed_only": [names[1], names[2], names[5]],
+        "no_extremes": [names[0], *names[2:]],
+    }
+    assert {k: selection.subset(names, k, channels) for k in selection.SUBSETS} == keeps
     with pytest.raises(ValueError):
-        selection.subset([], "nothing")
-    assert selection.decorrelate(["a", "b", "c"], {frozenset("ab"): 0.95, frozenset("bc"): 0.99}, 0.9) == ["a", "c"]
+        selection.subset([], "nothing", channels)
+    assert selection.decorrelate(["c", "b", "a"], ["a", "b", "c"], {frozenset("ab"): 0.95, frozenset("bc"): 0.99}, 0.9) == ["c", "a"]
+    selection.same_columns(["a", "b"], ["b", "a"])
+    with pytest.raises(ValueError, match="b, c"):
+        selection.same_columns(["a", "b"], ["a", "c"])
+
+
+def test_selection_within_training_rows(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=600)
+    rows = [(float(x), float(x), float(y), None if i < 5 else float(y + 3 * x)) for i, (x, y) in enumerate(zip(a, rng.normal(size=600), strict=True))]
+    df = spark.createDataFrame(rows, "a double, twin double, b double, c double")
+    gains = lambda train, columns: {"a": 1.0, "twin": 3.0, "b": 2.0, "c": 0.5}
+    columns = ["a", "twin", "b", "c"]
+    assert selection.select_columns(df, columns, "all", gains) == columns
+    assert selection.select_columns(df, columns, "top:2", gains) == ["twin", "b"]
+    assert selection.select_columns(df, columns, "corr:0.99", gains) == ["twin", "b", "c"]
+    assert selection.select_columns(df, columns, "corr:0.99,top:1", gains) == ["twin"]
+    for bad in ("top", "most:3", "top:0"):
+        with pytest.raises(ValueError):
+            selection.select_columns(df, columns, bad, gains)
 
 
 # Joins
@@ -114,8 +142,8 @@ def test_attach_refuses_missing_and_double_keys(spark):
 
 
 def test_versions_keep_the_last_decision(spark, tmp_path):
-    write = sinks.append_versions(str(tmp_path / "d"), ["session", "seq"])
-    write(spark.createDataFrame([("s", 1, 0), ("s", 2, 1)], "session string, seq long, stage int"), 0)
+    write = sinks.append_versions(str(tmp_path / "d"), ["session", "seq"], ["stage"])
+    write(spark.createDataFrame([("s", 1, -2), ("s", 1, 0), ("s", 1, -1), ("s", 2, 1)], "session string, seq long, stage int"), 0)
     for _ in range(2):  # a batch that is done again
         write(spark.createDataFrame([("s", 2, 3)], "session string, seq long, stage int"), 1)
     assert [(r["seq"], r["stage"]) for r in sinks.history(spark, str(tmp_path / "d"), "s").collect()] == [(1, 0), (2, 3)]
@@ -155,9 +183,10 @@ def test_kernels_equal_expressions(spark):
     x = np.random.default_rng(1).normal(size=(3, 3000))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>")
     kernel, c = spectra.time_features(x), F.col("x")
-    native = arrays.statistics(c) | arrays.hjorth(c) | {"mmd": arrays.max_min_distance(c, 300), "esis": arrays.energy_product(c)}
-    for r in df.select("i", *[v.alias(n) for n, v in native.items()], arrays.petrosian(c).alias("petrosian")).collect():
-        for n in native:
+    native = {"mmd": arrays.max_min_distance(c, 300), "esis": arrays.energy_product(c), "petrosian": arrays.petrosian(c)}
+    found = df.select("i", arrays.statistics(c).alias("s"), arrays.hjorth(c).alias("h"), *[v.alias(n) for n, v in native.items()])
+    for r in found.select("*", "s.*", "h.*").collect():
+        for n in kernel:
             assert math.isclose(r[n], kernel[n][r["i"]], rel_tol=1e-9)
         assert math.isclose(r["petrosian"], spectra.complexity_features(x)["petrosian"][r["i"]], rel_tol=1e-9)
 
@@ -173,9 +202,25 @@ def test_spindles_and_runs():
     assert spectra.runs(np.array([1] * 60 + [0] * 10 + [1] * 20 + [0] * 5 + [1] * 250, bool), 100.0) == (1, 0.6)
     t = np.arange(3000) / 100
     noise = np.random.default_rng(3).normal(size=(25, 3000)) * 0.1
-    counter = spectra.SpindleCounter(100.0)
-    counts = [counter.push(n + np.sin(2 * np.pi * 13 * t) * ((t > 10) & (t < 11)) * (i == 22))[0] for i, n in enumerate(noise)]
-    assert counts[22] >= 1
+    noise[22] += np.sin(2 * np.pi * 13 * t) * ((t > 10) & (t < 11))
+    counts, seconds = spectra.spindles(noise, 100.0)
+    assert counts[22] >= 1 and seconds[22] >= 0.5
+    size = np.abs(np.random.default_rng(4).normal(size=(45, 30)))
+    expect = [np.quantile(size[: max((i + 1) // 20 * 20, 1), ::5], 0.92) for i in range(45)]
+    assert np.allclose(spectra.spindle_thresholds(size), expect) and len(spectra.spindle_thresholds(size[:0])) == 0
+
+
+def test_filtering_by_blocks_and_in_parts():
+    sections, x = spectra.butterworth(5, 0.4, 30.0, 100.0), np.random.default_rng(5).normal(size=(2, 1000))
+    y, z = np.moveaxis(x, -1, 0).copy(), np.zeros((len(sections), 2, 2))
+    for i, s in enumerate(sections):  # sample by sample
+        for t, v in enumerate(y.copy()):
+            y[t] = s[0] * v + z[i, 0]
+            z[i] = s[1] * v - s[4] * y[t] + z[i, 1], s[2] * v - s[5] * y[t]
+    assert np.allclose(spectra.filter_sections(sections, x), y.T, atol=1e-10)
+    first, state = spectra.filter_on(sections, x[:, :333])
+    rest, end = spectra.filter_on(sections, x[:, 333:], state)
+    assert np.allclose(np.hstack([first, rest]), y.T, atol=1e-10) and np.allclose(end, z, atol=1e-10)
 
 
 def test_filtered_features_of_recordings(spark):
@@ -214,6 +259,35 @@ def test_decoders_agree_and_weight_zero_is_the_first_maximum(spark):
     assert get(decoding.forward(df, ["k"], "t", "proba", table, 0.0)) == {(k, t): int(np.argmax(p)) for k, t, p in rows}
     whole = get(decoding.decode(df, ["k"], "t", "proba", table, 0.7, None))
     assert whole == get(decoding.decode(df, ["k"], "t", "proba", table, 0.7, 60)) and whole != native
+    steps = 0.7 * np.array(table)
+    for lag in (1, 3):  # by all paths through the rows that count
+        got = get(decoding.decode(df.filter("t < 6"), ["k"], "t", "proba", table, 0.7, lag))
+        for k in range(3):
+            for t in range(6):
+                first, last = 0, min(5, t + lag)
+                mass = np.zeros(4)
+                for path in itertools.product(range(4), repeat=last - first + 1):
+                    log = sum(np.log(proba[k][u][s]) for u, s in enumerate(path)) + sum(steps[a, b] for a, b in zip(path, path[1:], strict=False))
+                    mass[path[t]] += np.exp(log)
+                assert got[k, t] == mass.argmax()
+    grid = decoding.decode_grid(df, ["k"], "t", "proba", table, [0.0, 0.7])
+    assert get(grid.filter("weight = 0.7")) == native
+    best = decoding.best_weight(df.withColumn("stage", F.lit(1)), ["k"], "t", "proba", "stage", table, [0.0, 0.7]).collect()
+    assert len(best) == 1
+
+
+def test_recordings_come_whole_to_a_kernel(spark):
+    from tidewave.functions.recordings import map_recordings
+
+    df = spark.range(5000).select((F.col("id") % 37).alias("k"), F.col("id").alias("t")).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        kernel = lambda rows: rows.slice(0, 1).append_column("n", pa.array([rows.num_rows])).append_column("last", rows.column("t").slice(rows.num_rows - 1))
+        found = map_recordings(df, ["k"], "t", kernel, "k long, t long, n long, last long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in found) == [(k, k, len(range(k, 5000, 37)), max(range(k, 5000, 37))) for k in range(37)]
+    assert map_recordings(df.filter("false"), ["k"], "t", kernel, "k long, t long, n long, last long").isEmpty()
 
 
 def test_models_and_folds(spark):
@@ -288,7 +362,7 @@ def test_stream_decides_as_the_batch_does(spark, tmp_path):
     for k, part in enumerate((rows[:30], rows[20:60], rows[60:] + [(s, 10**6, None, True) for s in "abc"])):  # with epochs sent twice
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    write = sinks.append_versions(str(tmp_path / "out"), ["session", "seq"])
+    write = sinks.append_versions(str(tmp_path / "out"), ["session", "seq"], ["seq"])
     started = stager.stage_stream(stream, model).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     assert started.awaitTermination(300)
     got = {(r["session"], r["seq"]): r for r in sinks.current(spark, str(tmp_path / "out"), ["session", "seq"]).collect()}

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrays import bind
+from .recordings import map_recordings, running_robust
+
 LEAST_ROWS = 20
 LEAST_SCALE = 1e-12
 LOW, HIGH = 0.05, 0.95
@@ -28,12 +30,14 @@ def expanding_norm(x: Column, keys: Sequence[str], order: str, least: int = LEAS
     """(x - median) / (q95 - q05) over the rows so far, from `least` values on."""
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     q = F.percentile(x, F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH))).over(w)
-    return F.when(F.count(x).over(w) >= least, _robust(x, q))
+    now = F.struct(x.alias("x"), q.alias("q"), F.count(x).over(w).alias("n"))  # bound, so that there is one window of percentiles
+    return bind(now, lambda v: F.when(v["n"] >= least, _robust(v["x"], v["q"])))
 
 
 def posthoc_norm(x: Column, keys: Sequence[str]) -> Column:
     """The same over the whole recording."""
-    return _robust(x, F.percentile(x, F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH))).over(W.partitionBy(*keys)))
+    q = F.percentile(x, F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH))).over(W.partitionBy(*keys))
+    return bind(F.struct(x.alias("x"), q.alias("q")), lambda v: _robust(v["x"], v["q"]))
 
 
 def expanding_median(x: Column, keys: Sequence[str], order: str) -> Column:
@@ -41,6 +45,13 @@ def expanding_median(x: Column, keys: Sequence[str], order: str) -> Column:
     return F.percentile(x, F.lit(0.5)).over(w)
 
 
+def expanding_spread(x: Column, keys: Sequence[str], order: str, least: float = 1e-6) -> Column:
+    """q95 - q05 over the rows so far, never under `least`."""
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    q = F.percentile(x, F.array(F.lit(LOW), F.lit(HIGH))).over(w)
+    return bind(q, lambda q: F.greatest(q[1] - q[0], F.lit(least)))
+
+
 def triangular_mean(x: Column, keys: Sequence[str], order: str, width: int = 15) -> Column:
     """Centred mean with triangular weights over the rows and values there are."""
     half, w = width // 2, W.partitionBy(*keys).orderBy(order)
@@ -67,8 +78,14 @@ def elapsed_hours(keys: Sequence[str], order: str, epoch_seconds: float = 30.0)
     return (F.col(order) - first) * epoch_seconds / 3600
 
 
+#: The look-ahead of a column that needs its whole recording: more than any delay.
+WHOLE_RECORDING = 2**31 - 1
+
+
 def look_ahead(column: str) -> int:
-    """Epochs of future data that a column needs, by its name: _c7min seven, _ep+k k."""
+    """Epochs of future data that a column needs, by its name: _posthoc all, _c7min seven, _ep+k k."""
+    if "_posthoc" in column:
+        return WHOLE_RECORDING
     if column.endswith("_c7min"):
         return 7
     tail = column.rpartition("_ep+")[2]
@@ -76,20 +93,17 @@ def look_ahead(column: str) -> int:
 
 
 def normalise_wide(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], least: int = LEAST_ROWS) -> DataFrame:
-    """expanding_norm of many columns at once, recording by recording: a grouped kernel that orders each recording once.
+    """expanding_norm of many columns at once, recording by recording, with a running order of each column's values.
 
-    Adds <column>_norm. For wide tables; a window expression per column would sort anew for each row.
+    Adds <column>_norm. For wide tables and long recordings; a window expression orders all values so far anew for each row.
     """
     new = [f"{c}_norm" for c in columns]
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        x = rows[list(columns)].astype(float)
-        e = x.expanding(least)
-        scale = e.quantile(HIGH) - e.quantile(LOW)
-        z = ((x - e.median()) / scale).where(scale > LEAST_SCALE)
-        rows[new] = z.to_numpy()
-        return rows.replace({np.nan: None})
+    def kernel(rows: pa.Table) -> pa.Table:
+        for c, n in zip(columns, new, strict=True):
+            x = rows.column(c).cast(pa.float64()).to_numpy()
+            rows = rows.append_column(n, pa.array(running_robust(x, least, LOW, HIGH, LEAST_SCALE), pa.float64(), from_pandas=True))
+        return rows
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *(f"`{n}` double" for n in new)])
-    return df.groupBy(*keys).applyInPandas(kernel, schema)
+    return map_recordings(df, keys, order, kernel, schema)

@@ -8,12 +8,14 @@ calls the same epoch kernel. Signals are [channel][sample]; missing values are n
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewave.functions.recordings import map_recordings
+
 # Fixed bands in Hz.
 BANDS = {"sdelta": (0.4, 1.0), "fdelta": (1.0, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 12.0), "sigma": (12.0, 16.0), "beta": (16.0, 30.0)}
 WHOLE = (0.4, 30.0)
@@ -54,18 +56,51 @@ def _steady(section: np.ndarray) -> np.ndarray:
     return np.array([b[1] - a[1] * level + second, second])
 
 
+BLOCK = 128
+
+
+@lru_cache(maxsize=64)
+def _block(sections: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """What `length` samples of a cascade come to: outputs from inputs and from the state, and the state after from both.
+
+    The state is two numbers a section, in transposed direct form II. The four matrices follow from the answers to a unit
+    impulse and to each unit state, run sample by sample once.
+    """
+    rows = np.frombuffer(sections).reshape(-1, 6)
+    width = 2 * len(rows)
+    state = np.hstack([np.zeros((width, 1)), np.eye(width)])  # one column for the impulse, one for each unit state
+    answer, states = np.empty((length, width + 1)), np.empty((length, width, width + 1))
+    for t in range(length):
+        v = np.zeros(width + 1)
+        v[0] = t == 0
+        for i, s in enumerate(rows):
+            w = s[0] * v + state[2 * i]
+            state[2 * i] = s[1] * v - s[4] * w + state[2 * i + 1]
+            state[2 * i + 1] = s[2] * v - s[5] * w
+            v = w
+        answer[t], states[t] = v, state
+    lag = np.subtract.outer(np.arange(length), np.arange(length))
+    outputs = np.where(lag >= 0, answer[np.maximum(lag, 0), 0], 0.0)
+    return outputs, answer[:, 1:], states[::-1, :, 0].T, states[-1, :, 1:]
+
+
 def filter_sections(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
-    """Run along the last axis, all other axes at once, in transposed direct form II."""
-    y = np.moveaxis(np.asarray(x, float), -1, 0).copy()
-    for i, s in enumerate(sections):
-        z = [np.zeros(y.shape[1:]) for _ in range(2)] if state is None else [state[i][0].copy(), state[i][1].copy()]
-        for t in range(len(y)):
-            v = y[t]
-            w = s[0] * v + z[0]
-            z[0] = s[1] * v - s[4] * w + z[1]
-            z[1] = s[2] * v - s[5] * w
-            y[t] = w
-    return np.moveaxis(y, 0, -1)
+    """The cascade's output along the last axis, all other axes at once, by blocks of samples."""
+    return filter_on(sections, x, state)[0]
+
+
+def filter_on(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(output, state after): a signal can be filtered in parts, each from the state in which the last one ended."""
+    x = np.moveaxis(np.asarray(x, float), -1, 0)
+    shape, n, packed = x.shape[1:], len(x), np.ascontiguousarray(sections, float).tobytes()
+    flat, y = x.reshape(n, -1), np.empty((n, int(np.prod(shape))))
+    z = np.zeros((2 * len(sections), y.shape[1])) if state is None else np.asarray(state, float).reshape(2 * len(sections), -1)
+    for at in range(0, n, BLOCK):
+        part = flat[at : at + BLOCK]
+        from_x, from_z, to_x, to_z = _block(packed, len(part))
+        y[at : at + BLOCK] = from_x @ part + from_z @ z
+        z = to_x @ part + to_z @ z
+    return np.moveaxis(y.reshape(n, *shape), 0, -1), z.reshape(len(sections), 2, *shape)
 
 
 def _settled(sections: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -102,15 +137,33 @@ def filter_recordings(df: DataFrame, keys: Sequence[str], order: str, signal: st
     if mode not in MODES:
         raise ValueError(f"unknown filter {mode}; known: {', '.join(MODES)}")
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        x = np.array([[list(c) for c in s] for s in rows[signal]], float)  # epoch, channel, sample
-        joined = np.concatenate(list(x), axis=-1)
-        clean = band_pass(joined, rate, mode).reshape(x.shape[1], len(rows), -1)
-        rows[signal] = [[clean[c, e].tolist() for c in range(x.shape[1])] for e in range(len(rows))]
-        return rows
+    at = df.columns.index(signal)
 
-    return df.groupBy(*keys).applyInPandas(kernel, df.schema)
+    def kernel(rows: pa.Table) -> pa.Table:
+        x = epochs_of(rows.column(at))
+        clean = band_pass(np.concatenate(list(x), axis=-1), rate, mode).reshape(x.shape[1], len(x), -1).transpose(1, 0, 2)
+        return rows.set_column(at, signal, nested(clean).cast(rows.schema.field(at).type))
+
+    return map_recordings(df, keys, order, kernel, _fields(df))
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
+def epochs_of(signal: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """[epoch, channel, sample] of a column of channels' samples; all epochs of one size."""
+    if isinstance(signal, pa.ChunkedArray):
+        signal = signal.combine_chunks()
+    channels = signal.flatten()
+    return channels.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(signal), len(channels) // max(len(signal), 1), -1)
+
+
+def nested(x: np.ndarray) -> pa.Array:
+    """[epoch, channel, sample] as a column of lists of lists."""
+    epochs, channels, samples = x.shape
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(epochs * channels + 1) * samples, pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(epochs + 1) * channels, pa.int32()), inner)
 
 
 def welch(x: np.ndarray, rate: float, seconds: float = 5.0, average: str = "median") -> tuple[np.ndarray, np.ndarray]:
@@ -206,21 +259,22 @@ def runs(above: np.ndarray, rate: float, shortest: float = 0.5, longest: float =
     return int(fits.sum()), float(length[fits].sum())
 
 
-class SpindleCounter:
-    """Counts spindles epoch by epoch; the threshold is the 92nd percentile of the envelopes seen, renewed every 20 epochs."""
+SPINDLE_LEVEL, SPINDLE_EVERY, SPINDLE_KEEP = 0.92, 20, 5
+
+
+def spindle_thresholds(envelopes: np.ndarray, level: float = SPINDLE_LEVEL, every: int = SPINDLE_EVERY, keep: int = SPINDLE_KEEP) -> np.ndarray:
+    """Each epoch's threshold, from envelopes [epoch, sample]: a quantile of every `keep`-th sample up to the last epoch whose
+    number (from one) divides by `every`; up to the first one before there is such."""
+    number = np.arange(1, len(envelopes) + 1)
+    seen = np.maximum(number // every * every, 1)
+    return np.concatenate([np.full((seen == k).sum(), np.quantile(envelopes[:k, ::keep], level)) for k in np.unique(seen)]) if len(seen) else np.zeros(0)
 
-    def __init__(self, rate: float, every: int = 20, keep: int = 5, level: float = 0.92):
-        self.rate, self.every, self.keep, self.level = rate, every, keep, level
-        self.seen: list[np.ndarray] = []
-        self.threshold, self.n = np.inf, 0
 
-    def push(self, x: np.ndarray) -> tuple[int, float]:
-        e = envelope(x, self.rate)
-        self.seen.append(e[:: self.keep])
-        self.n += 1
-        if self.n == 1 or self.n % self.every == 0:
-            self.threshold = float(np.quantile(np.concatenate(self.seen), self.level))
-        return runs(e > self.threshold, self.rate)
+def spindles(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(count, seconds) of spindles in each epoch of a recording [epoch, sample], by thresholds that follow the recording."""
+    size = envelope(x, rate)
+    found = [runs(above, rate) for above in size > spindle_thresholds(size)[:, None]]
+    return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], float)
 
 
 def channel_features(x: np.ndarray, rate: float) -> dict[str, np.ndarray]:
@@ -237,34 +291,62 @@ def channel_features(x: np.ndarray, rate: float) -> dict[str, np.ndarray]:
     return out
 
 
-def epoch_kernel(x: np.ndarray, rate: float, channels: Sequence[str]) -> dict[str, np.ndarray]:
-    """All features of epochs [epoch, channel, sample], by name; infinities and undefined values are nan."""
+FAMILIES = {
+    "power": ("abspow", *BANDS, "dt", "ds", "db", "at"),
+    "extremes": tuple(f"{b}_{k}" for b in BANDS for k in ("max", "min")),
+    "time": ("std", "iqr", "skew", "kurt", "nzc", "mobility", "complexity"),
+    "distance": ("mmd", "esis"),
+    "complexity": ("perm_entropy", "higuchi", "petrosian"),
+}
+_FAMILY_OF = {n: f for f, names in FAMILIES.items() for n in names}
+
+
+def describe(name: str, channels: Sequence[str]) -> dict:
+    """A feature's channels (a set), family, context (none, centre, trail or shift) and base name, from its column's name."""
+    base, context = name, "none"
+    for tail, kind in (("_c7min", "centre"), ("_p2min", "trail")):
+        if base.endswith(tail):
+            base, context = base.removesuffix(tail), kind
+    head, sign, _ = base.rpartition("_ep")
+    if sign and base[len(head) + 3 :].lstrip("+-").isdigit():
+        base, context = head, "shift"
+    base = base.removesuffix("_norm").removesuffix("_posthoc")
+    own, _, rest = base.partition("__")
+    if own in channels:
+        return {"channels": frozenset([own]), "family": _FAMILY_OF.get(rest, "spindle" if "spindle" in rest else "other"), "context": context, "base": base}
+    family = own if own in ("ratio", "corr") else "clock" if base == "time_hour" else "other"
+    return {"channels": frozenset(channels) if family in ("ratio", "corr") else frozenset(), "family": family, "context": context, "base": base}
+
+
+def epoch_kernel(x: np.ndarray, rate: float, channels: Sequence[str], without: Sequence[str] = ()) -> dict[str, np.ndarray]:
+    """All features of epochs [epoch, channel, sample], by name, but for the families in `without`; infinities and undefined
+    values are nan."""
     out: dict[str, np.ndarray] = {}
     for i, channel in enumerate(channels):
         found = band_features(x[:, i], rate) | time_features(x[:, i]) | complexity_features(x[:, i])
-        out |= {f"{channel}__{n}": v for n, v in found.items()}
+        out |= {f"{channel}__{n}": v for n, v in found.items() if _FAMILY_OF[n] not in without}
     if len(channels) == 2:
         out |= channel_features(x, rate)
     return {n: np.where(np.isfinite(v), v, np.nan) for n, v in out.items()}
 
 
-def feature_names(rate: float, channels: Sequence[str], samples: int) -> list[str]:
+def feature_names(rate: float, channels: Sequence[str], samples: int, without: Sequence[str] = ()) -> list[str]:
     """The names of the features, in order."""
     rng = np.random.default_rng(0)
-    return list(epoch_kernel(rng.normal(size=(1, len(channels), samples)), rate, channels))
+    return list(epoch_kernel(rng.normal(size=(1, len(channels), samples)), rate, channels, without))
 
 
-def epoch_features(df: DataFrame, columns: Sequence[str], signal: str, rate: float, channels: Sequence[str], samples: int) -> DataFrame:
+def epoch_features(df: DataFrame, columns: Sequence[str], signal: str, rate: float, channels: Sequence[str], samples: int, without: Sequence[str] = ()) -> DataFrame:
     """The given columns and `features`, an array in the order of feature_names(); nothing is shuffled."""
-    names = feature_names(rate, channels, samples)
+    names = feature_names(rate, channels, samples, without)
     fields = ", ".join(f"`{n}` {t}" for n, t in df.select(*columns).dtypes)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x = np.array(part.column(len(columns)).to_pylist(), float)
-                found = epoch_kernel(x, rate, channels)
+                x = epochs_of(part.column(len(columns)))
+                found = epoch_kernel(x, rate, channels, without)
                 rows = np.stack([found[n] for n in names], axis=1)
                 values = pa.array([[None if np.isnan(v) else v for v in r] for r in rows.tolist()], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], names=[*columns, "features"])
@@ -276,11 +358,9 @@ def spindle_features(df: DataFrame, keys: Sequence[str], order: str, signal: str
     """(keys, order, n_spindles, spindle_seconds): the adaptive counter over each recording in order."""
     kinds = dict(df.dtypes)
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        counter = SpindleCounter(rate)
-        found = [counter.push(np.array(list(s[channel]), float)) for s in rows[signal]]
-        return rows[[*keys, order]].assign(n_spindles=[f[0] for f in found], spindle_seconds=[f[1] for f in found])
+    def kernel(rows: pa.Table) -> pa.Table:
+        count, seconds = spindles(epochs_of(rows.column(signal))[:, channel], rate)
+        return rows.select([*keys, order]).append_column("n_spindles", pa.array(count)).append_column("spindle_seconds", pa.array(seconds))
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, order)), "n_spindles long, spindle_seconds double"])
-    return df.select(*keys, order, signal).groupBy(*keys).applyInPandas(kernel, schema)
+    return map_recordings(df.select(*keys, order, signal), keys, order, kernel, schema)

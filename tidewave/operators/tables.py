@@ -31,10 +31,18 @@ def only(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows in both: for a leak check it must be empty."""
+    """Rows in both, each once."""
     return a.intersect(b)
 
 
+def no_leak(a: DataFrame, b: DataFrame, named: int = 5) -> None:
+    """Two sides of a split share nothing; else this stops and names the first few that are on both."""
+    both = overlap(a, b)
+    found = both.orderBy(*both.columns).limit(named).collect()
+    if found:
+        raise ValueError("on both sides: " + ", ".join("/".join(map(str, r)) for r in found))
+
+
 def pair_files(names: DataFrame, signal: str = "-PSG", labels: str = "-Hypnogram", stem: int = 7) -> DataFrame:
     """(key, signal_name, label_name, n_labels, paired) for each signal file name; paired where one label file has its stem."""
     base = names.select("name", F.substring("name", 1, stem).alias("_stem"))
@@ -45,6 +53,16 @@ def pair_files(names: DataFrame, signal: str = "-PSG", labels: str = "-Hypnogram
     return found.select(key.alias("key"), "signal_name", "label_name", "n_labels", (F.col("n_labels") == 1).alias("paired"))
 
 
+def paired(names: DataFrame, **columns) -> DataFrame:
+    """pair_files(), but a signal file without just one label file, or of no known name, stops the query."""
+    found = pair_files(names, **columns)
+    known = F.regexp_like("signal_name", F.lit(r"^S[CT]\d{3}\d"))
+    stop = F.when(~known, F.raise_error(F.concat(F.lit("unknown file name: "), "signal_name"))).when(
+        ~F.col("paired"), F.raise_error(F.concat(F.lit("no single label file for "), "signal_name"))
+    )
+    return found.select(F.coalesce(stop.cast("string"), F.col("key")).alias("key"), "signal_name", "label_name")
+
+
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The last row of each key in the given order (an upsert's result)."""
     w = W.partitionBy(*key).orderBy(*[o.desc() for o in order])

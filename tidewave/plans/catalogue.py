@@ -218,8 +218,8 @@ _M = lambda k: f"list_avg(list_transform(x, lambda v: (v - m) ^ {k}))"  # noqa:
     ]) + " FROM e"
 )
 def signal_stats(spark, d):
-    found = A.statistics(F.col("x"))
-    return signals(spark, d).select("vec_id", *[(c.cast("int") if n == "nzc" else r6(c)).alias(n) for n, c in found.items()])
+    found = signals(spark, d).select("vec_id", A.statistics(F.col("x")).alias("s")).select("vec_id", "s.*")
+    return _rounded(found)
 
 
 @query(
@@ -227,7 +227,7 @@ def signal_stats(spark, d):
     + R(f"sqrt({_VAR('dd')} / {_VAR('d')}) / sqrt({_VAR('d')} / {_VAR('x')})", "complexity") + " FROM e"
 )
 def hjorth(spark, d):
-    return signals(spark, d).select("vec_id", *[r6(c).alias(n) for n, c in A.hjorth(F.col("x")).items()])
+    return _rounded(signals(spark, d).select("vec_id", A.hjorth(F.col("x")).alias("h")).select("vec_id", "h.*"))
 
 
 @query(
@@ -253,7 +253,7 @@ def petrosian_dimension(spark, d):
     + R("list_avg(list_transform(d, lambda v: (v = 0)::INT::DOUBLE))", "flat_ratio") + " FROM e"
 )
 def epoch_quality(spark, d):
-    return signals(spark, d).select("vec_id", *[r6(c).alias(n) for n, c in A.quality(F.col("x")).items()])
+    return _rounded(signals(spark, d).select("vec_id", A.quality(F.col("x")).alias("q")).select("vec_id", "q.*"))
 
 
 _FREQS = "list_transform(range(64), lambda i: i * 0.5)"
@@ -488,7 +488,7 @@ def rescore_gain(spark, d):
     return _rounded(evaluation.gain(before, after, "fold"))
 
 
-_COLUMNS = {"a": 0, "a_p2min": 0, "a_c7min": 7, "a_ep+1": 1, "a_ep+2": 2, "a_norm": 0}
+_COLUMNS = {"a": 0, "a_p2min": 0, "a_c7min": 7, "a_ep+1": 1, "a_ep+2": 2, "a_norm": 0, "a_posthoc": 2**31 - 1}
 
 
 @query(
@@ -548,12 +548,9 @@ _GRID = (0.0, 0.1, 0.3, 1.0)
 )
 def decode_weight_grid(spark, d):
     rows = _proba(spark, d)
-    out = None
-    for w in _GRID:
-        found = decoding.forward(rows, KEYS, "pos", "proba", STEPS, w).withColumnRenamed("stage", "pred")
-        one = evaluation.scores(found.join(rows.select("user_id", "pos", "stage"), ["user_id", "pos"]), "stage", "pred").withColumn("weight", F.lit(w))
-        out = one if out is None else out.unionByName(one)
-    return _rounded(out.select("weight", "n", "accuracy", "macro_f1"))
+    found = decoding.decode_grid(rows, KEYS, "pos", "proba", STEPS, _GRID).withColumnRenamed("stage", "pred")
+    rated = evaluation.scores(found.join(rows.select("user_id", "pos", "stage"), ["user_id", "pos"]), "stage", "pred", ["weight"])
+    return _rounded(rated.select("weight", "n", "accuracy", "macro_f1"))
 
 
 @query()

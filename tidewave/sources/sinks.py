@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from tidewave.operators.tables import keep_last
 
 
-def append_versions(path: str, key: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends a batch with its number. Rows are never rewritten; a batch that comes again adds nothing new."""
+def append_versions(path: str, key: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends a batch with its number, of each key the last row by `order`.
+
+    Rows are never rewritten; a batch that comes again adds nothing new.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        once = batch.dropDuplicates(list(key)) if key else batch
+        once = keep_last(batch, key, [F.col(c) for c in order]) if key else batch
         once.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
@@ -27,9 +30,9 @@ def current(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
     return keep_last(spark.read.option("basePath", path).parquet(f"{path}/batch=*"), key, [F.col("batch")])
 
 
-def audit(df: DataFrame, path: str, event: str, detail: str = "") -> None:
-    """Append one row per session: session, event, detail, created_at."""
-    rows = df.select("session").distinct().select("session", F.lit(event).alias("event"), F.lit(detail).alias("detail"), F.current_timestamp().alias("created_at"))
+def audit(df: DataFrame, path: str, event: str, detail: str = "", model_version: str = "") -> None:
+    """Append one row per session: session, event, detail, model_version, created_at."""
+    rows = df.select("session").distinct().select("session", F.lit(event).alias("event"), F.lit(detail).alias("detail"), F.lit(model_version).alias("model_version"), F.current_timestamp().alias("created_at"))
     rows.write.mode("append").parquet(path)
 
 
