@@ -478,6 +478,39 @@ def test_archives_round_trip(spark, tmp_path):
     size = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in archive.collect()}
     assert size == {i: (len((t or "").encode()), hashlib.sha1((t or "").encode()).hexdigest()) for i, _, t in rows}
     assert warc.archive(pages.limit(0)).count() == 0
+    assert not [f for f in tmp_path.iterdir() if not f.name.startswith("part-")]
+
+
+def test_revisits_name_their_response(spark, tmp_path):
+    one, two, lone, long = "x" * 1000, "y" * 1000, "z" * 1000, "é" * 3_000_000
+    rows = [
+        (1, "http://a.example/", one, "2020-01-01T00:00:00Z"), (9, "http://b.example/", one, "2021-01-01T00:00:00Z"), (9, "http://c.example/", two, None),
+        (9, "http://b.example/", one, "2021-01-01T00:00:00Z"), (None, None, two, None), (None, "n1", lone, None), (None, "n2", lone, None), (3, "u", long, None), (2, "v", long, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, day string")
+    files = warc.write(pages, str(tmp_path), date_col="day")
+    archive = warc.read(spark, files).cache()
+    found = archive.collect()
+    assert len({r["record_id"] for r in found}) == len(rows)
+    kinds = sorted((r["page_id"] or 0, r["url"], r["record_type"], r["refers_to"] or 0) for r in found)
+    assert kinds == sorted([
+        (1, "http://a.example/", "revisit", 9), (9, "http://b.example/", "response", 0), (9, "http://b.example/", "response", 0), (9, "http://c.example/", "response", 0),
+        (0, "", "revisit", 9), (0, "n1", "response", 0), (0, "n2", "response", 0), (3, "u", "response", 0), (2, "v", "revisit", 3),
+    ])
+    payloads = collections.Counter((r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in warc.resolve(archive).collect())
+    assert payloads == collections.Counter((i, u or "", t) for i, u, t, _ in rows)
+    heads = []
+    for f in files:
+        with open(f["file"], "rb") as stream:
+            heads += [h for h, _ in warc.records(stream)]
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    told = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(told) == 3
+    for h in told:
+        target = by_id[h["WARC-Refers-To"]]
+        assert target["WARC-Type"] == "response" and target["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+        assert (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"]) == (target["WARC-Target-URI"], target["WARC-Date"])
+    assert {h["WARC-Refers-To-Target-URI"] for h in told if h["X-Page"] == "1"} == {"http://b.example/"}
 
 
 # Personal data

@@ -171,10 +171,11 @@ def keep_first(
 
 
 def _proposed(sketches: DataFrame, max_distance: int, segments: int) -> DataFrame:
-    """(a, b), a < b: each text with the first of its fingerprint, and those first ones where fingerprints are linked."""
+    """(a, b), a < b: each text with the first of its fingerprint, and those first ones of each fingerprint and the least that
+    it is linked to. So there are two pairs a text at most, however large a group is."""
     prints = materialize(sketches.groupBy("_print").agg(F.min("_node").alias("_rep")))
     alike = join_hot(sketches.select("_node", "_print"), prints, "_print").select(F.col("_rep").alias("a"), F.col("_node").alias("b"))
-    near = links(prints.select(F.col("_print").alias("node")), max_distance, segments)
+    near = links(prints.select(F.col("_print").alias("node")), max_distance, segments).groupBy("b").agg(F.min("a").alias("a"))
     for x in "ab":
         near = near.join(prints.select(F.col("_print").alias(x), F.col("_rep").alias(f"_{x}")), x)
     near = near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
