@@ -608,8 +608,7 @@ def test_brute_force_kernel_features():
     codes = [26, 0, 1, 2, 0, 1, 26]
     plain = collections.Counter()
     for i, j, k in itertools.combinations(range(7), 3):
-        if k - i < toxicity.SPAN:
-            plain[(codes[i] * 28 + codes[j]) * 28 + codes[k]] += toxicity.LAMBDA ** (k - i + 1)
+        plain[(codes[i] * toxicity.SYMBOLS + codes[j]) * toxicity.SYMBOLS + codes[k]] += toxicity.LAMBDA ** (k - i + 1)
     got = toxicity.features([word])[0]
     scale = got.sum() / sum(plain.values())
     assert {int(c): pytest.approx(plain[int(c)] * scale, rel=1e-4) for c in np.flatnonzero(got)} == {int(c): got[c] for c in np.flatnonzero(got)}
@@ -639,6 +638,60 @@ def test_toxic_texts_are_told_apart_on_held_out_rows(spark):
     assert {r["doc_id"] for r in toxicity.clean(variants, model).collect()} == {4, 5, 6, 7, 8}
 
 
+def test_training_does_not_depend_on_partitions(spark):
+    table, labels = (queries.table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    labels = labels.filter(~queries.held_out(F.col("doc_id")))
+    one, two = toxicity.train(table, labels), toxicity.train(table.repartition(13), labels.repartition(5))
+    assert np.array_equal(one.weights, two.weights) and (one.slope, one.middle) == (two.slope, two.middle)
+
+
+def test_texts_that_share_a_line_are_no_copies():
+    draw = random.Random(3)
+    line = " ".join(f"licence{i}" for i in range(12))
+    texts = [line + " " + " ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(60)]
+    keys = toxicity._copy_key(texts + texts[:5])
+    assert len(set(keys)) >= 59 and list(keys[:5]) == list(keys[60:])
+
+
+def test_the_machine_is_exact_with_all_units_as_landmarks():
+    draw = random.Random(4)
+    units = sorted({"".join(draw.choices("abcdefg", k=draw.randint(3, 9))) for _ in range(40)})
+    labels = np.array(["ab" in u or u.count("g") > 1 for u in units])
+    x = toxicity.features(units).astype(float)
+    kernel, y, cost = x @ x.T, np.where(labels, 1.0, -1.0), 1000.0 * 100
+    share = np.where(labels, 0.5 / labels.sum(), 0.5 / (~labels).sum()) * cost
+    alpha, shift = np.zeros(len(units)), 0.0  # of margin = kernel @ alpha + shift, by Newton's steps on the dual system
+    for _ in range(100):
+        active = y * (kernel @ alpha + shift) < 1
+        n = active.sum()
+        system = np.block([[kernel[np.ix_(active, active)] + np.diag(1 / share[active]), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+        solved = np.linalg.solve(system, np.append(y[active], 0.0))
+        new = np.zeros(len(units))
+        new[active] = solved[:-1]
+        if np.allclose(new, alpha, atol=1e-10):
+            break
+        alpha, shift = new, solved[-1]
+    found = toxicity.nystrom_svm(units, labels, units)
+    assert np.allclose(x @ found, kernel @ alpha, atol=2e-2 * np.abs(kernel @ alpha).max())
+
+
+def test_held_out_rows_of_the_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    found = queries.op10_toxicity(spark, sf).filter("held_out").join(queries.table(spark, sf, "labels"), "doc_id")
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    recall = counts[1, 1] / (counts[1, 1] + counts[1, 0])
+    print("held out:", counts)
+    assert recall > 0.6 and counts.get((0, 1), 0) <= 0.01 * counts[0, 0]
+
+
+def test_short_items_are_found_as_words_only(spark):
+    items = spark.createDataFrame([(1, "cat"), (2, "cat"), (3, "a b"), (4, None), (5, " ")], "item_id long, text string")
+    table = docs(spark, [(1, "the cat category"), (2, "concatenate"), (3, "A  B."), (4, "ca b"), (4, "ca b"), (5, None), (6, ""), (7, "cat, then")])
+    got = sorted((r["doc_id"], r["item_id"], r["start"]) for r in decontamination.find(table, items).collect())
+    assert got == [(1, 1, 4), (1, 2, 4), (3, 3, 0), (7, 1, 0), (7, 2, 0)]
+    assert sorted(r["doc_id"] for r in decontamination.clean(table, items).collect()) == [2, 4, 4, 5, 6]
+
+
 # Edge cases that all operators share
 
 

@@ -2,14 +2,15 @@
 
 Units are words reduced to their letters (inserted marks go, single letters set apart are put together), with a mark at
 either end. The kernel of two units sums over all common subsequences of three symbols, gaps allowed, LAMBDA to the power
-of the spans in both, and is scaled by the units' lengths. So an insult with a letter put in or left out keeps most of its
+of the spans in both, and is scaled by the units' lengths. Long units are looked at by overlapping windows of WINDOW letters. So an insult with a letter put in or left out keeps most of its
 similarity. Landmark units give each unit Nyström coordinates; the machine is linear in them. Because the kernel is an
 inner product of subsequence weights, landmarks and machine together come down to one weight for each triple of symbols,
 and a unit's margin is a sum over its own triples: scoring needs no landmark at all, and is exact.
 
 A text is toxic if any of its units is: its margin is the largest of theirs. Labels tell of whole texts, so units are
 labelled first: those found in toxic texts far more often than chance allows, and hardly in clean ones, against units of clean
-texts. Sentences of one unit each are what the machine is trained on. Copies of a text count once, by its least shingle.
+texts. These labelled units are the machine's training rows. Copies of a text count once. Every choice is made in a full
+order, so the model depends on the labelled rows alone, not on how they are partitioned.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +33,9 @@ from .common import materialize, slices, words
 from .shingles import shingle_hashes
 
 LAMBDA = 0.7
-SPAN = 8
 WINDOW = 24  # letters of a long unit that are looked at together
-EDGE, OTHER, SYMBOLS = 26, 27, 28
+EDGE, OTHER, OTHERS = 26, 27, 6  # letters outside a-z share OTHERS symbols by hash
+SYMBOLS = OTHER + OTHERS
 #: Labelled texts and units that training looks at, at most (about): toxic texts, clean texts, clean units, landmarks.
 TOXIC_TEXTS, CLEAN_TEXTS, CLEAN_UNITS, LANDMARKS = 4000, 8000, 20_000, 400
 #: Times that all clean units are searched for those nearest to insults, and how many of them training takes up each time.
@@ -52,14 +55,13 @@ def letters(word: str) -> str:
 
 
 def _codes(unit: str) -> list[int]:
-    return [EDGE, *(ord(c) - 97 if "a" <= c <= "z" else OTHER for c in unit), EDGE]
+    return [EDGE, *(ord(c) - 97 if "a" <= c <= "z" else OTHER + ord(c) * 2654435761 % (1 << 32) * OTHERS // (1 << 32) for c in unit), EDGE]
 
 
 @cache
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j, k) within SPAN in n symbols, and their weights, scaled to a vector of length 1 if no triple repeats."""
-    found = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + SPAN))]
-    at = np.array(found, np.int64).reshape(-1, 3)
+    """All i < j < k in n symbols, and their weights, scaled to a vector of length 1 if no triple repeats."""
+    at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
     weight = LAMBDA ** (at[:, 2] - at[:, 0] + 1.0)
     return at, weight / max(np.sqrt((weight**2).sum()), 1e-12)
 
@@ -84,13 +86,21 @@ def _by_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 def margins(units: list[str], weights: np.ndarray) -> np.ndarray:
     """Each unit's margin without the intercept, its largest window's if it is long; units without letters get -inf."""
+    return window_margins(units, weights)[0]
+
+
+def window_margins(units: list[str], weights: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """margins() and the window that each comes from, the first of equals."""
     parts = [(r, w) for r, u in enumerate(units) for w in _windows(u) if w]
-    out = np.full(len(units), -np.inf)
-    if parts:
-        owner = np.array([r for r, _ in parts])
-        for rows, codes, weight in _by_length([w for _, w in parts]):
-            np.maximum.at(out, owner[rows], weights[codes] @ weight)
-    return out
+    value = np.empty(len(parts))
+    for rows, codes, weight in _by_length([w for _, w in parts]):
+        value[rows] = weights[codes] @ weight
+    value = np.round(value, 9)  # sums in other portions differ in the last places; decisions must not
+    out, best = np.full(len(units), -np.inf), [""] * len(units)
+    for (r, w), v in zip(parts, value.tolist(), strict=True):
+        if v > out[r]:
+            out[r], best[r] = v, w
+    return out, best
 
 
 def features(units: list[str]) -> np.ndarray:
@@ -155,7 +165,7 @@ def nystrom_svm(units: list[str], labels: np.ndarray, landmarks: list[str], cost
     value, vector = np.linalg.eigh(own + 1e-6 * np.eye(len(own)))
     value = np.maximum(value, 1e-6)
     root = vector / np.sqrt(value) @ vector.T
-    kernel = np.concatenate([features(units[i : i + 1000]) @ base.T for i in range(0, len(units), 1000)]).astype(float)
+    kernel = np.concatenate([features(units[i : i + 500]) @ base.T for i in range(0, len(units), 500)]).astype(float)
     x = np.hstack([kernel @ root, np.ones((len(units), 1))])
     y = np.where(labels, 1.0, -1.0)
     share = np.where(labels, 0.5 / max(labels.sum(), 1), 0.5 / max((~labels).sum(), 1)) * cost * 100
@@ -197,13 +207,25 @@ def training_texts(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
     picked = told.filter(draw < share)  # bounded by the two parameters, hence fit to be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    least = F.pandas_udf(_least_shingle, "long")
-    return materialize(found.withColumn("_least", least("text")).dropDuplicates(["_least", "toxic"]).drop("_least"))
+    key = F.pandas_udf(_copy_key, "long")
+    first = F.min(F.struct("doc_id", "text")).alias("_first")
+    once = found.withColumn("_key", key("text")).groupBy("_key", "toxic").agg(first)
+    return materialize(once.select("_first.doc_id", "_first.text", "toxic"))
+
 
+#: Near copies share the least shingle in all of so many orders; texts that share a line don't.
+ORDERS = 4
 
-def _least_shingle(texts: pd.Series) -> pd.Series:
-    found = [shingle_hashes((t or "").lower().encode().split()) for t in texts]
-    return pd.Series([int(h.min().astype(np.int64)) if len(h) else 0 for h in found], dtype="int64")
+
+def _copy_key(texts: pd.Series) -> pd.Series:
+    """One number for the least shingles of a text in ORDERS orders, each by an odd multiple of the shingles' hashes."""
+    odd = np.array([2 * xxhash.xxh64_intdigest(bytes([k])) + 1 & 0xFFFFFFFFFFFFFFFF for k in range(ORDERS)], np.uint64)
+    out = []
+    for t in texts:
+        found = shingle_hashes((t or "").lower().encode().split())
+        least = [int((found * m).min()) for m in odd] if len(found) else []
+        out.append(xxhash.xxh64_intdigest(repr(least).encode()) - (1 << 63))
+    return pd.Series(out, dtype="int64")
 
 
 def _by_chance(toxic: int, clean: int, share: float) -> float:
@@ -244,18 +266,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     clean = clean.withColumn("_draw", F.pmod(F.xxhash64("unit"), F.lit(1_000_000))).filter(
         F.col("_draw") < F.lit(1e6 * CLEAN_UNITS / max(n_units, 1))
     )
-    rest = sorted({r["unit"][:WINDOW] for r in clean.select("unit").collect()} - set(insults))
-    insults = [u[:WINDOW] for u in insults]
+    insults = sorted({w for u in insults for w in _windows(u)})
+    rest = sorted({w for r in clean.select("unit").collect() for w in _windows(r["unit"])} - set(insults))
     weights = fit_units(insults, rest)
     for _ in range(MINING_ROUNDS):
         held = tally.filter((F.col("clean") > 0) & (F.col("clean") * 50 > F.col("toxic")) & (F.length("unit") > 0))
         near = held.select("unit").mapInArrow(_mining_task(weights), "unit string, margin double")
-        hard = near.orderBy(F.desc("margin"), "unit").limit(HARD_UNITS).collect()
-        rest = sorted({*rest, *(r["unit"][:WINDOW] for r in hard)} - set(insults))
+        hard = near.groupBy("unit").agg(F.max("margin").alias("margin")).orderBy(F.desc("margin"), "unit").limit(HARD_UNITS).collect()
+        rest = sorted({*rest, *(r["unit"] for r in hard)} - set(insults))
         weights = fit_units(insults, rest)
     model = Model(weights, 1.0, 0.0)
     seen = texts.mapInArrow(_margin_task(model, False), "doc_id long, margin double").join(texts.select("doc_id", "toxic"), "doc_id")
-    seen = seen.select("margin", "toxic").collect()
+    seen = sorted(seen.select("margin", "toxic").collect())
     margin = np.nan_to_num(np.array([r["margin"] for r in seen], float), neginf=-1e3)
     return _calibrated(weights, margin, np.array([r["toxic"] for r in seen], bool))
 
@@ -277,8 +299,8 @@ def fit_units(insults: list[str], clean: list[str], rounds: int = 3, first: int
 def _mining_task(weights: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = margins(batch.column(0).to_pylist(), weights)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], names=["unit", "margin"])
+            value, window = window_margins(batch.column(0).to_pylist(), weights)
+            yield pa.RecordBatch.from_arrays([pa.array(window, pa.string()), pa.array(value)], names=["unit", "margin"])
 
     return run
 
@@ -323,7 +345,10 @@ def score(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", th
 
 
 def clean(docs: DataFrame, model: Model, *, text_col="text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score under the threshold, with all their columns. Nothing is shuffled."""
+    """The rows of docs that score under the threshold, with all their columns. Nothing is shuffled.
+
+    Null, empty and letterless texts stay; repeated rows are decided alike; an empty table stays empty.
+    """
 
     def passes(texts: pa.Array) -> pa.Array:
         out = [model.scores(model.margins(part)) < threshold for _, part in slices(texts)]
