@@ -34,6 +34,12 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _whole(text: str, start: int, stop: int) -> bool:
+    """Whether a stretch neither begins nor ends inside a word."""
+    before, after = text[start - 1 : start] if start else "", text[stop : stop + 1]
+    return not (before.isalnum() and text[start].isalnum()) and not (after.isalnum() and text[stop - 1].isalnum())
+
+
 class Pattern:
     """Myers' bit vectors of one item."""
 
@@ -87,8 +93,12 @@ class Matcher:
         """(distance, start, stop) of the best occurrence in a stretch of the text, if within the budget."""
         _, item, budget = self.items[n]
         at = text.find(item, start, stop)
+        while not budget and at >= 0 and not _whole(text, at, at + len(item)):
+            at = text.find(item, at + 1, stop)
         if at >= 0:
             return 0, at, at + len(item)
+        if not budget:
+            return None
         if n not in self.patterns:
             self.patterns[n] = (Pattern(item), Pattern(item[::-1]))
         ahead, back = self.patterns[n]
@@ -174,7 +184,8 @@ def find(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text",
 
     The budget is `rate` times the item's characters, rounded down. start and stop count code points of the normalised
     text and bound the best occurrence. Null and empty texts hold nothing, repeated rows are found as often as they come,
-    repeated items are told by their id and give a row each, and empty tables give no rows.
+    repeated items are told by their id and give a row each, and empty tables give no rows. An item too short for an edit must
+    stand as whole words: "cat" isn't found in "category".
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance long, start long, stop long"
@@ -195,7 +206,11 @@ def _holds(key: str, items, rate: float):
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text_col="text", rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of docs whose text holds no item within the budget, with all their columns. Nothing is shuffled."""
+    """The rows of docs whose text holds no item within the budget, with all their columns. Nothing is shuffled.
+
+    Null and empty texts stay; repeated rows are decided alike; no items or no documents leave everything as it is. Short
+    items count as in find().
+    """
     spark = docs.sparkSession
     for block in blocks(items):
         holds = F.arrow_udf(_holds(uuid.uuid4().hex, spark.sparkContext.broadcast(block), rate), "boolean")
