@@ -333,7 +333,7 @@ def test_wrappers_find_optional_and_repeated_parts():
     pages = ["<div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div>", "<div><h2>e</h2><p>f</p></div><ul><li>x<li>y</ul>"]
     one, two = (wrappers.items_of(wrappers.parse(p)) for p in pages)
     div, ul = wrappers.align(one, two)
-    assert div[:2] == ["div", 0] and div[2][0][0] == "()" and [x[0] for x in div[2][0][2]] == ["h2", "p"]
+    assert div[:2] == ["div|B", 0] and div[2][0][0] == "()" and [x[0] for x in div[2][0][2]] == ["h2", "p"]
     assert ul[:2] == ["ul", wrappers.OPTIONAL] and ul[2][0][:2] == ["li", wrappers.REPEATED]
 
 
@@ -462,6 +462,38 @@ def test_items_are_found_within_their_budget_and_not_beyond(spark):
     assert left == {n for n, _ in rows} - {n for n, _ in got}
 
 
+def unnamed(page):
+    """The page without the tags and names that tell what its elements are for."""
+    for tag in "article nav header footer aside form main section".split():
+        page = re.sub(rf"(</?){tag}(?=[\s>])", r"\1div", page)
+    return re.sub(r'\b(class|id|role)="[^"]*"', "", page)
+
+
+def test_wrappers_find_the_text_without_tags_or_names(spark):
+    rows = queries.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url", "html").collect()
+    bare = spark.createDataFrame([(r["page_id"], r["url"], unnamed(r["html"] or "")) for r in rows], "page_id long, url string, html string")
+    named = {r["page_id"]: r["text"] for r in queries.op5_html(spark, "/root/testdata/sf0.01").collect()}
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(bare).collect()}
+    assert sum(found[i] == named[i] for i in named) >= 0.98 * len(named)
+    alone = [wrappers.extract(unnamed(r["html"] or ""), []) == named[r["page_id"]] for r in rows]
+    assert sum(alone) < 0.1 * len(alone)
+
+
+def test_copies_of_one_page_keep_their_text():
+    for start, end in (("<article>", "</article>"), ("<div>", "</div>")):
+        page = f"<body><div><ul><li><a>x<li><a>y</ul></div>{start}<h1>A title</h1><p>Some words that are all the same here.</p>{end}</body>"
+        whole = wrappers.items_of(wrappers.parse(page))
+        for _ in range(3):
+            whole = wrappers.align(whole, wrappers.items_of(wrappers.parse(page)))
+        assert wrappers.extract(page, whole).endswith("A title\n\nSome words that are all the same here.")
+
+
+def test_runs_of_any_length_become_groups():
+    page = "<div>" + "".join(f"<h2>{i}</h2><p>a{i}<ul><li>b{i}</ul><table><tr><td>{i}</table><pre>{i}</pre><h3>c</h3>" for i in range(400)) + "</div>"
+    items = wrappers.items_of(wrappers.parse(page))
+    assert [x[0] for x in items[0][2]] == ["()"] and len(items[0][2][0][2]) == 6
+
+
 # WARC
 
 

@@ -4,8 +4,11 @@ A wrapper is a union-free regular expression over a page's elements and texts: e
 or repeated, text slots, and repeated groups. Pages of a host are aligned with its wrapper one after the other. Where
 they differ, equal neighbours become a repeated element, a run of elements that comes again becomes a repeated group,
 what one side lacks becomes optional, and texts that differ become a slot, while texts that are always the same stay
-template text. The wrapper of a host then tells which of its elements holds the main text, and each page is matched
-with the wrapper to read that out.
+template text. The wrapper of a host then tells which of its elements holds the main text: from the page down, it is the
+one in which most of the text lies that differs from page to page and isn't in links. Names and tags only weigh in. Each page
+is matched with the wrapper to read that out.
+
+Elements of one name are told apart by what they hold, only text, mostly links, or blocks, as many pages have no names at all.
 
 Alignment combines: a task folds its pages into a wrapper per host, those are folded by (host, salt) and then by host, so
 that a host with very many pages costs no task more than its own pages. Elements below MAX_DEPTH levels are looked
@@ -19,7 +22,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,6 @@ from .common import materialize
 
 MAX_DEPTH = 60
 TABLE_CELLS = 90_000  # longer lists are aligned by halves
-LONGEST_GROUP = 4
 SALTS = 64
 BROADCAST_BYTES = 32 << 20
 OPTIONAL, REPEATED = 1, 2
@@ -71,11 +73,39 @@ NOT_TEXT_NAMES = re.compile(
 )
 
 
+#: Elements whose name says how they lie in a text; all others are told apart by what they hold.
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th blockquote pre figure figcaption hr body html".split())
+#: How much more the text of an element counts whose tag or name says that it is the main one.
+NAMED = 10
+#: How much less template text counts: all pages of a host may be copies of one.
+TEMPLATE = 0.1
+#: An element is gone into as long as one inside holds this share of its text.
+MOST = 0.6
+
+
 class Node:
-    __slots__ = ("label", "kids")
+    __slots__ = ("label", "kids", "_key", "_text")
 
     def __init__(self, label: str):
-        self.label, self.kids = label, []
+        self.label, self.kids, self._key, self._text = label, [], None, None
+
+    def text(self) -> tuple[int, int]:
+        """Characters below, and those in links."""
+        if self._text is None:
+            parts = [k.text() if isinstance(k, Node) else (len(k[0].strip()), len(k[0].strip()) * k[1]) for k in self.kids]
+            self._text = sum(p[0] for p in parts), sum(p[1] for p in parts)
+        return self._text
+
+    def key(self) -> str:
+        """The label, and for most elements what they hold: text (T), mostly links (L) or blocks (B)."""
+        if self._key is None:
+            if self.label.partition(".")[0] in TEXT_LEVEL:
+                self._key = self.label
+            else:
+                size, linked = self.text()
+                holds = "L" if 2 * linked > size else "B" if any(isinstance(k, Node) for k in self.kids) else "T"
+                self._key = f"{self.label}|{holds}"
+        return self._key
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -167,7 +197,7 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper's items: text ["#", marks, hash or 0, characters, characters in links], element [label, marks, items],
+# A wrapper's items: text ["#", marks, hash or 0, characters, characters in links, times], element [label, marks, items],
 # group ["()", marks, items]. Marks are OPTIONAL and REPEATED.
 
 
@@ -178,7 +208,7 @@ def _key(item) -> str:
 def _unify(a, b):
     """The item that covers two with the same key."""
     if a[0] == "#":
-        return ["#", a[1] | b[1], a[2] if a[2] == b[2] else 0, a[3] + b[3], a[4] + b[4]]
+        return ["#", a[1] | b[1], a[2] if a[2] == b[2] else 0, a[3] + b[3], a[4] + b[4], a[5] + b[5]]
     return [a[0], a[1] | b[1], align(a[2], b[2])]
 
 
@@ -191,17 +221,21 @@ def _fold(items: list) -> list:
             out[-1][1] |= REPEATED
         else:
             out.append(item)
-    for size in range(2, LONGEST_GROUP + 1):
-        i = 0
-        while i + 2 * size <= len(out):
-            keys = [_key(x) for x in out[i : i + 2 * size]]
-            if keys[:size] == keys[size:]:
-                group = ["()", REPEATED, [_unify(a, b) for a, b in zip(out[i : i + size], out[i + size : i + 2 * size], strict=True)]]
-                out[i : i + 2 * size] = [group]
-                while [_key(x) for x in out[i + 1 : i + 1 + size]] == keys[:size]:
-                    group[2] = [_unify(a, b) for a, b in zip(group[2], out[i + 1 : i + 1 + size], strict=True)]
-                    del out[i + 1 : i + 1 + size]
-            i += 1
+    size = 2
+    while 2 * size <= len(out):
+        keys = [_key(x) for x in out]
+        number = {k: i for i, k in enumerate(set(keys))}
+        ids = np.array([number[k] for k in keys])
+        same = np.concatenate(([0], np.cumsum(ids[:-size] == ids[size:])))
+        starts = np.flatnonzero(same[size:] - same[:-size] == size)
+        if not len(starts):
+            size += 1
+            continue
+        i, stop = int(starts[0]), int(starts[0]) + 2 * size
+        while stop + size <= len(out) and keys[stop : stop + size] == keys[i : i + size]:
+            stop += size
+        runs = [out[k : k + size] for k in range(i, stop, size)]
+        out[i:stop] = [["()", REPEATED, [reduce(_unify, column) for column in zip(*runs, strict=True)]]]
     return out
 
 
@@ -269,10 +303,10 @@ def items_of(node: Node) -> list:
     out = []
     for kid in node.kids:
         if isinstance(kid, Node):
-            out.append([kid.label, 0, items_of(kid)])
+            out.append([kid.key(), 0, items_of(kid)])
         elif not kid[0].isspace():
             clean = " ".join(kid[0].split())
-            out.append(["#", 0, zlib.crc32(clean.encode("utf-8", "replace")) | 1 << 32, len(clean), len(clean) * kid[1]])
+            out.append(["#", 0, zlib.crc32(clean.encode("utf-8", "replace")) | 1 << 32, len(clean), len(clean) * kid[1], 1])
     return _fold(out)
 
 
@@ -287,7 +321,7 @@ def _kinds(label: str) -> frozenset:
     """What an element says of the text in it. Of nested main elements the outer has as much text, and articles come first."""
     if not is_text(label):
         return frozenset(("no text",))
-    tag, _, names = label.partition(".")
+    tag, _, names = label.partition("|")[0].partition(".")
     if tag == "article":
         return frozenset(("main", "article"))
     return frozenset(("main",)) if tag in MAIN_TAGS or names and MAIN_NAMES.search(names) else frozenset()
@@ -295,26 +329,48 @@ def _kinds(label: str) -> frozenset:
 
 def is_text(label: str) -> bool:
     """Whether an element with this label may hold main text."""
-    tag, _, names = label.partition(".")
+    tag, _, names = label.partition("|")[0].partition(".")
     return tag not in NOT_TEXT and not (names and tag not in MAIN_TAGS and NOT_TEXT_NAMES.search(names))
 
 
-def main_of(wrapper: list):
-    """The wrapper's element with the main text: of those whose tag or name says so, the one with most text; or None."""
-    found = []
+def _own(item) -> float:
+    """The characters of an item that speak for main text: not in links, and those of template text for little."""
+    if item[0] == "#":
+        return 0.0 if 2 * item[4] > item[3] else (item[3] - item[4]) * (TEMPLATE if _template(item) else 1.0)
+    return sum(map(_own, item[2])) if item[0] == "()" or is_text(item[0]) else 0.0
+
 
-    def walk(items: list) -> None:
-        for item in items:
-            if item[0] == "()":
-                walk(item[2])
-            elif item[0] != "#" and is_text(item[0]):
-                tag, _, names = item[0].partition(".")
-                if tag in MAIN_TAGS or names and MAIN_NAMES.search(names):
-                    found.append((tag == "article", *_size(item), item))
-                walk(item[2])
+def _template(item) -> bool:
+    """Whether a text is the same on all of several pages."""
+    return bool(item[2]) and not item[1] and item[5] > 1
 
-    walk(wrapper)
-    return max(found, key=lambda x: (x[0], x[1]), default=(None,))[-1]
+
+def _varies(items: list) -> bool:
+    return any(not x[2] if x[0] == "#" else _varies(x[2]) for x in items)
+
+
+def main_of(wrapper: list):
+    """The wrapper's element with the main text, or None.
+
+    From the page down: the element that holds most of the text that speaks for it, as long as there is one of blocks. Of an
+    element that tag or name call the main one the text counts NAMED times.
+    """
+    found, items = None, wrapper
+    while True:
+        rated = []
+        for item in _flat(items):
+            if item[0] != "#" and is_text(item[0]):
+                rated.append((_own(item) * (NAMED if _kinds(item[0]) else 1), item))
+        best = max(rated, key=lambda x: x[0], default=(0.0, None))
+        whole = sum(r for r, _ in rated) + sum(_own(x) for x in _flat(items) if x[0] == "#")
+        if not best[0] or best[0] < MOST * whole or not any(x[0] != "#" for x in best[1][2]):
+            return found
+        named = found is not None and _kinds(found[0])
+        if named and not _kinds(best[1][0]):
+            return found
+        if found is not None and best[1][0].partition(".")[0] in TEXT_LEVEL - {"body", "html", "table", "tbody", "tr", "td"}:
+            return found
+        found, items = best[1], best[1][2]
 
 
 def _flat(items: list) -> Iterator[list]:
@@ -326,22 +382,29 @@ def _flat(items: list) -> Iterator[list]:
 
 
 def _matched(node: Node, items: list | None) -> Iterator[tuple]:
-    """(kid, item) for a node's kids in order: the next item with the kid's key, or else the first one (a group again)."""
-    flat = list(_flat(items or ()))
-    at = 0
+    """(kid, item) for a node's kids in order: the next item with the kid's key that isn't used up, or the first one again."""
+    flat, places, used = list(_flat(items or ())), {}, {}
+    for i, item in enumerate(flat):
+        places.setdefault(item[0], []).append(i)
     for kid in node.kids:
-        key = kid.label if isinstance(kid, Node) else "#"
-        order = [*range(at, len(flat)), *range(at)]
-        hit = next((i for i in order if flat[i][0] == key), None)
-        at = at if hit is None else hit
-        yield kid, None if hit is None else flat[hit]
+        key = kid.key() if isinstance(kid, Node) else "#"
+        at = places.get(key)
+        if at is None:
+            yield kid, None
+            continue
+        turn = used.get(key, 0)
+        hit = flat[at[min(turn, len(at) - 1)]]
+        if isinstance(kid, Node) or not kid[0].isspace():
+            used[key] = turn if hit[1] & REPEATED and turn + 1 >= len(at) else turn + 1
+        yield kid, hit
 
 
 def extract(page: str, wrapper: list) -> str:
     """The main text of a page: blocks joined by blank lines, white space inside them single spaces.
 
-    Where the page has the wrapper's main element, all text in it counts but for elements that hold none. Elsewhere all
-    text of the body counts but for those, template text, and slots that are mostly links.
+    Where the page has the wrapper's main element, its text counts, elsewhere that of the body, but for elements that hold
+    none by their tag or name. Unless tag or name call it the main one, template text and slots that are mostly links don't
+    count either, if any text in it differs from page to page.
     """
     main, root = main_of(wrapper), parse(page)
     blocks: list[list[str]] = [[]]
@@ -349,8 +412,8 @@ def extract(page: str, wrapper: list) -> str:
     def walk(node: Node, items: list | None, inside: bool) -> None:
         for kid, item in _matched(node, items):
             if not isinstance(kid, Node):
-                template = item is not None and not inside and (item[1] == 0 and item[2] and item[3] > 2 * len(kid[0]) or item[4] * 2 > item[3])
-                blocks[-1].append(" " if template else kid[0])
+                drop = item is not None and not inside and (_template(item) or item[4] * 2 > item[3])
+                blocks[-1].append(" " if drop else kid[0])
             elif is_text(kid.label):
                 blocks.append([])
                 walk(kid, item[2] if item else None, inside)
@@ -362,7 +425,7 @@ def extract(page: str, wrapper: list) -> str:
             if isinstance(kid, Node) and is_text(kid.label):
                 if item is main:
                     blocks.append([])
-                    walk(kid, item[2], True)
+                    walk(kid, item[2], bool(_kinds(item[0])) or not _varies(item[2]))
                     blocks.append([])
                     found = True
                 else:
@@ -370,7 +433,7 @@ def extract(page: str, wrapper: list) -> str:
         return found
 
     if main is None or not seek(root, wrapper):
-        walk(root, wrapper, False)
+        walk(root, wrapper, not _varies(wrapper))
     texts = (" ".join("".join(b).split()) for b in blocks)
     return "\n\n".join(t for t in texts if t)
 
