@@ -1,8 +1,8 @@
 """Toxicity by a subsequence string kernel and a support vector machine over Nyström landmarks.
 
 Units are words reduced to their letters (inserted marks go, single letters set apart are put together), with a mark at
-either end. The kernel of two units sums over all common subsequences of three symbols, gaps allowed, LAMBDA to the power
-of the spans in both, and is scaled by the units' lengths. Long units are looked at by overlapping windows of WINDOW letters. So an insult with a letter put in or left out keeps most of its
+either end. The kernel of two units sums over all common subsequences of three symbols within SPAN places, gaps allowed, LAMBDA
+to the power of the spans in both, and is scaled by the units' lengths. Long units are looked at by overlapping windows of WINDOW letters. So an insult with a letter put in or left out keeps most of its
 similarity. Landmark units give each unit Nyström coordinates; the machine is linear in them. Because the kernel is an
 inner product of subsequence weights, landmarks and machine together come down to one weight for each triple of symbols,
 and a unit's margin is a sum over its own triples: scoring needs no landmark at all, and is exact.
@@ -33,6 +33,7 @@ from .common import materialize, slices, words
 from .shingles import shingle_hashes
 
 LAMBDA = 0.7
+SPAN = 8  # places that a subsequence may lie across; a wider one would weigh LAMBDA ** 9 or less
 WINDOW = 24  # letters of a long unit that are looked at together
 EDGE, OTHER, OTHERS = 26, 27, 6  # letters outside a-z share OTHERS symbols by hash
 SYMBOLS = OTHER + OTHERS
@@ -60,8 +61,8 @@ def _codes(unit: str) -> list[int]:
 
 @cache
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All i < j < k in n symbols, and their weights, scaled to a vector of length 1 if no triple repeats."""
-    at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    """All i < j < k within SPAN places in n symbols, and their weights, scaled to a vector of length 1 if no triple repeats."""
+    at = np.array([t for t in combinations(range(n), 3) if t[2] - t[0] < SPAN], np.int64).reshape(-1, 3)
     weight = LAMBDA ** (at[:, 2] - at[:, 0] + 1.0)
     return at, weight / max(np.sqrt((weight**2).sum()), 1e-12)
 
@@ -84,20 +85,32 @@ def _by_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
             yield part, codes, weight
 
 
+def _window_values(units: list[str], weights: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(unit, window, margin) of all windows. Sums in other portions differ in the last places; decisions must not."""
+    if all(0 < len(u) <= WINDOW for u in units):
+        windows, owner = units, np.arange(len(units))
+    else:
+        parts = [(r, w) for r, u in enumerate(units) for w in _windows(u) if w]
+        windows, owner = [w for _, w in parts], np.array([r for r, _ in parts], np.int64)
+    value = np.empty(len(windows))
+    for rows, codes, weight in _by_length(windows):
+        value[rows] = weights[codes] @ weight
+    return owner, windows, np.round(value, 9)
+
+
 def margins(units: list[str], weights: np.ndarray) -> np.ndarray:
     """Each unit's margin without the intercept, its largest window's if it is long; units without letters get -inf."""
-    return window_margins(units, weights)[0]
+    owner, _, value = _window_values(units, weights)
+    out = np.full(len(units), -np.inf)
+    np.maximum.at(out, owner, value)
+    return out
 
 
-def window_margins(units: list[str], weights: np.ndarray) -> tuple[np.ndarray, list[str]]:
+def largest_windows(units: list[str], weights: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """margins() and the window that each comes from, the first of equals."""
-    parts = [(r, w) for r, u in enumerate(units) for w in _windows(u) if w]
-    value = np.empty(len(parts))
-    for rows, codes, weight in _by_length([w for _, w in parts]):
-        value[rows] = weights[codes] @ weight
-    value = np.round(value, 9)  # sums in other portions differ in the last places; decisions must not
+    owner, windows, value = _window_values(units, weights)
     out, best = np.full(len(units), -np.inf), [""] * len(units)
-    for (r, w), v in zip(parts, value.tolist(), strict=True):
+    for r, w, v in zip(owner.tolist(), windows, value.tolist(), strict=True):
         if v > out[r]:
             out[r], best[r] = v, w
     return out, best
@@ -299,7 +312,7 @@ def fit_units(insults: list[str], clean: list[str], rounds: int = 3, first: int
 def _mining_task(weights: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value, window = window_margins(batch.column(0).to_pylist(), weights)
+            value, window = largest_windows(batch.column(0).to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([pa.array(window, pa.string()), pa.array(value)], names=["unit", "margin"])
 
     return run
