@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.functions import arrays, windows
-from tidewave.operators import decoding, evaluation, models, selection, spectra, structure, tables
+from tidewave.operators import decoding, evaluation, models, quality, selection, spectra, structure, tables
 from tidewave.plans import catalogue, overlay, settings
 from tidewave.sources import edf, sinks
 from tidewave.streaming import stager
@@ -307,6 +307,74 @@ def test_models_and_folds(spark):
         models.fit(df, ["a"], "nothing")
 
 
+def test_cross_validation_with_selection_decoding_delays_and_export(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = []
+    for subject in range(9):
+        stage = 0
+        for t in range(40):
+            stage = int(rng.integers(4)) if rng.random() < 0.15 else stage
+            rows.append((subject, t, stage, subject % 3, stage + rng.normal() * 0.8, (stage % 2) + rng.normal() * 0.8, float(rng.normal()), stage + rng.normal() * 0.5))
+    df = spark.createDataFrame(rows, "subject int, t long, stage int, fold int, a double, b double, noise double, a_c7min double").cache()
+    columns, ahead = ["a", "b", "noise", "a_c7min"], {"a": 0, "b": 0, "noise": 0, "a_c7min": 7}
+    seen = []
+    chosen = selection.select_columns(df.filter("fold <> 0"), columns, "top:2", lambda train, names: seen.append(train.count()) or {"a": 2.0, "b": 1.0})
+    assert chosen == ["a", "b"] and seen == [240]
+    found = models.cross_validate(df, columns, "fold", [0, 1, 2], select="top:3").cache()
+    plain = evaluation.scores(found, "stage", "pred").first()["accuracy"]
+    decoded = models.nested_decode(found, ["subject"], "t", "fold", [0, 1, 2], [0.0, 0.5, 1.0]).cache()
+    assert decoded.count() == 360 and evaluation.scores(decoded, "stage", "smoothed").first()["accuracy"] >= plain
+    assert decoded.select("fold", "weight").distinct().count() == 3
+    sweep = {r["minutes"]: r["n_columns"] for r in models.delay_sweep(df, ahead, "fold", [0, 1, 2], [0.0, None]).collect()}
+    assert sweep == {0.0: 3, None: 4}
+    with pytest.raises(ValueError):
+        models.delay_sweep(df, {"a_c7min": 7}, "fold", [0], [1.0])
+    split = models.validation_subjects(df, "subject").collect()
+    assert len(split) == 9 and sum(r["validates"] for r in split) == 2
+    fitted = models.fit(df, ["a", "b"], "ridge")
+    models.save(fitted, str(tmp_path / "m"), ["a", "b"], ahead, "ridge", spark, version="1")
+    again, card = models.load(str(tmp_path / "m"), spark)
+    assert card == {"model": "ridge", "columns": ["a", "b"], "look_ahead": {"a": 0, "b": 0}, "delay": 0, "version": "1"}
+    same = lambda m: [r["pred"] for r in models.predict(m, df, ["a", "b"]).orderBy("subject", "t").collect()]
+    assert same(again) == same(fitted)
+    with pytest.raises(ValueError):
+        models.save(fitted, str(tmp_path / "n"), [], {}, "nothing", spark)
+
+
+def test_signed_rank_by_all_sign_patterns():
+    for own in ([1.0, -2.0, 3.0, 4.0, 5.5], [0.5, 0.5, -0.5, 0.0, 2.0], [1.0] * 8):
+        kept = [d for d in own if d]
+        sizes = sorted(abs(d) for d in kept)
+        rank = [np.mean([i + 1 for i, x in enumerate(sizes) if x == abs(d)]) for d in kept]
+        least = min(sum(r for r, d in zip(rank, kept, strict=True) if d > 0), sum(r for r, d in zip(rank, kept, strict=True) if d < 0))
+        sums = [sum(r for r, up in zip(rank, signs, strict=True) if up) for signs in itertools.product((0, 1), repeat=len(kept))]
+        assert math.isclose(evaluation.signed_rank(own), min(1.0, 2 * sum(x <= least for x in sums) / len(sums)))
+    assert evaluation.signed_rank([0.0, 0.0]) == 1.0
+
+
+def test_quality_scan_and_its_refusals(spark):
+    rows = [("a", "x", 80.0, "c"), ("a", "x", 90.0, "c"), ("b", "x", 5.0, "c"), ("b", "x", 6.0, "c"), ("b", "y", 80.0, "c")]
+    df = spark.createDataFrame(rows, "rec string, ch string, ptp double, config string")
+    report = quality.scan(df, ["rec"], "ch", "ptp", "config")
+    assert (report["n_recordings"], report["n_excluded"], report["n_epochs_excluded"], report["excluded"]) == (2, 1, 2, [["b"]])
+    assert quality.excluded(report, "c") == [("b",)]
+    for bad in (lambda: quality.excluded(report, "d"), lambda: quality.scan(df.filter("false"), ["rec"], "ch", "ptp", "config"),
+                lambda: quality.scan(df.withColumn("config", F.col("rec")), ["rec"], "ch", "ptp", "config")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_leaks_and_unpaired_files_stop(spark):
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    assert tables.paired(names("SC4001E0-PSG", "SC4001EC-Hypnogram")).first()["key"] == "SC400N1"
+    for bad in (names("SC4001E0-PSG"), names("XX-PSG", "XX-Hypnogram")):
+        with pytest.raises(Exception, match="no single label file|unknown file name"):
+            tables.paired(bad).collect()
+    tables.no_leak(names("a"), names("b"))
+    with pytest.raises(ValueError, match="a"):
+        tables.no_leak(names("a", "c"), names("a"))
+
+
 # Files, settings, stream
 
 

@@ -46,8 +46,8 @@ def map_recordings(df: DataFrame, keys: Sequence[str], order: str, kernel: Calla
 class RunningOrder:
     """The values of a series so far in order: quantiles after each value, for the cost of one insertion."""
 
-    def __init__(self):
-        self.values: list[float] = []
+    def __init__(self, values: list[float] | None = None):
+        self.values: list[float] = values or []
 
     def __len__(self) -> int:
         return len(self.values)

@@ -98,3 +98,34 @@ def transitions(df: DataFrame, keys: Sequence[str], order: str, stage: str, clas
     full = grid.join(counts, ["source", "target"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     share = (F.col("n") + SMOOTHING) / F.sum(F.col("n") + SMOOTHING).over(W.partitionBy("source"))
     return full.withColumn("log_prob", F.ln(share))
+
+
+def fold_summary(per_fold: DataFrame, score: str = "macro_f1") -> DataFrame:
+    """Over the folds: how many, mean, and standard deviation (of all, not of a sample)."""
+    return per_fold.agg(F.count(score).alias("folds"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+
+
+def signed_rank(differences: Sequence[float]) -> float:
+    """The exact two-sided p of Wilcoxon's signed-rank test, zeros left out, equal sizes sharing their ranks; 1 if all are zero.
+
+    For folds: the counts of all sign patterns are summed up rank by rank, in half ranks.
+    """
+    sizes = sorted(abs(d) for d in differences if d)
+    if not sizes:
+        return 1.0
+    doubled = {x: sizes.index(x) * 2 + sizes.count(x) + 1 for x in set(sizes)}
+    ranks = [(doubled[abs(d)], d > 0) for d in differences if d]
+    ways = {0: 1}
+    for r, _ in ranks:
+        more = dict(ways)
+        for total, n in ways.items():
+            more[total + r] = more.get(total + r, 0) + n
+        ways = more
+    least = min(sum(r for r, up in ranks if up), sum(r for r, up in ranks if not up))
+    return min(1.0, 2 * sum(n for total, n in ways.items() if total <= least) / 2 ** len(ranks))
+
+
+def compared(gains: DataFrame) -> dict:
+    """Of gain()'s rows, one a fold: folds, improved, mean gain in points and the signed-rank p."""
+    own = [r["gain_pp"] for r in gains.select("gain_pp").collect()]
+    return {"folds": len(own), "improved": sum(d > 0 for d in own), "gain_pp": sum(own) / max(len(own), 1), "p": signed_rank(own)}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .evaluation import balanced_weights
+from tidewave.sources.sinks import read_note, write_note
+
+from .decoding import best_weight, decode
+from .evaluation import CLASSES, balanced_weights, scores, transitions
+from .selection import select_columns, within_budget
 
 MODELS: dict[str, Callable[[], list]] = {
     "ridge": lambda: [
@@ -78,15 +82,87 @@ def predict(fitted, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(*df.columns, "proba", top.cast("int").alias("pred"))
 
 
-def cross_validate(df: DataFrame, columns: Sequence[str], fold: str, folds: Sequence[int], model: str = "ridge") -> DataFrame:
-    """Predictions of every row by the model of the other folds. One fit per fold; the rows are never collected."""
+def cross_validate(
+    df: DataFrame, columns: Sequence[str], fold: str, folds: Sequence[int], model: str = "ridge", select: str = "all", ranked_by: str = "forest"
+) -> DataFrame:
+    """Predictions of every row by the model of the other folds. One fit per fold; the rows are never collected.
+
+    With a selection (selection.select_columns) the columns are chosen anew in each fold, from its training rows alone.
+    """
+
+    def gains(train: DataFrame, names: Sequence[str]) -> dict[str, float]:
+        return dict(importance(fit(train, names, ranked_by), names))
+
+    out = None
+    for k in folds:
+        train, test = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
+        own = list(columns) if select == "all" else select_columns(train, columns, select, gains)
+        found = predict(fit(train, own, model), test, own)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def delay_sweep(
+    df: DataFrame, look_ahead: Mapping[str, int], fold: str, folds: Sequence[int], minutes: Sequence[float | None], fixed: float = 0.0, model: str = "ridge"
+) -> DataFrame:
+    """(minutes, n_columns, n, accuracy, macro_f1): cross-validated scores with the columns that each delay lets through.
+
+    A delay of None lets all through and is null in the result. One that lets none through stops it.
+    """
+    out = None
+    for m in minutes:
+        names = within_budget(look_ahead, m, fixed)
+        if not names:
+            raise ValueError(f"no column fits a delay of {m} minutes")
+        rated = scores(cross_validate(df, names, fold, folds, model), "stage", "pred").select("n", "accuracy", "macro_f1")
+        found = rated.select(F.lit(m).cast("double").alias("minutes"), F.lit(len(names)).alias("n_columns"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def nested_decode(
+    predicted: DataFrame, keys: Sequence[str], order: str, fold: str, folds: Sequence[int], weights: Sequence[float], lag: int | None = 0
+) -> DataFrame:
+    """predicted (stage, proba and fold a row) with `smoothed` and `weight`: each fold is decoded by the steps and at the
+    weight that suit the other folds best."""
     out = None
     for k in folds:
-        found = predict(fit(df.filter(F.col(fold) != k), columns, model), df.filter(F.col(fold) == k), columns)
+        others, own = predicted.filter(F.col(fold) != k), predicted.filter(F.col(fold) == k)
+        cells = {(r["source"], r["target"]): r["log_prob"] for r in transitions(others, keys, order, "stage").collect()}  # a row per pair of classes
+        table = [[cells[i, j] for j in range(CLASSES)] for i in range(CLASSES)]
+        weight = best_weight(others, keys, order, "proba", "stage", table, weights).first()["weight"]
+        states = decode(own, keys, order, "proba", table, weight, lag).withColumnRenamed("stage", "smoothed")
+        found = own.join(states, [*keys, order]).withColumn("weight", F.lit(weight))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def validation_subjects(df: DataFrame, subject: str, share: float = 0.2, seed: int = 0) -> DataFrame:
+    """(subject, validates): a share of the subjects, one at least, drawn by hash; whole subjects go to either side."""
+    drawn = df.select(subject).distinct().withColumn("_draw", F.xxhash64(F.col(subject).cast("string"), F.lit(seed)))
+    n = max(1, round(drawn.count() * share))
+    last = drawn.orderBy("_draw", subject).limit(n).agg(F.max("_draw")).first()[0]
+    return drawn.select(subject, (F.col("_draw") <= F.lit(last)).alias("validates"))
+
+
+def save(fitted: PipelineModel, path: str, columns: Sequence[str], look_ahead: Mapping[str, int], model: str, spark, **more) -> dict:
+    """Write a fitted pipeline and its card: model, columns in order, the look-ahead of these columns alone, and what else is given."""
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model}; known: {', '.join(sorted(MODELS))}")
+    card = {"model": model, "columns": list(columns), "look_ahead": {c: look_ahead.get(c, 0) for c in columns}, "delay": max((look_ahead.get(c, 0) for c in columns), default=0), **more}
+    fitted.write().overwrite().save(f"{path}/model")
+    write_note(spark, card, f"{path}/card")
+    return card
+
+
+def load(path: str, spark) -> tuple[PipelineModel, dict]:
+    """A saved pipeline and its card."""
+    card = read_note(spark, f"{path}/card")
+    if card.get("model") not in MODELS:
+        raise ValueError(f"unknown model {card.get('model')}; known: {', '.join(sorted(MODELS))}")
+    return PipelineModel.load(f"{path}/model"), card
+
+
 def importance(fitted, columns: Sequence[str]) -> list[tuple[str, float]]:
     """(column, importance), greatest first: of a forest its gains, of a linear model the mean size of its coefficients."""
     last = fitted.stages[-1]

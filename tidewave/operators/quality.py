@@ -29,3 +29,36 @@ def verdict(fractions: DataFrame, keys: Sequence[str], channel: str, limit: floa
 def worst(verdicts: DataFrame, keys: Sequence[str], n: int = 12) -> DataFrame:
     """The n recordings with the flattest channel, for a report."""
     return verdicts.orderBy(F.desc("worst"), *keys).limit(n)
+
+
+def scan(df: DataFrame, keys: Sequence[str], channel: str, ptp: str, config: str, below: float = FLAT_BELOW, limit: float = TOO_FLAT) -> dict:
+    """A report over all recordings: how many, how many are excluded, with how many epochs, and by which settings made.
+
+    df has the epochs that count (inside the crop), one row per epoch and channel. No epochs, or epochs of different settings,
+    stop it. The driver sees one row for each excluded recording.
+    """
+    made = [r[0] for r in df.select(config).distinct().limit(2).collect()]
+    if not made:
+        raise ValueError("no epochs to look at")
+    if len(made) > 1:
+        raise ValueError(f"epochs of different settings: {', '.join(sorted(map(str, made)))}")
+    fractions = flat_fraction(df, keys, channel, ptp, below)
+    epochs = fractions.groupBy(*keys).agg(F.max("n_epochs").alias("n_epochs"))
+    found = verdict(fractions, keys, channel, limit).join(epochs, list(keys))
+    bad = found.filter("excluded").orderBy(*keys).select(*keys, "bad_channels", "n_epochs").collect()
+    return {
+        "below": below,
+        "limit": limit,
+        "config": made[0],
+        "n_recordings": found.count(),
+        "n_excluded": len(bad),
+        "n_epochs_excluded": sum(r["n_epochs"] for r in bad),
+        "excluded": [[r[k] for k in keys] for r in bad],
+    }
+
+
+def excluded(report: dict, config: str) -> list[tuple]:
+    """The excluded recordings of a report, which must have been made of epochs with these settings."""
+    if report["config"] != config:
+        raise ValueError(f"the report is of settings {report['config']}, the epochs are of {config}: scan them again")
+    return [tuple(k) for k in report["excluded"]]

@@ -117,3 +117,16 @@ def count_runs(df: DataFrame, keys: Sequence[str], order: str, above: Column, sh
     )
     every = df.select(*keys).distinct().join(counts, list(keys), "left")
     return every.select(*keys, F.coalesce("n_runs", F.lit(0)).alias("n_runs"), F.coalesce("run_rows", F.lit(0)).alias("run_rows"))
+
+
+def align_lengths(annotated: DataFrame, recorded: DataFrame, keys: Sequence[str], order: str = "epoch_idx") -> DataFrame:
+    """Epochs that both the annotations and the signal have, with the columns of both: whichever goes on longer is cut."""
+    return annotated.join(recorded, [*keys, order])
+
+
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a missing value (null or nan) among the columns."""
+    kinds = dict(df.dtypes)
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull() & ~F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNotNull())
+    return df

@@ -399,6 +399,27 @@ def subject_difference(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "events").select("user_id"))
 
 
+@query(
+    EPOCHS_SQL + ", a AS (SELECT user_id, epoch_idx, value FROM epochs), o AS (SELECT o_custkey AS user_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS epoch_idx, o_orderkey FROM orders) "
+    "SELECT user_id, epoch_idx, o_orderkey FROM a JOIN o USING (user_id, epoch_idx)"
+)
+def length_alignment(spark, d):
+    from pyspark.sql import Window as W
+
+    number = (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1).cast("long")
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), number.alias("epoch_idx"), "o_orderkey")
+    return structure.align_lengths(epochs(spark, d).select("user_id", "epoch_idx"), orders, KEYS)
+
+
+@query(
+    EPOCHS_SQL + ", s AS (SELECT user_id, epoch_idx, CASE WHEN lead(epoch_idx) OVER w = epoch_idx + 1 THEN lead(value) OVER w END AS a FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY epoch_idx)) "
+    f"SELECT user_id, epoch_idx, {R('a', 'a')} FROM s WHERE a IS NOT NULL"
+)
+def complete_rows(spark, d):
+    s = kept(spark, d).select("user_id", "epoch_idx", X.gap_shift(F.col("value"), KEYS, "epoch_idx", 1).alias("a"))
+    return _rounded(structure.complete_rows(s, ["a"]))
+
+
 # Evaluation
 
 _FOLD = "f AS (SELECT *, user_id % 10 AS fold, lag(stage) OVER (PARTITION BY user_id ORDER BY epoch_idx) AS pred FROM kept)"
@@ -469,6 +490,14 @@ def metrics_pooled_and_fold(spark, d):
     return _rounded(evaluation.pooled_and_fold(_predicted(spark, d), "stage", "pred", "fold"))
 
 
+@query(
+    EPOCHS_SQL + ", " + _FOLD + ", b AS (" + _scores_sql("f", " WHERE pred IS NOT NULL GROUP BY fold", "fold, ").replace("round(", "(").replace(", 6) + 0.0", ")")
+    + f") SELECT count(*) AS folds, {R('avg(macro_f1)', 'mean')}, {R('stddev_pop(macro_f1)', 'std')} FROM b"
+)
+def fold_summary(spark, d):
+    return _rounded(evaluation.fold_summary(evaluation.scores(_predicted(spark, d), "stage", "pred", ["fold"])))
+
+
 @query(EPOCHS_SQL + ", " + _FOLD + "SELECT user_id, kappa FROM (" + _scores_sql("f", " WHERE pred IS NOT NULL GROUP BY user_id", "user_id, ") + ")")
 def kappa(spark, d):
     return _rounded(evaluation.scores(_predicted(spark, d), "stage", "pred", KEYS)).select("user_id", "kappa")
@@ -721,7 +750,7 @@ def model_cv_ridge(spark, d):
         X.expanding_norm(F.col("value"), KEYS, "epoch_idx").alias("value_norm"),
         X.trailing_mean(F.col("value"), KEYS, "epoch_idx").alias("value_p2min"), "k",
     )
-    return cross_validate(rows.cache(), ["value_norm", "value_p2min", "k"], "fold", [0, 1, 2])
+    return cross_validate(rows, ["value_norm", "value_p2min", "k"], "fold", [0, 1, 2])
 
 
 @query()

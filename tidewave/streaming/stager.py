@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tidewave.functions import windows as X
 from tidewave.functions.arrays import total
+from tidewave.functions.recordings import RunningOrder
 from tidewave.operators.decoding import LEAST, forward
 
 AHEAD, BACK, TRAIL = 7, 7, 4
@@ -49,15 +50,15 @@ class LinearStager:
         return e + top + np.log(np.exp(moved - top).sum(axis=0))
 
 
-def _norm(history: np.ndarray) -> np.ndarray:
-    """The last row of a session so far, normalised; columns with too few values or no spread are nan."""
-    out = np.full(history.shape[1], np.nan)
-    for j, x in enumerate(history.T):
-        x, last = x[~np.isnan(x)], x[-1]
-        if len(x) >= X.LEAST_ROWS and not np.isnan(last):
-            low, middle, high = np.quantile(x, [X.LOW, 0.5, X.HIGH])
-            if high - low > X.LEAST_SCALE:
-                out[j] = (last - middle) / (high - low)
+def _norm(orders: list[RunningOrder], x: np.ndarray) -> np.ndarray:
+    """x normalised by a session so far, of which it becomes part; columns with too few values or no spread are nan."""
+    out = np.full(len(x), np.nan)
+    for j, v in enumerate(x.tolist()):
+        if v == v:
+            orders[j].add(v)
+            scale = orders[j].quantile(X.HIGH) - orders[j].quantile(X.LOW)
+            if len(orders[j]) >= X.LEAST_ROWS and scale > X.LEAST_SCALE:
+                out[j] = (v - orders[j].quantile(0.5)) / scale
     return out
 
 
@@ -81,6 +82,7 @@ class Stager(StatefulProcessor):
         received, decided, last, alpha = self.counters.get() if self.counters.exists() else (0, 0, -1, None)
         kept = list(self.history.get())
         seqs, history = [k[0] for k in kept], [np.array(k[1], float) for k in kept]
+        offset, orders, ended = received - len(kept), None, False
         recent = [np.array(r[0], float) for r in self.recent.get()]
         alpha = None if alpha is None or not len(alpha) else np.array(alpha, float)
         out, before = [], len(history)
@@ -96,28 +98,36 @@ class Stager(StatefulProcessor):
             proba = self.model.proba(row)
             alpha = self.model.step(alpha, proba)
             stage = int(np.argmax(alpha))
-            out.append((key[0], seqs[decided], stage, float(proba[stage]), proba.tolist()))
+            out.append((key[0], seqs[decided - offset], stage, float(proba[stage]), proba.tolist()))
             decided += 1
 
         for r in frame.itertuples():
             if r.ended:
+                ended = True
                 while decided < received:
                     decide()
                 continue
             if r.seq <= last:
                 continue
             last = r.seq
-            history.append(np.array([np.nan if v is None else v for v in r.features], float))
+            x = np.array([np.nan if v is None else v for v in r.features], float)
+            if orders is None:
+                orders = [RunningOrder(sorted(v for v in column if v == v)) for column in zip(*history, strict=True)] or [RunningOrder() for _ in x]
+            history.append(x)
             seqs.append(int(r.seq))
-            recent.append(_norm(np.array(history)))
+            recent.append(_norm(orders, x))
             received += 1
             if received - 1 - AHEAD >= decided:
                 decide()
             recent = recent[-(BACK + AHEAD + 1) :]
-        for s, x in zip(seqs[before:], history[before:], strict=True):
-            self.history.appendValue((s, x.tolist()))
-        if recent:
-            self.recent.put([(z.tolist(),) for z in recent])
+        if ended:  # a finished session keeps its counters alone, so that epochs sent again are still known
+            self.history.clear()
+            self.recent.clear()
+        else:
+            for s, x in zip(seqs[before:], history[before:], strict=True):
+                self.history.appendValue((s, x.tolist()))
+            if recent:
+                self.recent.put([(z.tolist(),) for z in recent])
         self.counters.update((received, decided, int(last), [] if alpha is None else alpha.tolist()))
         yield pd.DataFrame(out, columns=["session", "seq", "stage", "confidence", "proba"])
 
