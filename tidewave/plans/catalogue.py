@@ -371,21 +371,20 @@ def subject_bands(spark, d):
     return table(spark, d, "customer").select("c_custkey", evaluation.band(F.col("c_acctbal"), BANDS).alias("band"))
 
 
-_FILES = "f AS (SELECT format('SC4{:02d}{}E0-PSG', o_orderkey % 100, 1 + o_orderkey % 2) AS name FROM orders WHERE o_orderkey < 60 UNION ALL SELECT format('SC4{:02d}{}EC-Hypnogram', o_orderkey % 100, 1 + o_orderkey % 2) FROM orders WHERE o_orderkey < 50) "
+_FILES = "f AS (SELECT format('SC4{:09d}E0-PSG', o_orderkey) AS name FROM orders UNION ALL SELECT format('SC4{:09d}EC-Hypnogram', o_orderkey) FROM orders WHERE o_orderstatus <> 'P') "
 
 
 @query(
-    "WITH " + _FILES + ", h AS (SELECT substr(name, 1, 7) AS stem, count(*) AS n, min(name) AS label_name FROM f WHERE contains(name, '-Hypnogram') GROUP BY 1) "
+    "WITH " + _FILES + ", h AS (SELECT substr(name, 1, 12) AS stem, count(*) AS n, min(name) AS label_name FROM f WHERE contains(name, '-Hypnogram') GROUP BY 1) "
     "SELECT regexp_replace(name, '^(S[CT][0-9]{3})([0-9]).*$', '\\1N\\2') AS key, name AS signal_name, label_name, coalesce(n, 0) AS n_labels, coalesce(n, 0) = 1 AS paired "
-    "FROM f LEFT JOIN h ON substr(name, 1, 7) = stem WHERE contains(name, '-PSG')"
+    "FROM f LEFT JOIN h ON substr(name, 1, 12) = stem WHERE contains(name, '-PSG')"
 )
 def pairing_check(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey < 60")
-    stem = F.format_string("SC4%02d%d", F.col("o_orderkey") % 100, 1 + F.col("o_orderkey") % 2)
-    names = o.select(F.concat(stem, F.lit("E0-PSG")).alias("name")).unionAll(
-        o.filter("o_orderkey < 50").select(F.concat(stem, F.lit("EC-Hypnogram")).alias("name"))
+    o = table(spark, d, "orders").select("o_orderstatus", F.format_string("SC4%09d", "o_orderkey").alias("stem"))
+    names = o.select(F.concat("stem", F.lit("E0-PSG")).alias("name")).unionAll(
+        o.filter("o_orderstatus <> 'P'").select(F.concat("stem", F.lit("EC-Hypnogram")).alias("name"))
     )
-    return tables.pair_files(names)
+    return tables.pair_files(names, stem=12)
 
 
 @query(EPOCHS_SQL + "SELECT DISTINCT user_id FROM kept WHERE stage = 3 INTERSECT SELECT DISTINCT user_id FROM kept WHERE value > 150")
@@ -596,13 +595,13 @@ def smoothed_decode(spark, d):
 
 
 @query(
-    EPOCHS_SQL + ", s AS (SELECT user_id, pos, CASE WHEN event_id % 7 = 0 THEN 0 ELSE stage END AS other FROM kept WHERE event_id % 11 <> 0) "
+    EPOCHS_SQL + ", s AS (SELECT user_id, pos, CASE WHEN k < 10 THEN 0 ELSE stage END AS other FROM kept WHERE value < 150) "
     "SELECT CAST(sum((stage = other)::INT) AS BIGINT) AS matched, CAST(count(*) - sum((stage = other)::INT) AS BIGINT) AS mismatched, "
     + R("sum((stage = other)::INT) / CAST(count(*) AS DOUBLE)", "agreement") + " FROM kept JOIN s USING (user_id, pos)"
 )
 def batch_stream_agreement(spark, d):
     rows = kept(spark, d)
-    stream = rows.filter("event_id % 11 <> 0").select("user_id", "pos", F.when(F.col("event_id") % 7 == 0, 0).otherwise(F.col("stage")).alias("stage"))
+    stream = rows.filter("value < 150").select("user_id", "pos", F.when(F.col("k") < 10, 0).otherwise(F.col("stage")).alias("stage"))
     return _rounded(tables.agreement(rows.select("user_id", "pos", "stage"), stream, KEYS, "pos", "stage"))
 
 
@@ -647,13 +646,13 @@ def corr_pairs(spark, d):
 
 @query(
     "WITH f AS (SELECT DISTINCT user_id % 10 AS fold FROM events), t AS (SELECT DISTINCT event_type FROM events), "
-    "g AS (SELECT user_id % 10 AS fold, event_type, avg(value) AS gain FROM events WHERE (user_id + length(event_type)) % 4 <> 0 GROUP BY 1, 2) "
+    "g AS (SELECT user_id % 10 AS fold, event_type, avg(value) AS gain FROM events WHERE value > 60 GROUP BY 1, 2) "
     f"SELECT t.event_type, {R('avg(coalesce(gain, 0))', 'gain')} FROM f CROSS JOIN t LEFT JOIN g USING (fold, event_type) GROUP BY t.event_type"
 )
 def importance_mean(spark, d):
     """The mean over the folds; a fold that lacks a column counts as zero."""
     e = table(spark, d, "events").withColumn("fold", F.col("user_id") % 10)
-    gains = e.filter((F.col("user_id") + F.length("event_type")) % 4 != 0).groupBy("fold", "event_type").agg(F.avg("value").alias("gain"))
+    gains = e.filter("value > 60").groupBy("fold", "event_type").agg(F.avg("value").alias("gain"))
     n_folds = e.select("fold").distinct().count()
     names = e.select("event_type").distinct()
     total = names.join(gains.groupBy("event_type").agg(F.sum("gain").alias("gain")), "event_type", "left")
