@@ -87,15 +87,24 @@ def text_node(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
+#: Keys of a few numbers that may be broadcast: some three megabytes.
+BROADCAST_ROWS = 100_000
+
+
 def keep_rows(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of docs for each of the distinct heads (_id, _node): id, null or not, and XXH64 of the text."""
+    """One row of docs for each of the distinct heads (_id, _node): id, null or not, and XXH64 of the text.
+
+    Up to BROADCAST_ROWS heads are broadcast, so that only texts that stay are shuffled; more are joined by a shuffle.
+    """
     keys = ["_no_id", "_head_id", "_head_node"]
 
     def keyed(df: DataFrame, i: Column, node: Column) -> DataFrame:
         return df.withColumns(dict(zip(keys, (i.isNull(), F.coalesce(i, F.lit(0).cast("long")), node), strict=True)))
 
     left = keyed(docs, F.col(id_col).cast("long"), text_node(F.col(text_col)))
-    right = keyed(heads, F.col("_id"), F.col("_node")).select(*keys)
+    right = materialize(keyed(heads, F.col("_id"), F.col("_node")).select(*keys))
+    if right.count() <= BROADCAST_ROWS:
+        right = F.broadcast(right)
     return left.join(right, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 

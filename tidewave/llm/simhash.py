@@ -19,14 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import overlap
-from .common import join_hot, keep_rows, materialize, text_node
+from .common import BROADCAST_ROWS, join_hot, keep_rows, materialize, text_node
 from .components import components
 from .shingles import BITS, SHINGLE, fingerprint_of
 
 MAX_DISTANCE = 2
 SEGMENTS = 2
-CROWDED = 256
-BROADCAST_ROWS = 100_000
+CROWDED = 64
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
