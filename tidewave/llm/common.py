@@ -6,6 +6,7 @@ import posixpath
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries planned in here remove their shuffle files when they end, not when the driver happens to collect its garbage.
+
+    For tables that are cut from their lineage and results that are fetched once: jobs of many rounds would else keep the
+    files of every round on the executors' disks. The session's own setting comes back afterwards.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with dropping_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
@@ -67,9 +88,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     Rows of left under a hot key stay where they are: right's rows of these, HOT_SHARE at most, are broadcast. The rest is
     joined by a shuffle. left is read twice, so hand over a table that is cut from its lineage.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.orderBy(F.desc("_n")).limit(HOT_SHARE).agg(F.collect_list(F.struct("_n", key)).alias("_t")).first()[0]
-    n = left.count() if top else 0
+    with dropping_shuffles(left.sparkSession):
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        top = counts.orderBy(F.desc("_n")).limit(HOT_SHARE).agg(F.collect_list(F.struct("_n", key)).alias("_t")).first()[0]
+        n = left.count() if top else 0
     hot = [r[key] for r in top if r["_n"] * HOT_SHARE > n and r["_n"] > 1 and r[key] is not None]
     if not hot:
         return left.join(right, key)
