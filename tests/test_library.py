@@ -439,3 +439,31 @@ def test_stream_decides_as_the_batch_does(spark, tmp_path):
     for r in batch:
         assert got[r["session"], r["seq"]]["stage"] == r["stage"]
         assert math.isclose(got[r["session"], r["seq"]]["confidence"], r["confidence"], abs_tol=1e-9)
+
+
+def test_settings_from_a_file(spark, tmp_path):
+    (tmp_path / "run.json").write_text('{"model": {"name": "ridge"},\n "edge": 60}')
+    found = settings.load(spark, str(tmp_path / "run.json"))
+    assert found == {"model": {"name": "ridge"}, "edge": 60}
+    assert settings.override(found, ["model.name=forest"])["model"]["name"] == "forest"
+    (tmp_path / "list.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        settings.load(spark, str(tmp_path / "list.json"))
+
+
+def test_merged_manifest_and_cross_check(spark):
+    new = spark.createDataFrame([(1, "x", None, True), (2, "x", None, True), (3, "x", 7, False), (4, "x", None, True)], "k int, config string, n int, skipped boolean")
+    old = spark.createDataFrame([(1, "x", 5), (2, "y", 6), (3, "x", 1)], "k int, config string, n int")
+    assert sorted((r.k, r.n) for r in tables.merge_manifest(new, old, ["k"], "config", "skipped", ["n"]).collect()) == [(1, 5), (2, None), (3, 7), (4, None)]
+    a = spark.createDataFrame([(1, "W", 1.0), (2, "W", 1.0), (3, None, None), (4, "W", 1.0)], "k int, s string, v double")
+    b = spark.createDataFrame([(1, "W", 1.0005), (2, "R", 1.1), (3, None, None), (5, "W", 1.0)], "k int, s string, v double")
+    found = {r.k: (r.in_both, r.exact, r.near) for r in tables.cross_check(a, b, ["k"], ["s"], ["v"]).collect()}
+    no, yes = (False, False, False), (True, True, True)
+    assert found == {1: yes, 2: (True, False, False), 3: yes, 4: no, 5: no}
+
+
+def test_subjects_in_several_folds_stop(spark):
+    dealt = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "subject int, fold int")
+    models.whole_subjects(dealt, "subject", "fold")
+    with pytest.raises(ValueError, match="7"):
+        models.whole_subjects(dealt.union(spark.createDataFrame([(7, 0), (7, 1)], dealt.schema)), "subject", "fold")

@@ -105,6 +105,21 @@ def fold_summary(per_fold: DataFrame, score: str = "macro_f1") -> DataFrame:
     return per_fold.agg(F.count(score).alias("folds"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
 
 
+def fold_lists(per_fold: DataFrame, by: Sequence[str], fold: str, score: str, folds: int = 10) -> DataFrame:
+    """(by, mean, scores): the scores in the order of folds, only where all folds are there, each once."""
+    rows = F.sort_array(F.collect_list(F.struct(fold, score)))
+    found = per_fold.groupBy(*by).agg(
+        F.avg(score).alias("mean"), rows.alias("_rows"), F.count(F.lit(1)).alias("_n"), F.count_distinct(fold).alias("_folds")
+    )
+    return found.filter((F.col("_n") == folds) & (F.col("_folds") == folds)).select(*by, "mean", F.col(f"_rows.{score}").alias("scores"))
+
+
+def versus(runs: DataFrame, name: str, setting: str, score: str, baseline: str | int) -> DataFrame:
+    """runs with `gain`: the score over the baseline's in the same setting; null where the baseline wasn't run."""
+    base = runs.filter(F.col(name) == baseline).groupBy(setting).agg(F.max(score).alias("_base"))
+    return runs.join(base, setting, "left").withColumn("gain", F.col(score) - F.col("_base")).select(*runs.columns, "gain")
+
+
 def signed_rank(differences: Sequence[float]) -> float:
     """The exact two-sided p of Wilcoxon's signed-rank test, zeros left out, equal sizes sharing their ranks; 1 if all are zero.
 

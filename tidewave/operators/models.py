@@ -66,6 +66,13 @@ def group_folds(df: DataFrame, subject: str, stage: str, folds: int = 10, seed:
     return out
 
 
+def whole_subjects(dealt: DataFrame, subject: str, fold: str, named: int = 5) -> None:
+    """Each subject lies in one fold; else this stops and names the first few that lie in several."""
+    found = dealt.groupBy(subject).agg(F.count_distinct(fold).alias("_n")).filter("_n > 1").orderBy(subject).limit(named).collect()
+    if found:
+        raise ValueError("in several folds: " + ", ".join(str(r[subject]) for r in found))
+
+
 def fit(train: DataFrame, columns: Sequence[str], model: str):
     """A fitted pipeline; classes are weighted alike. Missing values become zero, which is the middle of a normalised column."""
     if model not in MODELS:

@@ -74,6 +74,31 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
 
 
+def merge_manifest(new: DataFrame, old: DataFrame, key: Sequence[str], config: str, skipped: str, values: Sequence[str]) -> DataFrame:
+    """new with its values; a skipped row takes those of the old row of its key if both have one config, else it has none."""
+    before = old.select(*key, F.col(config).alias("_config"), *[F.col(v).alias(f"_{v}") for v in values])
+    same = F.coalesce(F.col("_config") == F.col(config), F.lit(False))
+    merged = {v: F.when(~F.col(skipped), F.col(v)).when(same, F.col(f"_{v}")) for v in values}
+    return new.join(before, list(key), "left").withColumns(merged).select(*new.columns)
+
+
+def cross_check(first: DataFrame, second: DataFrame, keys: Sequence[str], exact: Sequence[str], near: Sequence[str], most: float = 1e-3) -> DataFrame:
+    """(keys, in_both, exact, near): whether two readings of each key agree, `near` columns up to `most`; nulls agree with nulls.
+
+    A key that only one side has agrees in nothing. Both sides have a key once.
+    """
+    left = first.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in [*exact, *near]], F.lit(True).alias("_a"))
+    right = second.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in [*exact, *near]], F.lit(True).alias("_b"))
+    in_both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    alike, close = in_both, in_both
+    for c in exact:
+        alike = alike & F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}"))
+    for c in near:
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        close = close & F.coalesce(F.abs(a - b) <= most, a.isNull() & b.isNull())
+    return left.join(right, list(keys), "full").select(*keys, in_both.alias("in_both"), alike.alias("exact"), close.alias("near"))
+
+
 def agreement(batch: DataFrame, stream: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:
     """Compared positions of both sides: matched, mismatched and the share that agrees."""
     right = stream.select(*keys, position, F.col(value).alias("_other"))

@@ -731,6 +731,56 @@ def spindle_features(spark, d):
     return kernel(_recordings(spark, d), ["label"], "vec_id", "signal", RATE)
 
 
+@query(
+    "WITH new AS (SELECT o_custkey AS key, min(o_orderpriority) AS config, count(*) AS n, bool_and(o_orderstatus <> 'F') AS skipped "
+    "FROM orders GROUP BY 1), old AS (SELECT o_custkey AS key, max(o_orderpriority) AS config, min(o_orderkey) AS n FROM orders GROUP BY 1) "
+    "SELECT new.key, new.config, CASE WHEN NOT skipped THEN new.n WHEN old.config = new.config THEN old.n END AS n, skipped "
+    "FROM new LEFT JOIN old ON old.key = new.key"
+)
+def manifest_merge(spark, d):
+    """Customers whose orders are none finished count as skipped and keep their earlier record if its config is the same."""
+    by = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key"))
+    new = by.agg(F.min("o_orderpriority").alias("config"), F.count("*").alias("n"), F.bool_and(F.col("o_orderstatus") != "F").alias("skipped"))
+    old = by.agg(F.max("o_orderpriority").alias("config"), F.min("o_orderkey").alias("n"))
+    return tables.merge_manifest(new, old, ["key"], "config", "skipped", ["n"])
+
+
+@query(
+    "WITH b AS (SELECT l_orderkey AS k, CASE WHEN min(l_linestatus) < max(l_linestatus) THEN 'P' ELSE min(l_linestatus) END AS status, "
+    "sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total FROM lineitem GROUP BY 1) "
+    "SELECT coalesce(o_orderkey, k) AS k, o_orderkey IS NOT NULL AND b.k IS NOT NULL AS in_both, coalesce(o_orderstatus = status, false) AS exact, "
+    "coalesce(abs(o_totalprice - total) <= 1000, false) AS near FROM orders FULL JOIN b ON o_orderkey = b.k"
+)
+def order_cross_check(spark, d):
+    """Orders against what their lines say: status exactly, price up to 1,000."""
+    total = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("total")
+    low, high = F.min("l_linestatus"), F.max("l_linestatus")
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.when(low < high, "P").otherwise(low).alias("status"), total)
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"))
+    return tables.cross_check(orders, lines, ["k"], ["status"], ["total"], 1000)
+
+
+@query(
+    "WITH f AS (SELECT o_orderpriority, o_custkey % 10 AS fold, count(*) AS n FROM orders GROUP BY 1, 2) "
+    "SELECT o_orderpriority, " + R("avg(n)", "mean") + ", string_agg(CAST(n AS VARCHAR), ',' ORDER BY fold) AS scores FROM f GROUP BY 1 HAVING count(*) = 10"
+)
+def fold_score_lists(spark, d):
+    per_fold = table(spark, d, "orders").groupBy("o_orderpriority", (F.col("o_custkey") % 10).alias("fold")).agg(F.count("*").alias("n"))
+    found = evaluation.fold_lists(per_fold, ["o_orderpriority"], "fold", "n")
+    return found.select("o_orderpriority", r6(F.col("mean")).alias("mean"), F.array_join(F.transform("scores", lambda x: x.cast("string")), ",").alias("scores"))
+
+
+@query(
+    "WITH r AS (SELECT l_linenumber, l_returnflag, avg(l_quantity) AS score FROM lineitem GROUP BY 1, 2) "
+    "SELECT r.l_linenumber, r.l_returnflag, " + R("r.score", "score") + ", " + R("r.score - b.score", "gain") + " "
+    "FROM r LEFT JOIN r AS b ON b.l_returnflag = r.l_returnflag AND b.l_linenumber = 1"
+)
+def gain_over_baseline(spark, d):
+    runs = table(spark, d, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.avg("l_quantity").alias("score"))
+    found = evaluation.versus(runs, "l_linenumber", "l_returnflag", "score", 1)
+    return found.select("l_linenumber", "l_returnflag", r6(F.col("score")).alias("score"), r6(F.col("gain")).alias("gain"))
+
+
 @query()
 def group_folds(spark, d):
     """Whole users dealt to three folds of even stages."""

@@ -7,6 +7,8 @@ import hashlib
 import json
 from collections.abc import Iterable, Mapping
 
+from pyspark.sql import SparkSession
+
 
 def digest(settings: Mapping) -> str:
     """The first twelve hex digits of SHA-256 over the sorted JSON."""
@@ -21,6 +23,17 @@ def _value(text: str):
         return words.get(text.lower(), text)
 
 
+def load(spark: SparkSession, path: str) -> dict:
+    """Settings from a JSON file in any store that Spark reads; anything but an object of settings is an error."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} isn't one file")
+    found = json.loads(rows[0]["value"])
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} doesn't hold an object of settings")
+    return found
+
+
 def override(settings: Mapping, changes: Iterable[str]) -> dict:
     """A copy with `dotted.key=value` changes; an unknown key or a change without '=' is an error."""
     out = copy.deepcopy(dict(settings))
