@@ -130,8 +130,8 @@ def keep_rows(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) ->
     return left.join(right, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
-def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, part) of a string or binary column in order, each of about SLICE_BYTES or one row; nulls become empty."""
+def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, part) of a string or binary column in order, each of about `size` bytes or one row; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
@@ -142,7 +142,7 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]
     at = 0
     while at < len(column):
         before = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield at, column.slice(at, to - at)
         at = to
 

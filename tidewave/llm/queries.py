@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, sharding, simhash, sstable, toxicity, warc, weak_supervision, wrappers
+from . import decontamination, mixing, pii, resampling, runs, sharding, simhash, sstable, toxicity, warc, weak_supervision, wrappers
 from .common import table
 
 N_SHARDS = 16
@@ -71,8 +71,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), loops=True)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_sstable, op4_quality, op5_html, op6_decontamination, op7_warc, op8_pii, op9_mixing, op10_toxicity)}
+    found = (
+        op1_sharding, op2_simhash, op3_sstable, op4_quality, op5_html, op6_decontamination, op7_warc, op8_pii, op9_mixing, op10_toxicity,
+        op12_runs, op13_resampling,
+    )
+    return {f.__name__: f for f in found}
 
 
 def _crc32_sql(text: str) -> str:
@@ -132,6 +144,27 @@ u AS (SELECT r.*, e.n, e.target, e.epochs, e.target - e.epochs * e.n AS budget,
 SELECT doc_id, size, n AS source_size, target, CAST(size * (epochs + (budget > 0 AND used + size / 2.0::DOUBLE <= budget)::INT) AS BIGINT) AS taken FROM u"""
 
 
+def _op13_sql() -> str:
+    """The checksum of each different n-gram is taken once."""
+    grams = "SELECT {key}, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM {words}, range(1, 4) AS a(n), range(1, len(w) + 2 - n) AS b(i)"
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT {words} AS w FROM benchmark),
+s AS ({grams.format(key="r", words="d")}),
+t AS ({grams.format(key="0 AS r", words="b")}),
+k AS (SELECT g, {_crc32_sql("g")} % {resampling.BUCKETS} AS bucket FROM (SELECT g FROM s UNION SELECT g FROM t)),
+sb AS (SELECT bucket, count(*) AS c FROM s JOIN k USING (g) GROUP BY bucket),
+tb AS (SELECT bucket, count(*) AS c FROM t JOIN k USING (g) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(tb.c, 0) + 1) * CAST((SELECT count(*) FROM s) + 10000 AS DOUBLE)
+  / ((coalesce(sb.c, 0) + 1) * CAST((SELECT count(*) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM sb FULL JOIN tb USING (bucket)),
+w AS (SELECT r, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM s JOIN k USING (g) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT doc_id, len(w) >= {resampling.LEAST_WORDS} AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+  / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN w USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS pos, count(*) FILTER (WHERE fit) OVER () AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND pos <= n * {resampling.PERCENT} // 100 THEN pos END AS rank FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators depend on XXH64, tokenizers, models or edit distances, and have tests instead."""
-    return {"op1_sharding": _op1_sql(), "op7_warc": _OP7_SQL, "op9_mixing": _OP9_SQL}
+    return {"op1_sharding": _op1_sql(), "op7_warc": _OP7_SQL, "op9_mixing": _OP9_SQL, "op13_resampling": _op13_sql()}
