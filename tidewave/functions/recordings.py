@@ -78,3 +78,40 @@ def running_robust(x: np.ndarray, least: int, low: float, high: float, least_sca
                 if scale > least_scale:
                     out[i] = (v - seen.quantile(0.5)) / scale
     return out
+
+
+class RunningOrders:
+    """Many series side by side, each of its values so far in order; missing values (nan) are no part of it.
+
+    The order is kept as one table, so a value is put in by a search and a shift of numbers, and it goes to state and back as bytes.
+    """
+
+    def __init__(self, width: int, counts: bytes = b"", values: bytes = b""):
+        self.counts = np.frombuffer(counts, np.int64).copy() if counts else np.zeros(width, np.int64)
+        self.values = np.frombuffer(values, float).reshape(width, -1) if values else np.empty((width, 0))
+
+    def state(self) -> tuple[bytes, bytes]:
+        return self.counts.tobytes(), np.ascontiguousarray(self.values[:, : self.counts.max(initial=0)]).tobytes()
+
+    def add(self, x: np.ndarray) -> None:
+        width, room = self.values.shape
+        if self.counts.max(initial=0) >= room:
+            self.values = np.hstack([self.values, np.full((width, max(64, room)), np.inf)])
+        there = ~np.isnan(x)
+        at = np.where(there, (self.values < np.where(there, x, 0.0)[:, None]).sum(axis=1), self.values.shape[1])[:, None]
+        place = np.arange(self.values.shape[1])
+        moved = np.where(place > at, np.roll(self.values, 1, axis=1), self.values)
+        self.values = np.where(place == at, x[:, None], moved)
+        self.counts += there
+
+    def quantile(self, q: float) -> np.ndarray:
+        """Linear between the two nearest values; nan where there are none."""
+        if not self.values.shape[1]:
+            return np.full(len(self.counts), np.nan)
+        last = np.maximum(self.counts - 1, 0)
+        at = q * last
+        low = at.astype(np.int64)
+        high, row = np.minimum(low + 1, last), np.arange(len(last))
+        a, b = self.values[row, low], self.values[row, high]
+        with np.errstate(invalid="ignore"):
+            return np.where(self.counts > 0, a + (b - a) * (at - low), np.nan)

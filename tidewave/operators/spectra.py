@@ -21,6 +21,7 @@ BANDS = {"sdelta": (0.4, 1.0), "fdelta": (1.0, 4.0), "theta": (4.0, 8.0), "alpha
 WHOLE = (0.4, 30.0)
 SPINDLE = (11.0, 16.0)
 MODES = ("none", "causal", "zerophase")
+ORDER = 5
 
 
 def butterworth(order: int, low: float, high: float, rate: float) -> np.ndarray:
@@ -123,7 +124,7 @@ def zero_phase(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y[..., pad : y.shape[-1] - pad]
 
 
-def band_pass(x: np.ndarray, rate: float, mode: str, low: float = WHOLE[0], high: float = WHOLE[1], order: int = 5) -> np.ndarray:
+def band_pass(x: np.ndarray, rate: float, mode: str, low: float = WHOLE[0], high: float = WHOLE[1], order: int = ORDER) -> np.ndarray:
     if mode not in MODES:
         raise ValueError(f"unknown filter {mode}; known: {', '.join(MODES)}")
     if mode == "none":
@@ -147,6 +148,25 @@ def filter_recordings(df: DataFrame, keys: Sequence[str], order: str, signal: st
     return map_recordings(df, keys, order, kernel, _fields(df))
 
 
+def filter_windows(rings: DataFrame, rate: float, channels: int, samples: int) -> DataFrame:
+    """session, seq, signal of rows session, seq, _at, _ring: of each ring of epochs, filtered forth and back as one signal, the
+    epoch at _at. Every row is by itself, so nothing is dealt anew."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sections = butterworth(ORDER, *WHOLE, rate)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                flat = part.column(3).flatten().flatten().flatten().to_numpy(zero_copy_only=False).astype(float)
+                x = flat.reshape(part.num_rows, -1, channels, samples).transpose(0, 2, 1, 3)
+                y = zero_phase(sections, x.reshape(part.num_rows, channels, -1)).reshape(x.shape)
+                at = part.column(2).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), nested(y[np.arange(len(at)), :, at])], names=["session", "seq", "signal"])
+
+    kinds = dict(rings.dtypes)
+    return rings.select("session", "seq", "_at", "_ring").mapInArrow(task, f"session {kinds['session']}, seq {kinds['seq']}, signal array<array<double>>")
+
+
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 

@@ -644,6 +644,16 @@ def corr_pairs(spark, d):
     return _rounded(selection.correlations(table(spark, d, "lineitem"), _NUMBERS))
 
 
+@query(
+    "WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) "
+    f"SELECT 'x' || a.i AS a, 'x' || b.i AS b, {R('abs(corr(a.x, b.x))', 'r')} FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i"
+)
+def corr_wide(spark, d):
+    """All pairs of the embeddings' 64 columns."""
+    wide = signals(spark, d).select(*[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(64)])
+    return _rounded(selection.correlations(wide, wide.columns))
+
+
 @query(
     "WITH f AS (SELECT DISTINCT user_id % 10 AS fold FROM events), t AS (SELECT DISTINCT event_type FROM events), "
     "g AS (SELECT user_id % 10 AS fold, event_type, avg(value) AS gain FROM events WHERE value > 60 GROUP BY 1, 2) "
