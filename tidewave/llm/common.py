@@ -109,25 +109,40 @@ def text_node(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
-#: Keys of a few numbers that may be broadcast: some three megabytes.
-BROADCAST_ROWS = 100_000
+#: Rows of a few numbers that may be broadcast: some ten megabytes.
+BROADCAST_ROWS = 200_000
 
 
-def keep_rows(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of docs for each of the distinct heads (_id, _node): id, null or not, and XXH64 of the text.
+def few(keys: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, to be broadcast if it has BROADCAST_ROWS rows at most. It is counted, so cut it first."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
-    Up to BROADCAST_ROWS heads are broadcast, so that only texts that stay are shuffled; more are joined by a shuffle.
+
+def keep_rows(docs: DataFrame, rows: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each of the distinct heads (_id, _hash): id, null or not, and XXH64 of the text. rows has these of all docs.
+
+    What stays is decided on these numbers alone. Whichever are fewer, those that go or those that stay, are broadcast up to
+    BROADCAST_ROWS, so texts aren't shuffled; beyond that docs is joined by a shuffle. Only rows that docs repeats
+    are brought together.
     """
-    keys = ["_no_id", "_head_id", "_head_node"]
+    keys = ["_no_id", "_head_id", "_head_hash"]
 
-    def keyed(df: DataFrame, i: Column, node: Column) -> DataFrame:
-        return df.withColumns(dict(zip(keys, (i.isNull(), F.coalesce(i, F.lit(0).cast("long")), node), strict=True)))
+    def keyed(df: DataFrame, i: Column, text_hash: Column) -> DataFrame:
+        return df.withColumns(dict(zip(keys, (i.isNull(), F.coalesce(i, F.lit(0).cast("long")), text_hash), strict=True)))
 
+    counted = keyed(rows, F.col("_id"), F.col("_hash")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"))
+    won = keyed(heads, F.col("_id"), F.col("_hash")).select(*keys, F.lit(True).alias("_won"))
+    marked = materialize(counted.join(won, keys, "left").select(*keys, "_times", F.coalesce("_won", F.lit(False)).alias("_won")))
+    n = marked.agg(F.count_if("_won").alias("stay"), F.count_if(~F.col("_won")).alias("go"), F.count_if(F.col("_won") & (F.col("_times") > 1)).alias("again")).first()
     left = keyed(docs, F.col(id_col).cast("long"), text_node(F.col(text_col)))
-    right = materialize(keyed(heads, F.col("_id"), F.col("_node")).select(*keys))
-    if right.count() <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    return left.join(right, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    if n["go"] <= min(n["stay"], BROADCAST_ROWS):
+        kept = left.join(F.broadcast(marked.filter(~F.col("_won")).select(*keys)), keys, "left_anti") if n["go"] else left
+    else:
+        kept = left.join(few(marked.filter("_won").select(*keys)), keys, "left_semi")
+    if n["again"]:
+        again = few(marked.filter(F.col("_won") & (F.col("_times") > 1)).select(*keys))
+        kept = kept.join(again, keys, "left_anti").unionByName(kept.join(again, keys, "left_semi").dropDuplicates(keys))
+    return kept.select(*docs.columns)
 
 
 def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:

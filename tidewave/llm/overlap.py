@@ -1,146 +1,287 @@
-"""Pairs of texts by the Jaccard similarity of their sets of word shingles: verified, and completed by prefixes.
+"""Jaccard join of texts on word shingles by adaptive multi-match prefixes.
 
-Pairs that fingerprints propose are verified by the whole sets. Texts as similar as asked may have fingerprints too far
-apart to propose; these are found exactly. All shingles have one order. If two texts of n and m distinct shingles are as
-similar as asked, they share at least similarity * max(n, m) of them, so the first n - ceil(similarity * n) + 1 of one and
-of the other have one in common. Texts therefore meet by equality of these few shingles and no similar pair is missed,
-whatever the order. The order only decides how many others meet: shingles that a sample of the texts holds often come last.
+All shingles have one order, those that a sample of the texts holds often last. If two texts of n and m distinct shingles are as
+similar as asked, they share a number of them at least, `need`, and of their first n - need + l and m - need + l shingles at
+least l. So texts meet by equality of these few, and a pair counts as a candidate only if it meets l times. Each text
+chooses its own l: a longer prefix meets more texts, but fewer of them often enough. It takes the l with the least
+estimated cost, from how often its shingles occur in the sample; for a pair the lesser of the two counts, and no pair as similar
+as asked is missed whatever they choose. Of a pair the smaller text needs a shorter prefix than the larger one, so where most
+of many texts is one common passage, they don't meet in it.
 
-Texts under one shingle are compared with the text that has it earliest, and whatever is similar becomes one component.
-Only texts that still are in different components are then compared with each other, so a group of near copies costs
-comparisons in proportion to its size, and every other pair that meets is compared as well.
+Copies by set are one class. Before all that meet are compared, each text under a shingle is compared with one other of them, the
+pivot, and what is similar becomes one component; only texts of different components then meet. So a group of near copies
+costs work in proportion to its size. Pairs are thrown out by an upper bound from counts by hash bucket, and the rest is verified by
+the whole sets.
+
+The identity of a class is a 64-bit hash of its set.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, text_node
+from .common import few, join_hot, materialize, text_node
 from .components import components
-from .shingles import shingle_hashes, votes
+from .shingles import SEED, votes
 
-SHINGLE = 5
-SIMILARITY = 0.8
+SHINGLE = 4
+SIMILARITY = 0.85
 SAMPLE = 16  # one text of so many is looked through for frequent shingles
 FREQUENT = 4
-FREQUENT_AT_MOST = 100_000  # only the order depends on it
+FREQUENT_AT_MOST = 100_000  # only the order and the estimates depend on it
+MATCHES = 4  # the most shared prefix shingles that a text may ask for
+VERIFY = 16.0  # the cost of verifying a pair, in meetings under a shingle
 BUCKETS = 128
-_EPS = 1e-9
+#: Pivots are tried again while texts of different components would meet over so many times for each row.
+MEETINGS, ROUNDS = 8, 3
+WORDS_KEPT = 1 << 19
+
+
+@dataclass(frozen=True)
+class Threshold:
+    """A similarity p / q in whole numbers."""
+
+    p: int
+    q: int
+
+    @classmethod
+    def of(cls, similarity: float) -> Threshold:
+        if not 0 < similarity <= 1:
+            raise ValueError("similarity must be over 0 and at most 1")
+        return cls(*Fraction(similarity).limit_denominator(1_000_000).as_integer_ratio())
+
+    def need(self, n: int) -> int:
+        """The least that a text of n shingles shares with any similar one."""
+        return -(-self.p * n // self.q)
+
+    def allows(self, shared: Column, n: Column, m: Column) -> Column:
+        """Whether so many shared shingles are enough for texts of n and m."""
+        return shared.cast("long") * (self.p + self.q) >= (n.cast("long") + m) * self.p
+
+    def sizes(self, n: Column, m: Column) -> Column:
+        return F.least(n, m).cast("long") * self.q >= F.greatest(n, m).cast("long") * self.p
+
+    def first(self, n: Column, matches: Column) -> Column:
+        """The length of the prefix by which a text of n meets those that aren't smaller, `matches` times."""
+        whole = n.cast("long") * (2 * self.p)
+        return n - F.ceil(whole / (self.p + self.q)) + matches
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_words = _Words()
 
 
 def shingles_of(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct shingles (XXH64) of the lower-cased words; of all words where there are fewer; none without words."""
-    return np.unique(shingle_hashes((text or b"").lower().split(), shingle))
+    """Hashes of the distinct shingles of the lower-cased words, sorted; of all words where there are fewer; none without words."""
+    tokens = (text or b"").lower().split()
+    if len(_words) > WORDS_KEPT:
+        _words.clear()
+    ids = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
+    size = min(shingle, len(ids))
+    count = len(ids) - size + 1 if size else 0
+    h = ids[:count] + np.uint64(size)
+    for k in range(1, size):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + count]
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def _shingles(text: Column, shingle: int) -> Column:
-    def found(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles_of(t.as_py(), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
+def in_order(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles in the common order, the rarest first, and how often the sample has each: zero for those not frequent."""
+    times = np.zeros(len(shingles), np.int64)
+    if len(frequent) and len(shingles):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        times = np.where(frequent[at] == shingles, counts[at], 0)
+    order = np.concatenate((np.flatnonzero(times == 0), (often := np.flatnonzero(times))[np.argsort(times[often], kind="stable")]))
+    return shingles[order], times[order]
 
-    return F.arrow_udf(found, "array<long>")(text.cast("binary"))
 
+def prefix(shingles: np.ndarray, threshold: Threshold, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """A text's prefix and how many of its shingles another text must share: the number of the least estimated cost.
 
-def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order, enough that two similar texts share one; a zero for no shingles."""
+    A prefix meets as many texts as the sample tells of its shingles, and of these at most a share of 1 / l can meet it l times.
+    """
     n = len(shingles)
     if not n:
-        return np.zeros(1, np.uint64)
-    rank = np.zeros(n, np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        rank = np.where(frequent[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, rank))][: n - math.ceil(similarity * n - _EPS) + 1]
+        return shingles, 1
+    ordered, times = in_order(shingles, frequent, counts)
+    need = threshold.need(n)
+    most = min(MATCHES, need)
+    met = np.cumsum(times[: n - need + most])[n - need :] * SAMPLE
+    matches = 1 + int(np.argmin(met * (1 + VERIFY / np.arange(1, most + 1))))
+    return ordered[: n - need + matches], matches
 
 
-def _prefixes(text: Column, shingle: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> Column:
+def _sketches(text: Column, shingle: int, threshold: Threshold, frequent, prints: bool) -> Column:
+    """Of each text: node (identity of its set), n (its size), keys (its prefix), matches, spread (counts by bucket), print."""
+
     def found(texts: pa.Array) -> pa.Array:
-        sizes, keys, counted, prints = [], [], [], []
+        rows, (often, counts) = [], frequent.value
         for t in texts:
             whole = shingles_of(t.as_py(), shingle)
-            sizes.append(len(whole))
-            prints.append(votes(whole) if len(whole) else 0)
-            keys.append(prefix(whole, similarity, frequent, counts).view(np.int64))
+            keys, matches = prefix(whole, threshold, often, counts)
             spread = np.bincount((whole % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            counted.append(spread.astype(np.int16) if spread.max() <= np.iinfo(np.int16).max else None)
-        columns = [pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int16()))]
-        columns.append(pa.array(np.array(prints, np.uint64).view(np.int64)))
-        return pa.StructArray.from_arrays(columns, names=["n", "keys", "spread", "print"])
+            few_enough = spread.max() < 256
+            node = xxhash.xxh64_intdigest(whole.tobytes(), SEED)
+            rows.append((node, len(whole), keys.view(np.int64), matches, spread.astype(np.uint8).tobytes() if few_enough else None, votes(whole) if prints and len(whole) else 0))
+        nodes, sizes, keys, matches, spreads, marks = zip(*rows, strict=True) if rows else [()] * 6
+        long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        columns = [long(nodes), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(matches, pa.int32()), pa.array(spreads, pa.binary()), long(marks)]
+        return pa.StructArray.from_arrays(columns, names=["node", "n", "keys", "matches", "spread", "print"])
+
+    return F.arrow_udf(found, "node long, n int, keys array<long>, matches int, spread binary, print long")(text.cast("binary"))
+
+
+def _sets(text: Column, shingle: int) -> Column:
+    def found(texts: pa.Array) -> pa.Array:
+        sets = [shingles_of(t.as_py(), shingle) for t in texts]
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return F.arrow_udf(found, "n int, keys array<long>, spread array<short>, print long")(text.cast("binary"))
+    return F.arrow_udf(found, "node long, set array<long>")(text.cast("binary"))
 
 
 def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    sample = texts.filter(F.pmod("_node", F.lit(SAMPLE)) == 0).select(F.explode(_shingles(F.col("_text"), shingle)).alias("s"))
-    rows = sample.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(FREQUENT_AT_MOST).collect()
+    """The most frequent shingles of a sample of the different texts, sorted, and in how many of these each is."""
+    sample = texts.filter(F.pmod("_hash", F.lit(SAMPLE)) == 0).select("_hash", _sets(F.col("_text"), shingle).alias("_s"))
+    each = sample.select("_hash", F.explode("_s.set").alias("s")).distinct()
+    rows = each.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(FREQUENT_AT_MOST).collect()
     found = np.array([r["s"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(found)
     return found[order], np.array([r["count"] for r in rows], np.int64)[order]
 
 
-def _may_be(similarity: float, n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Whether sizes n and m, and places pos and at of the first shingle that both have, allow the similarity."""
-    enough = similarity / (1 + similarity) * (n + m) - _EPS
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - _EPS) & (1 + F.least(n - pos - 1, m - at - 1) >= enough)
+class Texts:
+    """Texts (`_id`, `_text`) sketched once: `rows` has a row for each text, `classes` one for each different set of shingles."""
+
+    def __init__(self, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, prints: bool = False):
+        if shingle < 1:
+            raise ValueError("a shingle needs a word at least")
+        self.threshold, self.shingle = Threshold.of(similarity), shingle
+        self.texts = texts.select("_id", "_text", text_node(F.col("_text")).alias("_hash"))
+        frequent = texts.sparkSession.sparkContext.broadcast(_frequent(self.texts, shingle))
+        sketch = _sketches(F.col("_text"), shingle, self.threshold, frequent, prints)
+        found = materialize(self.texts.select("_id", "_hash", sketch.alias("_f")).select("_id", "_hash", "_f.*"))
+        self.rows = found.select("_id", "_hash", "node", "n")
+        kept = F.first(F.struct("n", "keys", "matches", "spread", "print")).alias("_f")
+        self.classes = materialize(found.groupBy("node").agg(F.min("_hash").alias("_hash"), F.min("_id").alias("_first"), kept).select("node", "_hash", "_first", "_f.*"))
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) of some classes: one text of each is shingled again, and only these sets are shuffled."""
+        heads = self.classes.join(nodes, "node", "left_semi").select("_hash")
+        found = self.texts.join(few(materialize(heads)), "_hash", "left_semi").select(_sets(F.col("_text"), self.shingle).alias("_s")).select("_s.*")
+        return found.groupBy("node").agg(F.first("set").alias("set"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of different classes that are similar enough."""
+        columns = {x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("spread").alias(f"_{x}")) for x in "ab"}
+        near = pairs.join(columns["a"], "a").filter("_na > 0").join(columns["b"], "b").filter(self.threshold.sizes(F.col("_na"), F.col("_nb")))
+        enough = self.threshold.allows(F.coalesce(_most(F.col("_a"), F.col("_b")), F.least("_na", "_nb").cast("long")), F.col("_na"), F.col("_nb"))
+        near = materialize(near.filter(enough).select("a", "b"))
+        if near.isEmpty():
+            return near
+        sets = materialize(self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"_{x}")) for x in "ab")
+        shared = F.size(F.array_intersect("_a", "_b"))
+        return materialize(near.join(one, "a").join(two, "b").filter(self.threshold.allows(shared, F.size("_a"), F.size("_b"))).select("a", "b"))
+
+    def links(self, proposed: DataFrame | None = None) -> DataFrame:
+        """(a, b): similar pairs that join all similar classes. `proposed` pairs are looked at first, in place of the first pivots."""
+        entries = self.classes.select("node", "n", "matches", F.posexplode("keys").alias("pos", "key"))
+        pivots = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("node").alias("_pivot")).filter("_c > 1").drop("_c")
+        met = materialize(entries.join(pivots, "key"))
+        if proposed is None:
+            proposed = met.filter("node <> _pivot").select(F.col("_pivot").alias("a"), F.col("node").alias("b"))
+        nodes = materialize(met.select("node").distinct())
+        found, fresh = [], self.verified(proposed.distinct())
+        for turn in range(ROUNDS + 1):
+            found.append(fresh)
+            part, meetings, rows = self._apart(met, nodes, reduce(DataFrame.union, found))
+            if not rows:
+                break
+            if turn == ROUNDS or meetings <= MEETINGS * rows or turn and fresh.isEmpty():
+                found.append(self.verified(self._candidates(part)))
+                break
+            draw = F.xxhash64("node", "key", F.lit(turn))
+            pivot = part.groupBy("key").agg(F.min(F.struct(draw.alias("_d"), "node", "label")).alias("_p"))
+            pairs = part.join(pivot, "key").filter("label <> _p.label").select(F.least("node", "_p.node").alias("a"), F.greatest("node", "_p.node").alias("b"))
+            fresh = self.verified(pairs.distinct())
+        return reduce(DataFrame.union, found)
+
+    def _apart(self, met: DataFrame, nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int, int]:
+        """What meets under shingles that several components have, how many pairs of different components meet there, and the rows."""
+        part = materialize(met.drop("_pivot").join(components(nodes, links), "node"))
+        each = part.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_c"))
+        keys = each.groupBy("key").agg(F.sum("_c").alias("_all"), F.sum(F.col("_c") * F.col("_c")).alias("_own"), F.count(F.lit(1)).alias("_labels"))
+        keys = materialize(keys.filter("_labels > 1"))
+        sums = keys.agg(F.sum((F.col("_all") * F.col("_all") - F.col("_own")) / 2).alias("m"), F.sum("_all").alias("r")).first()
+        return part.join(keys.select("key"), "key", "left_semi"), int(sums["m"] or 0), int(sums["r"] or 0)
+
+    def _candidates(self, part: DataFrame) -> DataFrame:
+        """Pairs of different components that meet often enough. The smaller text of a pair meets by its shorter prefix."""
+        t, c = self.threshold, F.col
+        x, y = ({name: c(name).alias(f"{name}_{side}") for name in ("node", "n", "matches", "pos", "label")} for side in "xy")
+        small = part.filter(c("pos") < t.first(c("n"), c("matches"))).select("key", *x.values())
+        large = part.select("key", *y.values())
+        n, m, i, j = c("n_x"), c("n_y"), c("pos_x"), c("pos_y")
+        ordered = (n < m) | ((n == m) & (c("node_x") < c("node_y")))
+        after = F.least(n - i, m - j)
+        met = small.join(large, "key").filter((c("label_x") != c("label_y")) & ordered & t.sizes(n, m) & t.allows(F.least(i, j) + after, n, m))
+        found = met.groupBy("node_x", "node_y").agg(
+            F.count(F.lit(1)).alias("_times"), F.min(F.least("matches_x", "matches_y")).alias("_asked"),
+            F.max(t.allows(after, n, m)).alias("_first"),  # holds for the first shingle that a similar pair shares
+        )
+        pairs = found.filter("_times >= _asked AND _first")
+        return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+
+    def labels(self, proposed: DataFrame | None = None) -> DataFrame:
+        """(node, label) of all classes: the components over all similar pairs."""
+        return components(self.classes.select("node"), self.links(proposed))
+
+
+def _most(a: Column, b: Column) -> Column:
+    """The most shingles that two texts can share: the lesser counts of all buckets, null where one isn't known."""
+
+    def found(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        known = np.flatnonzero([x.is_valid and y.is_valid for x, y in zip(xs, ys, strict=True)])
+        out = np.zeros(len(xs), np.int64)
+        if len(known):
+            p, q = (np.frombuffer(b"".join(v.take(pa.array(known)).to_pylist()), np.uint8).reshape(-1, BUCKETS) for v in (xs, ys))
+            out[known] = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+        gone = np.ones(len(xs), bool)
+        gone[known] = False
+        return pa.array(out, mask=gone)
+
+    return F.arrow_udf(found, "long")(a, b)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of the similarity or more, by the whole sets. One row of docs is read for each text that has a pair.
+def similar_documents(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
 
-    Two texts share at most the sum of the smaller counts of shingles in each hash bucket, so pairs for which that is too
-    few need no sets. A text without counts (too many for a short) passes.
+    Two documents link if the Jaccard similarity of their sets of `shingle` words is `similarity` or more. component_id is the smallest
+    doc_id reachable by links, itself included; null ids never name a component unless it has no other (then it is null). Null, empty
+    and blank texts have no shingles and link with nothing; repeated rows are returned as often as they come; an empty table
+    gives no rows; further columns are ignored.
     """
-    for x in "ab":
-        pairs = pairs.join(classes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("spread").alias(f"_{x}")), x)
-    most = F.aggregate(F.zip_with("_a", "_b", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda p, q: p + q)
-    enough = most >= similarity / (1 + similarity) * (F.col("_na") + F.col("_nb")) - _EPS
-    pairs = materialize(pairs.filter(F.coalesce(enough, F.lit(True))).select("a", "b"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    heads = classes.join(nodes, "node", "left_semi").select("_id", F.col("node").alias("_node"))
-    some = keep_rows(docs, heads, "_id", "_text")
-    sets = materialize(some.select(text_node(F.col("_text")).alias("node"), _shingles(F.col("_text"), shingle).alias("s")))
-    one, two = (sets.select(F.col("node").alias(x), F.col("s").alias(f"_{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    near = shared >= similarity / (1 + similarity) * (F.size("_a") + F.size("_b")) - _EPS
-    return materialize(pairs.join(one, "a").join(two, "b").filter(near).select("a", "b"))
-
-
-def sketches(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each distinct text of `_id`, `_node`, `_text`: _node, its least _id, n (size of its set), keys (the prefix),
-    spread (counts by hash bucket) and _print (the fingerprint of its set)."""
-    frequent, counts = _frequent(texts, shingle)
-    found = texts.select("_id", "_node", _prefixes(F.col("_text"), shingle, similarity, frequent, counts).alias("_f"))
-    found = found.groupBy("_node").agg(F.min("_id").alias("_id"), F.first("_f").alias("_f"))
-    return materialize(found.select("_node", "_id", "_f.n", "_f.keys", "_f.spread", F.col("_f.print").alias("_print")))
-
-
-def labels(docs: DataFrame, sketched: DataFrame, proposed: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, label): components over all pairs of the similarity or more. docs has `_id` and `_text`; proposed has pairs
-    (a, b), a < b, to look at first, any or none."""
-    classes = sketched.withColumnRenamed("_node", "node")
-    first_links = _verified(proposed, docs, classes, shingle, similarity)
-    entries = classes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    by = W.partitionBy("key").orderBy("pos", "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    first = [F.first(c).over(by).alias(f"_{c}") for c in ("node", "n", "pos")]
-    met = entries.select("*", *first, F.count(F.lit(1)).over(by).alias("_many")).filter("_many > 1").drop("_many")
-    met = materialize(met)
-    nodes = materialize(met.select("node").distinct())
-
-    c = F.col
-    stars = met.filter((c("node") != c("_node")) & _may_be(similarity, c("n"), c("pos"), c("_n"), c("_pos")))
-    stars = stars.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-    links = _verified(stars.join(first_links, ["a", "b"], "left_anti"), docs, classes, shingle, similarity).union(first_links)
-
-    part = met.select("key", "node", "n", "pos").join(components(nodes, links), "node")
-    split = part.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high")
-    part = materialize(part.join(split.select("key"), "key", "left_semi"))
-    other = part.select("key", c("node").alias("_node"), c("n").alias("_n"), c("pos").alias("_pos"), c("label").alias("_label"))
-    rest = part.join(other, "key").filter(c("label") < c("_label")).filter(_may_be(similarity, c("n"), c("pos"), c("_n"), c("_pos")))
-    rest = rest.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-    more = _verified(rest, docs, classes, shingle, similarity)
-    return components(classes.select("node"), links.union(more))
+    texts = Texts(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), shingle, similarity)
+    joined = materialize(texts.labels().join(texts.classes.select("node", "_first"), "node"))
+    heads = joined.groupBy("label").agg(F.min("_first").alias("_least"))
+    found = join_hot(texts.rows, join_hot(joined, heads, "label").select("node", "_least"), "node")
+    return found.select(F.col("_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("_least")).alias("component_id"))

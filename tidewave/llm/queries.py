@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, resampling, runs, sharding, simhash, sstable, toxicity, warc, weak_supervision, wrappers
+from . import decontamination, mixing, overlap, pii, resampling, runs, sharding, simhash, sstable, toxicity, warc, weak_supervision, wrappers
 from .common import table
 
 N_SHARDS = 16
@@ -71,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"), loops=True)
 
@@ -82,7 +86,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sharding, op2_simhash, op3_sstable, op4_quality, op5_html, op6_decontamination, op7_warc, op8_pii, op9_mixing, op10_toxicity,
-        op12_runs, op13_resampling,
+        op11_similarity, op12_runs, op13_resampling,
     )
     return {f.__name__: f for f in found}
 
@@ -144,6 +148,18 @@ u AS (SELECT r.*, e.n, e.target, e.epochs, e.target - e.epochs * e.n AS budget,
 SELECT doc_id, size, n AS source_size, target, CAST(size * (epochs + (budget > 0 AND used + size / 2.0::DOUBLE <= budget)::INT) AS BIGINT) AS taken FROM u"""
 
 
+_OP11_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM d, range(1, greatest(len(w) - 3, least(len(w), 1)) + 1) AS a(i)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+e AS (SELECT x.r AS a, y.r AS b FROM s x JOIN s y ON x.g = y.g AND x.r < y.r JOIN n ON n.r = x.r JOIN n m ON m.r = y.r
+  GROUP BY x.r, y.r HAVING 100 * count(*) >= 85 * (any_value(n.n) + any_value(m.n) - count(*))),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c(a, b) AS (SELECT r, r FROM d UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a),
+k AS (SELECT c.a AS r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.b GROUP BY c.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN k USING (r)"""
+
+
 def _op13_sql() -> str:
     """The checksum of each different n-gram is taken once."""
     grams = "SELECT {key}, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM {words}, range(1, 4) AS a(n), range(1, len(w) + 2 - n) AS b(i)"
@@ -167,4 +183,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN fit AND pos <= n * {resampli
 
 def oracle_sql() -> dict[str, str]:
     """The other operators depend on XXH64, tokenizers, models or edit distances, and have tests instead."""
-    return {"op1_sharding": _op1_sql(), "op7_warc": _OP7_SQL, "op9_mixing": _OP9_SQL, "op13_resampling": _op13_sql()}
+    return {"op1_sharding": _op1_sql(), "op7_warc": _OP7_SQL, "op9_mixing": _OP9_SQL, "op11_similarity": _OP11_SQL, "op13_resampling": _op13_sql()}

@@ -146,8 +146,9 @@ def keep_first(
     """One row of each group of near-duplicates: that with the smallest id, with the columns of docs.
 
     Without a similarity, groups are the components over fingerprints at max_distance bits or fewer. With one, they are those
-    over pairs of texts whose sets of shingles have at least this Jaccard similarity: fingerprints propose pairs, whole sets
-    verify them, and pairs that fingerprints lie too far apart for are found by `overlap`, exactly.
+    over pairs of texts whose sets of shingles have at least this Jaccard similarity. What multi-index hashing finds near by
+    fingerprints of these sets is verified by the whole sets and becomes one group; between different groups `overlap` finds every
+    other pair, as fingerprints of texts that are as similar as asked may lie too far apart for any small ball.
 
     A null id stays only where its group has no other. Of rows with one id in a group the text with the smallest hash stays;
     rows with one id, or none, and texts of different groups stay each in its own. Null, empty and blank texts are alike;
@@ -155,27 +156,27 @@ def keep_first(
     """
     if shingle < 1 or similarity is not None and not 0 < similarity <= 1:
         raise ValueError("similarity must be over 0 and at most 1, shingle at least 1")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_node(F.col(text_col)).alias("_node"), F.col(text_col).alias("_text"))
-    best = F.min(F.struct(F.col("_id").isNull(), "_id", "_node"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     if similarity is None:
-        rows = texts.select("_id", "_node", fingerprint(F.col("_text"), shingle).alias("_print"))
-        classes = materialize(rows.groupBy(F.col("_print").alias("node")).agg(best.alias("_first")))
-        heads = print_heads(classes, max_distance, segments).select(F.col("_first").alias("_h")).distinct()
+        rows = materialize(texts.select("_id", text_node(F.col("_text")).alias("_hash"), fingerprint(F.col("_text"), shingle).alias("node")))
+        nodes = materialize(rows.select("node").distinct())
+        labels = components(nodes, links(nodes, max_distance, segments))
     else:
-        sketches = overlap.sketches(texts, shingle, similarity)
-        labels = overlap.labels(texts, sketches, _proposed(sketches, max_distance, segments), shingle, similarity)
-        joined = labels.join(sketches.select(F.col("_node").alias("node"), "_id", "_node"), "node")
-        heads = joined.groupBy("label").agg(best.alias("_h"))
-    return keep_rows(docs, heads.select("_h._id", "_h._node"), id_col, text_col)
-
-
-def _proposed(sketches: DataFrame, max_distance: int, segments: int) -> DataFrame:
-    """(a, b), a < b: each text with the first of its fingerprint, and those first ones of each fingerprint and the least that
-    it is linked to. So there are two pairs a text at most, however large a group is."""
-    prints = materialize(sketches.groupBy("_print").agg(F.min("_node").alias("_rep")))
-    alike = join_hot(sketches.select("_node", "_print"), prints, "_print").select(F.col("_rep").alias("a"), F.col("_node").alias("b"))
-    near = links(prints.select(F.col("_print").alias("node")), max_distance, segments).groupBy("b").agg(F.min("a").alias("a"))
+        found = overlap.Texts(texts, shingle, similarity, prints=True)
+        rows, labels = found.rows, found.labels(_proposed(found.classes, max_distance, segments))
+    best = F.min(F.struct(F.col("_id").isNull(), "_id", "_hash"))
+    classes = rows.groupBy("node").agg(best.alias("_h"))
+    heads = labels.join(classes, "node").groupBy("label").agg(F.min("_h").alias("_h"))
+    return keep_rows(docs, rows, heads.select("_h._id", "_h._hash"), id_col, text_col)
+
+
+def _proposed(classes: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """(a, b), a < b: each class with the first of its fingerprint, and those first ones of each fingerprint and the least that
+    it is linked to. So there are two pairs a class at most, however large a group is."""
+    prints = materialize(classes.groupBy("print").agg(F.min("node").alias("_rep")))
+    alike = join_hot(classes.select("node", "print"), prints, "print").select(F.col("_rep").alias("a"), F.col("node").alias("b"))
+    near = links(prints.select(F.col("print").alias("node")), max_distance, segments).groupBy("b").agg(F.min("a").alias("a"))
     for x in "ab":
-        near = near.join(prints.select(F.col("_print").alias(x), F.col("_rep").alias(f"_{x}")), x)
+        near = near.join(prints.select(F.col("print").alias(x), F.col("_rep").alias(f"_{x}")), x)
     near = near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
     return alike.filter("a < b").union(near)

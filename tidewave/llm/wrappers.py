@@ -11,8 +11,8 @@ is matched with the wrapper to read that out.
 Elements of one name are told apart by what they hold, only text, mostly links, or blocks, as many pages have no names at all.
 
 Alignment combines: a task folds its pages into a wrapper per host, those are folded by (host, salt) and then by host, so
-that a host with very many pages costs no task more than its own pages. Elements below MAX_DEPTH levels are looked
-through unless they decide what counts as text; their texts stay.
+that a host with very many pages costs no task more than its own pages. Elements may lie in each other as deep as a page has
+them: recursion is by plain Python calls, which take no C stack, and tasks lift the limit of their number.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MAX_DEPTH = 60
+#: Nested calls that a task may make, some five for each level of a page.
+CALLS = 5_000_000
+#: A task hands on the wrappers it has so far when their JSON may have grown to about so many items.
+ITEMS_KEPT = 500_000
 TABLE_CELLS = 90_000  # longer lists are aligned by halves
 SALTS = 64
 BROADCAST_BYTES = 32 << 20
@@ -115,16 +119,17 @@ def _label(tag: str, attributes: str) -> str:
     return f"{tag}.{' '.join(names.split())}" if names else tag
 
 
-def parse(page: str) -> Node:
-    """The page's blocks and texts as a tree. Texts are (text, in a link); inline elements are looked through.
+def _deep() -> None:
+    if sys.getrecursionlimit() < CALLS:
+        sys.setrecursionlimit(CALLS)
 
-    Below MAX_DEPTH an element gets a node of its own only if it changes what counts: the first one in its line of ancestors
-    that holds no text, or that is named as the main one, or the first article. Others give their kids to the node above.
-    """
+
+def parse(page: str) -> Node:
+    """The page's blocks and texts as a tree. Texts are (text, in a link); inline elements are looked through."""
+    _deep()
     root = Node("root")
     stack, links, at, n = [root], 0, 0, len(page)
-    tags = ["root"]  # of the stack's elements, also of those looked through
-    kinds = [frozenset()]  # _kinds of an element and its ancestors
+    tags = ["root"]  # of the stack's elements
     places: dict[str, list[int]] = {}
 
     def text(piece: str) -> None:
@@ -140,25 +145,16 @@ def parse(page: str) -> Node:
         k = last(names)
         if not k or scoped and last(SCOPES) > k:
             return
-        if stack[-1] is stack[-2]:
-            text(" ")
         for t in tags[k:]:
             places[t].pop()
-        del stack[k:], tags[k:], kinds[k:]
+        del stack[k:], tags[k:]
 
     def push(tag: str, attributes: str) -> None:
-        label = _label(tag, attributes)
-        more = _kinds(label) - kinds[-1]
-        if len(stack) < MAX_DEPTH or more:
-            node = Node(label)
-            stack[-1].kids.append(node)
-        else:
-            text(" ")
-            node = stack[-1]
+        node = Node(_label(tag, attributes))
+        stack[-1].kids.append(node)
         places.setdefault(tag, []).append(len(stack))
         stack.append(node)
         tags.append(tag)
-        kinds.append(kinds[-1] | more)
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -202,7 +198,7 @@ def parse(page: str) -> Node:
 
 
 def _key(item) -> str:
-    return f"({','.join(map(_key, item[2]))})" if item[0] == "()" else item[0]
+    return f"({','.join([_key(x) for x in item[2]])})" if item[0] == "()" else item[0]
 
 
 def _unify(a, b):
@@ -235,7 +231,10 @@ def _fold(items: list) -> list:
         while stop + size <= len(out) and keys[stop : stop + size] == keys[i : i + size]:
             stop += size
         runs = [out[k : k + size] for k in range(i, stop, size)]
-        out[i:stop] = [["()", REPEATED, [reduce(_unify, column) for column in zip(*runs, strict=True)]]]
+        whole = runs[0]
+        for run in runs[1:]:
+            whole = [_unify(x, y) for x, y in zip(whole, run, strict=True)]
+        out[i:stop] = [["()", REPEATED, whole]]
     return out
 
 
@@ -300,6 +299,7 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 def items_of(node: Node) -> list:
     """A page's own wrapper below a node, its repeats folded."""
+    _deep()
     out = []
     for kid in node.kids:
         if isinstance(kid, Node):
@@ -310,13 +310,6 @@ def items_of(node: Node) -> list:
     return _fold(out)
 
 
-def _size(item) -> tuple[int, int]:
-    if item[0] == "#":
-        return item[3], item[4]
-    parts = [_size(x) for x in item[2]]
-    return sum(p[0] for p in parts), sum(p[1] for p in parts)
-
-
 def _kinds(label: str) -> frozenset:
     """What an element says of the text in it. Of nested main elements the outer has as much text, and articles come first."""
     if not is_text(label):
@@ -337,7 +330,23 @@ def _own(item) -> float:
     """The characters of an item that speak for main text: not in links, and those of template text for little."""
     if item[0] == "#":
         return 0.0 if 2 * item[4] > item[3] else (item[3] - item[4]) * (TEMPLATE if _template(item) else 1.0)
-    return sum(map(_own, item[2])) if item[0] == "()" or is_text(item[0]) else 0.0
+    return sum([_own(x) for x in item[2]]) if item[0] == "()" or is_text(item[0]) else 0.0
+
+
+def _weight(item, weights: dict[int, float]) -> float:
+    """What speaks for an item: its own characters, those of elements called the main one NAMED times, however deep they lie.
+
+    weights gets it for each item, by the item's identity.
+    """
+    if item[0] == "#":
+        found = _own(item)
+    else:
+        inside = [_weight(x, weights) for x in item[2]]
+        found = 0.0 if item[0] != "()" and not is_text(item[0]) else sum(inside)
+        if found and item[0] != "()" and _kinds(item[0]):
+            found = max(found, NAMED * _own(item))
+    weights[id(item)] = found
+    return found
 
 
 def _template(item) -> bool:
@@ -346,23 +355,28 @@ def _template(item) -> bool:
 
 
 def _varies(items: list) -> bool:
-    return any(not x[2] if x[0] == "#" else _varies(x[2]) for x in items)
+    for x in items:
+        if not x[2] if x[0] == "#" else _varies(x[2]):
+            return True
+    return False
 
 
 def main_of(wrapper: list):
     """The wrapper's element with the main text, or None.
 
-    From the page down: the element that holds most of the text that speaks for it, as long as there is one of blocks. Of an
-    element that tag or name call the main one the text counts NAMED times.
+    From the page down: the element that holds most of the text that speaks for it, as long as there is one of blocks. Text that tag
+    or name call the main one counts NAMED times, for the element itself and for all that it lies in.
     """
+    _deep()
+    weights: dict[int, float] = {}
+    for item in wrapper:
+        _weight(item, weights)
     found, items = None, wrapper
     while True:
-        rated = []
-        for item in _flat(items):
-            if item[0] != "#" and is_text(item[0]):
-                rated.append((_own(item) * (NAMED if _kinds(item[0]) else 1), item))
+        flat = _flat(items)
+        rated = [(weights[id(x)], x) for x in flat if x[0] != "#" and is_text(x[0])]
         best = max(rated, key=lambda x: x[0], default=(0.0, None))
-        whole = sum(r for r, _ in rated) + sum(_own(x) for x in _flat(items) if x[0] == "#")
+        whole = sum([r for r, _ in rated]) + sum([weights[id(x)] for x in flat if x[0] == "#"])
         if not best[0] or best[0] < MOST * whole or not any(x[0] != "#" for x in best[1][2]):
             return found
         named = found is not None and _kinds(found[0])
@@ -373,30 +387,35 @@ def main_of(wrapper: list):
         found, items = best[1], best[1][2]
 
 
-def _flat(items: list) -> Iterator[list]:
-    for item in items:
+def _flat(items: list) -> list:
+    """The items in order, groups replaced by what they hold."""
+    out, todo = [], list(reversed(items))
+    while todo:
+        item = todo.pop()
         if item[0] == "()":
-            yield from _flat(item[2])
+            todo += reversed(item[2])
         else:
-            yield item
+            out.append(item)
+    return out
 
 
-def _matched(node: Node, items: list | None) -> Iterator[tuple]:
+def _matched(node: Node, items: list | None) -> list[tuple]:
     """(kid, item) for a node's kids in order: the next item with the kid's key that isn't used up, or the first one again."""
-    flat, places, used = list(_flat(items or ())), {}, {}
+    flat, places, used, out = _flat(items or []), {}, {}, []
     for i, item in enumerate(flat):
         places.setdefault(item[0], []).append(i)
     for kid in node.kids:
         key = kid.key() if isinstance(kid, Node) else "#"
         at = places.get(key)
         if at is None:
-            yield kid, None
+            out.append((kid, None))
             continue
         turn = used.get(key, 0)
         hit = flat[at[min(turn, len(at) - 1)]]
         if isinstance(kid, Node) or not kid[0].isspace():
             used[key] = turn if hit[1] & REPEATED and turn + 1 >= len(at) else turn + 1
-        yield kid, hit
+        out.append((kid, hit))
+    return out
 
 
 def extract(page: str, wrapper: list) -> str:
@@ -438,29 +457,69 @@ def extract(page: str, wrapper: list) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
+def pack(items: list) -> str:
+    """A wrapper as JSON without nesting: texts as they are, elements and groups with how many items they hold, in order."""
+    rows, todo = [], list(reversed(items))
+    while todo:
+        item = todo.pop()
+        if item[0] == "#":
+            rows.append(item)
+        else:
+            rows.append([item[0], item[1], len(item[2])])
+            todo += reversed(item[2])
+    return json.dumps([len(items), rows], ensure_ascii=True, separators=(",", ":"))
+
+
+def unpack(data: str) -> list:
+    top, rows = json.loads(data)
+    out: list = []
+    open_lists = [(out, top)]
+    for row in rows:
+        while len(open_lists[-1][0]) == open_lists[-1][1]:
+            open_lists.pop()
+        if row[0] == "#":
+            open_lists[-1][0].append(row)
+        else:
+            held: list = []
+            open_lists[-1][0].append([row[0], row[1], held])
+            open_lists.append((held, row[2]))
+    return out
+
+
 @lru_cache(maxsize=64)
-def _wrapper(data: str) -> list:
-    return json.loads(data)
+def _wrapper(data: str | None) -> list:
+    return unpack(data) if data else []
 
 
 def _fold_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, list] = {}
+    """Wrappers of the hosts that a task meets; when they have grown large they are handed on and begun anew."""
+    salt, found, size = TaskContext.get().partitionId() % SALTS, {}, 0
+
+    def out() -> pa.RecordBatch:
+        columns = [list(found), [salt] * len(found), [pack(w) for w in found.values()]]
+        types = (pa.string(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["_host", "_salt", "_wrapper"])
+
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             items = items_of(parse(page or ""))
-            found[host] = align(found[host], items) if host in found else items
-    part = TaskContext.get().partitionId()
-    columns = [list(found), [part % SALTS] * len(found), [json.dumps(w, ensure_ascii=True) for w in found.values()]]
-    types = (pa.string(), pa.int32(), pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["_host", "_salt", "_wrapper"])
+            if host in found:
+                found[host] = align(found[host], items)
+            else:
+                found[host], size = items, size + (page or "").count("<")
+            if size > ITEMS_KEPT:
+                yield out()
+                found, size = {}, 0
+    yield out()
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    _deep()
     data = sorted(rows["_wrapper"])
-    whole = json.loads(data[0])
+    whole = unpack(data[0])
     for other in data[1:]:
-        whole = align(whole, json.loads(other))
-    return pd.DataFrame({"_host": [rows["_host"].iloc[0]], "_salt": [0], "_wrapper": [json.dumps(whole, ensure_ascii=True)]})
+        whole = align(whole, unpack(other))
+    return pd.DataFrame({"_host": [rows["_host"].iloc[0]], "_salt": [0], "_wrapper": [pack(whole)]})
 
 
 def host_of(url):
@@ -480,7 +539,7 @@ def infer(pages: DataFrame, *, url_col="url", html_col="html") -> DataFrame:
 def _extract_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages, data = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        texts = [extract(p or "", _wrapper(w or "[]")) for p, w in zip(pages, data, strict=True)]
+        texts = [extract(p or "", _wrapper(w)) for p, w in zip(pages, data, strict=True)]
         columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
