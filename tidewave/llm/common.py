@@ -48,29 +48,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session, dots written as two underscores, for the queries planned in here; they come back afterwards."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    was = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in was.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def dropping_shuffles(spark: SparkSession):
     """Queries planned in here remove their shuffle files when they end, not when the driver happens to collect its garbage.
 
     For tables that are cut from their lineage and results that are fetched once: jobs of many rounds would else keep the
-    files of every round on the executors' disks. The session's own setting comes back afterwards.
+    files of every round on the executors' disks.
     """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if was is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, was)
+    return setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+def materialize(df: DataFrame, forget: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps what the planner had found out about its values. In loops this grows with each round until planning takes
+    longer than the work, so they `forget` it.
+    """
     shared_dir(df.sparkSession)
     with dropping_shuffles(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)
+        if not forget:
+            return df.select("*").checkpoint(eager=True)
+        with setting(df.sparkSession, spark__sql__constraintPropagation__enabled="false"):
+            return df.select("*").checkpoint(eager=True)
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, join_hot, materialize, text_node
-from .components import components
+from .common import BROADCAST_ROWS, few, join_hot, materialize, text_node
+from .components import merged
 from .shingles import SEED, votes
 
 SHINGLE = 4
@@ -41,9 +40,9 @@ FREQUENT_AT_MOST = 100_000  # only the order and the estimates depend on it
 MATCHES = 4  # the most shared prefix shingles that a text may ask for
 VERIFY = 16.0  # the cost of verifying a pair, in meetings under a shingle
 BUCKETS = 128
-#: Pivots are tried again while texts of different components would meet over so many times for each row.
+#: Pivots are tried again while texts of different components would meet over so many times for each row, and half as often as before.
 MEETINGS, ROUNDS = 8, 3
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -176,15 +175,15 @@ class Texts:
         self.texts = texts.select("_id", "_text", text_node(F.col("_text")).alias("_hash"))
         frequent = texts.sparkSession.sparkContext.broadcast(_frequent(self.texts, shingle))
         sketch = _sketches(F.col("_text"), shingle, self.threshold, frequent, prints)
-        found = materialize(self.texts.select("_id", "_hash", sketch.alias("_f")).select("_id", "_hash", "_f.*"))
+        found = materialize(self.texts.select("_id", "_hash", sketch.alias("_f")).select("_id", "_hash", "_f.*"), forget=True)
         self.rows = found.select("_id", "_hash", "node", "n")
         kept = F.first(F.struct("n", "keys", "matches", "spread", "print")).alias("_f")
-        self.classes = materialize(found.groupBy("node").agg(F.min("_hash").alias("_hash"), F.min("_id").alias("_first"), kept).select("node", "_hash", "_first", "_f.*"))
+        self.classes = materialize(found.groupBy("node").agg(F.min("_hash").alias("_hash"), F.min("_id").alias("_first"), kept).select("node", "_hash", "_first", "_f.*"), forget=True)
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, set) of some classes: one text of each is shingled again, and only these sets are shuffled."""
         heads = self.classes.join(nodes, "node", "left_semi").select("_hash")
-        found = self.texts.join(few(materialize(heads)), "_hash", "left_semi").select(_sets(F.col("_text"), self.shingle).alias("_s")).select("_s.*")
+        found = self.texts.join(few(materialize(heads, forget=True)), "_hash", "left_semi").select(_sets(F.col("_text"), self.shingle).alias("_s")).select("_s.*")
         return found.groupBy("node").agg(F.first("set").alias("set"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -192,45 +191,49 @@ class Texts:
         columns = {x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("spread").alias(f"_{x}")) for x in "ab"}
         near = pairs.join(columns["a"], "a").filter("_na > 0").join(columns["b"], "b").filter(self.threshold.sizes(F.col("_na"), F.col("_nb")))
         enough = self.threshold.allows(F.coalesce(_most(F.col("_a"), F.col("_b")), F.least("_na", "_nb").cast("long")), F.col("_na"), F.col("_nb"))
-        near = materialize(near.filter(enough).select("a", "b"))
+        near = materialize(near.filter(enough).select("a", "b"), forget=True)
         if near.isEmpty():
             return near
-        sets = materialize(self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        sets = materialize(self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()), forget=True)
         one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"_{x}")) for x in "ab")
         shared = F.size(F.array_intersect("_a", "_b"))
-        return materialize(near.join(one, "a").join(two, "b").filter(self.threshold.allows(shared, F.size("_a"), F.size("_b"))).select("a", "b"))
+        return materialize(near.join(one, "a").join(two, "b").filter(self.threshold.allows(shared, F.size("_a"), F.size("_b"))).select("a", "b"), forget=True)
 
-    def links(self, proposed: DataFrame | None = None) -> DataFrame:
-        """(a, b): similar pairs that join all similar classes. `proposed` pairs are looked at first, in place of the first pivots."""
+    def labels(self, proposed: DataFrame | None = None) -> DataFrame:
+        """(node, label) of all classes: the components over all similar pairs. `proposed` pairs are looked at first, in place of
+        the first pivots."""
         entries = self.classes.select("node", "n", "matches", F.posexplode("keys").alias("pos", "key"))
         pivots = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("node").alias("_pivot")).filter("_c > 1").drop("_c")
-        met = materialize(entries.join(pivots, "key"))
+        met = materialize(entries.join(pivots, "key"), forget=True)
         if proposed is None:
             proposed = met.filter("node <> _pivot").select(F.col("_pivot").alias("a"), F.col("node").alias("b"))
-        nodes = materialize(met.select("node").distinct())
-        found, fresh = [], self.verified(proposed.distinct())
+        met = met.drop("_pivot")
+        before, labels, fresh = None, self.classes.select("node", F.col("node").alias("label")), self.verified(proposed.distinct())
         for turn in range(ROUNDS + 1):
-            found.append(fresh)
-            part, meetings, rows = self._apart(met, nodes, reduce(DataFrame.union, found))
+            labels = merged(labels, fresh)
+            met, meetings, rows = self._apart(met, labels)
             if not rows:
                 break
-            if turn == ROUNDS or meetings <= MEETINGS * rows or turn and fresh.isEmpty():
-                found.append(self.verified(self._candidates(part)))
+            if turn == ROUNDS or meetings <= MEETINGS * rows or before is not None and 2 * meetings > before:
+                labels = merged(labels, self.verified(self._candidates(met)))
                 break
-            draw = F.xxhash64("node", "key", F.lit(turn))
-            pivot = part.groupBy("key").agg(F.min(F.struct(draw.alias("_d"), "node", "label")).alias("_p"))
-            pairs = part.join(pivot, "key").filter("label <> _p.label").select(F.least("node", "_p.node").alias("a"), F.greatest("node", "_p.node").alias("b"))
+            before, draw = meetings, F.xxhash64("node", "key", F.lit(turn))
+            pivot = met.groupBy("key").agg(F.min(F.struct(draw.alias("_d"), "node", "label")).alias("_p"))
+            pairs = met.join(pivot, "key").filter("label <> _p.label").select(F.least("node", "_p.node").alias("a"), F.greatest("node", "_p.node").alias("b"))
             fresh = self.verified(pairs.distinct())
-        return reduce(DataFrame.union, found)
-
-    def _apart(self, met: DataFrame, nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int, int]:
-        """What meets under shingles that several components have, how many pairs of different components meet there, and the rows."""
-        part = materialize(met.drop("_pivot").join(components(nodes, links), "node"))
-        each = part.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_c"))
-        keys = each.groupBy("key").agg(F.sum("_c").alias("_all"), F.sum(F.col("_c") * F.col("_c")).alias("_own"), F.count(F.lit(1)).alias("_labels"))
-        keys = materialize(keys.filter("_labels > 1"))
-        sums = keys.agg(F.sum((F.col("_all") * F.col("_all") - F.col("_own")) / 2).alias("m"), F.sum("_all").alias("r")).first()
-        return part.join(keys.select("key"), "key", "left_semi"), int(sums["m"] or 0), int(sums["r"] or 0)
+        return labels
+
+    def _apart(self, met: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+        """What may still meet: rows under shingles that several components have and a text has in its shorter prefix, with labels; how
+        often texts of different components meet there, and the rows. All else is settled."""
+        part = materialize(met.drop("label").join(labels, "node"), forget=True)
+        short = F.count_if(F.col("pos") < self.threshold.first(F.col("n"), F.col("matches")))
+        each = part.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_c"), short.alias("_s"))
+        keys = each.groupBy("key").agg(F.sum("_c").alias("_all"), F.sum("_s").alias("_short"), F.sum(F.col("_c") * F.col("_s")).alias("_own"), F.count(F.lit(1)).alias("_labels"))
+        keys = materialize(keys.filter("_labels > 1 AND _short > 0"), forget=True)
+        sums = keys.agg(F.sum(F.col("_all") * F.col("_short") - F.col("_own")).alias("m"), F.sum("_all").alias("r"), F.count(F.lit(1)).alias("k")).first()
+        left = keys.select("key")
+        return part.join(F.broadcast(left) if sums["k"] <= BROADCAST_ROWS else left, "key", "left_semi"), int(sums["m"] or 0), int(sums["r"] or 0)
 
     def _candidates(self, part: DataFrame) -> DataFrame:
         """Pairs of different components that meet often enough. The smaller text of a pair meets by its shorter prefix."""
@@ -249,10 +252,6 @@ class Texts:
         pairs = found.filter("_times >= _asked AND _first")
         return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
-    def labels(self, proposed: DataFrame | None = None) -> DataFrame:
-        """(node, label) of all classes: the components over all similar pairs."""
-        return components(self.classes.select("node"), self.links(proposed))
-
 
 def _most(a: Column, b: Column) -> Column:
     """The most shingles that two texts can share: the lesser counts of all buckets, null where one isn't known."""
@@ -281,7 +280,7 @@ def similar_documents(
     gives no rows; further columns are ignored.
     """
     texts = Texts(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), shingle, similarity)
-    joined = materialize(texts.labels().join(texts.classes.select("node", "_first"), "node"))
+    joined = materialize(texts.labels().join(texts.classes.select("node", "_first"), "node"), forget=True)
     heads = joined.groupBy("label").agg(F.min("_first").alias("_least"))
     found = join_hot(texts.rows, join_hot(joined, heads, "label").select("node", "_least"), "node")
     return found.select(F.col("_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("_least")).alias("component_id"))
