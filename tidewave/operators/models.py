@@ -1,4 +1,4 @@
-"""Subject-grouped models: folds, a registry of estimators and the cross-validated run."""
+"""Subject-grouped models: folds, a registry of estimators (Spark's own, and boosted trees) and the cross-validated run."""
 
 from __future__ import annotations
 
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewave.functions.lineage import cut
 from tidewave.sources.sinks import read_note, write_note
 
+from . import boosting
 from .decoding import best_weight, decode
 from .evaluation import CLASSES, balanced_weights, scores, transitions
 from .selection import select_columns, within_budget
@@ -30,6 +32,11 @@ MODELS: dict[str, Callable[[], list]] = {
 }
 
 
+#: Parameters of the model "boosted".
+BOOSTED = {"rounds": 40, "depth": 3, "bins": 64, "rate": 0.3}
+NAMES = (*MODELS, "boosted")
+
+
 def majority(df: DataFrame, fold: str, stage: str) -> DataFrame:
     """df with `pred`: the most frequent stage of the other folds, the smaller one of equals. Only counts are shuffled."""
     wide = df.groupBy(fold).pivot(stage).count().na.fill(0)
@@ -75,10 +82,12 @@ def whole_subjects(dealt: DataFrame, subject: str, fold: str, named: int = 5) ->
 
 def fit(train: DataFrame, columns: Sequence[str], model: str):
     """A fitted pipeline; classes are weighted alike. Missing values become zero, which is the middle of a normalised column."""
-    if model not in MODELS:
-        raise ValueError(f"unknown model {model}; known: {', '.join(sorted(MODELS))}")
+    if model not in NAMES:
+        raise ValueError(f"unknown model {model}; known: {', '.join(sorted(NAMES))}")
     weights = balanced_weights(train, "stage").select("stage", "weight")  # a row per class
     weighted = train.na.fill(0.0, list(columns)).join(F.broadcast(weights), "stage")
+    if model == "boosted":
+        return boosting.fit(weighted, columns, "stage", CLASSES, weight="weight", **BOOSTED)
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="raw_features"), *MODELS[model]()]).fit(weighted)
 
 
@@ -100,7 +109,7 @@ def cross_validate(
     def gains(train: DataFrame, names: Sequence[str]) -> dict[str, float]:
         return dict(importance(fit(train, names, ranked_by), names))
 
-    out = None
+    df, out = cut(df), None  # its windows are computed once, not for every fold
     for k in folds:
         train, test = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
         own = list(columns) if select == "all" else select_columns(train, columns, select, gains)
@@ -132,7 +141,7 @@ def nested_decode(
 ) -> DataFrame:
     """predicted (stage, proba and fold a row) with `smoothed` and `weight`: each fold is decoded by the steps and at the
     weight that suit the other folds best."""
-    out = None
+    predicted, out = cut(predicted), None
     for k in folds:
         others, own = predicted.filter(F.col(fold) != k), predicted.filter(F.col(fold) == k)
         cells = {(r["source"], r["target"]): r["log_prob"] for r in transitions(others, keys, order, "stage").collect()}  # a row per pair of classes
@@ -154,10 +163,13 @@ def validation_subjects(df: DataFrame, subject: str, share: float = 0.2, seed: i
 
 def save(fitted: PipelineModel, path: str, columns: Sequence[str], look_ahead: Mapping[str, int], model: str, spark, **more) -> dict:
     """Write a fitted pipeline and its card: model, columns in order, the look-ahead of these columns alone, and what else is given."""
-    if model not in MODELS:
-        raise ValueError(f"unknown model {model}; known: {', '.join(sorted(MODELS))}")
+    if model not in NAMES:
+        raise ValueError(f"unknown model {model}; known: {', '.join(sorted(NAMES))}")
     card = {"model": model, "columns": list(columns), "look_ahead": {c: look_ahead.get(c, 0) for c in columns}, "delay": max((look_ahead.get(c, 0) for c in columns), default=0), **more}
-    fitted.write().overwrite().save(f"{path}/model")
+    if model == "boosted":
+        write_note(spark, fitted.note(), f"{path}/model")
+    else:
+        fitted.write().overwrite().save(f"{path}/model")
     write_note(spark, card, f"{path}/card")
     return card
 
@@ -165,13 +177,17 @@ def save(fitted: PipelineModel, path: str, columns: Sequence[str], look_ahead: M
 def load(path: str, spark) -> tuple[PipelineModel, dict]:
     """A saved pipeline and its card."""
     card = read_note(spark, f"{path}/card")
-    if card.get("model") not in MODELS:
-        raise ValueError(f"unknown model {card.get('model')}; known: {', '.join(sorted(MODELS))}")
+    if card.get("model") not in NAMES:
+        raise ValueError(f"unknown model {card.get('model')}; known: {', '.join(sorted(NAMES))}")
+    if card["model"] == "boosted":
+        return boosting.Boosted.of(read_note(spark, f"{path}/model")), card
     return PipelineModel.load(f"{path}/model"), card
 
 
 def importance(fitted, columns: Sequence[str]) -> list[tuple[str, float]]:
-    """(column, importance), greatest first: of a forest its gains, of a linear model the mean size of its coefficients."""
+    """(column, importance), greatest first: of trees their gains, of a linear model the mean size of its coefficients."""
+    if isinstance(fitted, boosting.Boosted):
+        return sorted(((c, fitted.gains[c]) for c in columns), key=lambda x: (-x[1], x[0]))
     last = fitted.stages[-1]
     if hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray()
