@@ -293,7 +293,7 @@ def test_recordings_come_whole_to_a_kernel(spark):
 def test_models_and_folds(spark):
     rows = overlay.kept(spark, "/root/testdata/sf0.01").select("user_id", "epoch_idx", "stage", F.col("value").alias("a"), F.col("k").alias("b"))
     rows = rows.withColumn("b", F.col("b") + F.col("stage") * 20.0)
-    folds = models.group_folds(rows, "user_id", "stage", 3)
+    folds = [tuple(r) for r in models.group_folds(rows, "user_id", "stage", 3).collect()]
     assert len({s for s, _ in folds}) == len(folds) == 150 and {f for _, f in folds} == {0, 1, 2}
     df = rows.join(spark.createDataFrame(folds, "user_id long, fold int"), "user_id").cache()
     ratios = evaluation.ratio_spread(evaluation.class_ratios(df, "fold", "stage"), "stage").collect()

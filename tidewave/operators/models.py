@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tidewave.functions.lineage import cut
 from tidewave.sources.sinks import read_note, write_note
@@ -47,15 +48,38 @@ def majority(df: DataFrame, fold: str, stage: str) -> DataFrame:
     return df.join(F.broadcast(best), fold)
 
 
-def group_folds(df: DataFrame, subject: str, stage: str, folds: int = 10, seed: int = 0) -> list[tuple]:
+#: Up to so many subjects each is dealt by what all before it have left; it takes a row of counts per subject on the driver.
+GREEDY_SUBJECTS = 10_000
+
+
+def group_folds(df: DataFrame, subject: str, stage: str, folds: int = 10, seed: int = 0) -> DataFrame:
     """(subject, fold): whole subjects, dealt so that the stages' shares stay even.
 
-    Subjects come in the order of how uneven their own counts are (equal ones by a hash); each goes to the fold whose
-    shares it then leaves most even, the one with fewer rows of equals. The driver sees one row of counts per subject.
+    Up to GREEDY_SUBJECTS come in the order of how uneven their own counts are (equal ones by a hash); each goes to the fold whose
+    shares it then leaves most even, the one with fewer rows of equals. More of them are put in the order of their most frequent stage, its
+    share and their size, in one sort by ranges, and dealt to and fro over the folds, so neighbours, which are alike, lie apart.
     """
     counts = df.groupBy(subject).pivot(stage).count().na.fill(0)
     names = [c for c in counts.columns if c != subject]
-    rows = counts.withColumn("_hash", F.xxhash64(F.col(subject), F.lit(seed))).collect()
+    rows = cut(counts.withColumn("_hash", F.xxhash64(F.col(subject), F.lit(seed))))
+    if rows.count() <= GREEDY_SUBJECTS:
+        return df.sparkSession.createDataFrame(_greedy(rows.collect(), names, subject, folds), rows.select(subject).schema.add("fold", IntegerType()))
+    size = sum(F.col(c) for c in names)
+    top = F.greatest(*[F.struct(F.col(c).alias("n"), (-F.lit(i)).alias("i")) for i, c in enumerate(names)]) if len(names) > 1 else F.struct(F.col(names[0]).alias("n"), F.lit(0).alias("i"))
+    order = [top["i"], F.round(top["n"] / size, 1), F.desc(size), F.col("_hash"), F.col(subject)]
+    laid = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(subject, F.monotonically_increasing_id().alias("_at")))
+    span, before, at = F.shiftright("_at", 33), [], 0
+    for r in laid.groupBy(span.alias("span")).count().orderBy("span").collect():  # a row per range
+        before.append((r["span"], at))
+        at += r["count"]
+    offsets = df.sparkSession.createDataFrame(before, "_span long, _before long")
+    placed = laid.withColumn("_span", span).join(F.broadcast(offsets), "_span")
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    turn = place % folds
+    return placed.select(subject, F.when(F.floor(place / folds) % 2 == 0, turn).otherwise(folds - 1 - turn).cast("int").alias("fold"))
+
+
+def _greedy(rows: Sequence, names: Sequence[str], subject: str, folds: int) -> list[tuple]:
     total = [sum(r[c] for r in rows) or 1 for c in names]
     spread = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v)
     held = [[0] * len(names) for _ in range(folds)]

@@ -25,9 +25,63 @@ def append_versions(path: str, key: Sequence[str], order: Sequence[str]) -> Call
     return write
 
 
+def _finished(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The numbers of the folders `kind`=number whose writing is finished, in order."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(top) if f.isDirectory()]
+    numbers = [int(n.removeprefix(f"{kind}=")) for n in names if n.startswith(f"{kind}=")]
+    return sorted(n for n in numbers if system.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}={n}/_SUCCESS")))
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """The last snapshot, if there is one, and the batches since; each row with its batch."""
+    snapshot = max(_finished(spark, f"{path}/snapshots", "upto"), default=None)
+    batches = [n for n in _finished(spark, path, "batch") if snapshot is None or n > snapshot]
+    found = [spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in batches])] if batches else []
+    found = [df.withColumn("batch", F.col("batch").cast("long")) for df in found]
+    if snapshot is not None:
+        found.insert(0, spark.read.parquet(f"{path}/snapshots/upto={snapshot}"))
+    if not found:
+        raise ValueError(f"{path} has no finished batch")
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
 def current(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """The last version of each key."""
-    return keep_last(spark.read.option("basePath", path).parquet(f"{path}/batch=*"), key, [F.col("batch")])
+    """The last version of each key, from the last snapshot and the batches since."""
+    return keep_last(_versions(spark, path), key, [F.col("batch")])
+
+
+def compact(spark: SparkSession, path: str, key: Sequence[str]) -> int | None:
+    """Puts the last versions of all finished batches into a snapshot, which counts once it is whole, and returns its last batch.
+
+    Reading then takes the snapshot and later batches alone. A reader that began before goes on with what it found: old files stay
+    until they are vacuumed. A batch that is written again afterwards is in the snapshot already.
+    """
+    batches = _finished(spark, path, "batch")
+    done = max(_finished(spark, f"{path}/snapshots", "upto"), default=None)
+    if not batches or done is not None and batches[-1] <= done:
+        return done
+    current(spark, path, key).write.mode("overwrite").parquet(f"{path}/snapshots/upto={batches[-1]}")
+    return batches[-1]
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Removes all but the last `keep` snapshots, and the batches that are in the oldest of those kept."""
+    if keep < 1:
+        raise ValueError("one snapshot at least must be kept")
+    snapshots = _finished(spark, f"{path}/snapshots", "upto")
+    if not snapshots:
+        return
+    oldest = snapshots[-keep:][0]
+    gone = [f"{path}/snapshots/upto={n}" for n in snapshots[:-keep]] + [f"{path}/batch={n}" for n in _finished(spark, path, "batch") if n <= oldest]
+    jvm = spark.sparkContext._jvm
+    for folder in gone:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def audit(df: DataFrame, path: str, event: str, detail: str = "", model_version: str = "") -> None:
