@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.operators import evaluation, models
+from tidewave.operators import evaluation, models, quality, structure
 from tidewave.plans.overlay import kept
 from tidewave.sources import sinks
 
@@ -76,3 +76,36 @@ def test_very_many_subjects_are_dealt_without_the_driver(spark, monkeypatch):
     assert spread["greedy"] < 0.03 and spread["ranges"] < 0.06
     one = kept(spark, SF).filter("stage = 1")
     assert models.group_folds(one, "user_id", "stage", 3).select("fold").distinct().count() == 3
+
+
+def test_checks_by_name_and_empty_tables(spark):
+    rows = [(k, c, 60.0 * (0.3 if (k, c) == ("b", "two") else 1)) for k in "ab" for c in ("one", "two") for _ in range(20)]
+    df = spark.createDataFrame(rows, "rec string, channel string, ptp double")
+    assert {r["rec"]: (r["excluded"], r["reasons"]) for r in quality.assess(df, ["rec"], "channel", "ptp").collect()} == {"a": (False, ""), "b": (True, "flat:two")}
+    with pytest.raises(KeyError, match="unknown checks humming"):
+        quality.assess(df, ["rec"], "channel", "ptp", ["flat", "humming"])
+    assert structure.require_rows(df, "epochs") is df
+    with pytest.raises(ValueError, match="epochs has no rows"):
+        structure.require_rows(df.filter("false"), "epochs")
+
+
+def test_rescored_parts(spark):
+    rows = [("a", i % 4, i % 4, 0) for i in range(8)] + [("b", i % 4, 0, i % 4) for i in range(4)]
+    df = spark.createDataFrame(rows, "rec string, stage int, pred int, smoothed int")
+    bad = spark.createDataFrame([("b",), ("b",), ("z",)], "rec string")
+    found = {(r["column"], r["part"]): r for r in evaluation.rescore(df, bad, ["rec"], "stage", ["pred", "smoothed", "other"]).collect()}
+    assert set(found) == {(c, p) for c in ("pred", "smoothed") for p in ("before", "after", "excluded_only")}
+    assert found["pred", "after"]["macro_f1"] == found["smoothed", "excluded_only"]["accuracy"] == 1 and found["pred", "before"]["n"] == 12
+    assert abs(found["pred", "after"]["gain_pp"] - 100 * (1 - found["pred", "before"]["macro_f1"])) < 1e-9 and found["pred", "before"]["gain_pp"] is None
+    assert {k for k, _ in ((r["part"], r) for r in evaluation.rescore(df, bad.filter("rec = 'z'"), ["rec"], "stage", ["pred"]).collect())} == {"before", "after"}
+    with pytest.raises(ValueError):
+        evaluation.rescore(df, bad, ["rec"], "stage", ["other"])
+
+
+def test_a_decoding_block_takes_what_most_folds_chose(spark):
+    decoded = spark.createDataFrame([(0, 0.3), (0, 0.3), (1, 0.1), (2, 0.1), (3, 0.3)], "fold int, weight double")
+    labels = spark.createDataFrame([("a", i, s) for i, s in enumerate([0, 0, 1, 2, 3, 3])], "rec string, t int, stage int")
+    block = models.decoding_block(decoded, labels, ["rec"], "t", "fold")
+    assert block["weight"] == 0.1 and np.allclose(np.exp(block["log_prob"]).sum(axis=1), 1) and block["log_prob"][0][0] == block["log_prob"][0][1] > block["log_prob"][0][2]
+    with pytest.raises(ValueError):
+        models.decoding_block(decoded.filter("false"), labels, ["rec"], "t", "fold")

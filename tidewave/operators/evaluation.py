@@ -144,3 +144,22 @@ def compared(gains: DataFrame) -> dict:
     """Of gain()'s rows, one a fold: folds, improved, mean gain in points and the signed-rank p."""
     own = [r["gain_pp"] for r in gains.select("gain_pp").collect()]
     return {"folds": len(own), "improved": sum(d > 0 for d in own), "gain_pp": sum(own) / max(len(own), 1), "p": signed_rank(own)}
+
+
+def rescore(predicted: DataFrame, excluded: DataFrame, keys: Sequence[str], stage: str, columns: Sequence[str]) -> DataFrame:
+    """(column, part, n, accuracy, macro_f1, gain_pp) of columns of predictions, those that the table lacks left out: before the
+    excluded recordings go (`before`), without them (`after`) and on them alone (`excluded_only`). gain_pp is that of `after` over `before`, in points of macro-F1."""
+    out = None
+    marked = predicted.join(excluded.select(*keys).distinct().withColumn("_gone", F.lit(True)), list(keys), "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    parts = F.explode(F.array(F.lit("before"), F.when(F.col("_gone"), F.lit("excluded_only")).otherwise(F.lit("after")))).alias("part")
+    every = marked.select("*", parts)
+    for c in columns:
+        if c not in predicted.columns:
+            continue
+        found = scores(every, stage, c, ["part"]).select(F.lit(c).alias("column"), "part", "n", "accuracy", "macro_f1")
+        base = F.max(F.when(F.col("part") == "before", F.col("macro_f1"))).over(W.partitionBy("column"))
+        found = found.withColumn("gain_pp", F.when(F.col("part") == "after", (F.col("macro_f1") - base) * 100))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError(f"the predictions have none of the columns {', '.join(columns)}")
+    return out

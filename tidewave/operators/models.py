@@ -177,6 +177,17 @@ def nested_decode(
     return out
 
 
+def decoding_block(decoded: DataFrame, labels: DataFrame, keys: Sequence[str], order: str, fold: str) -> dict:
+    """What a decoder needs beside a model: the weight that most folds chose in nested_decode (the smaller one of equals) and the log
+    probabilities of steps in all labels."""
+    chosen = decoded.select(fold, "weight").distinct().groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
+    weight = chosen.orderBy(F.desc("n"), "weight").first()  # a row per weight of the grid
+    if weight is None:
+        raise ValueError("no fold chose a weight")
+    cells = {(r["source"], r["target"]): r["log_prob"] for r in transitions(labels, keys, order, "stage").collect()}  # a row per pair of classes
+    return {"weight": weight["weight"], "log_prob": [[cells[i, j] for j in range(CLASSES)] for i in range(CLASSES)]}
+
+
 def validation_subjects(df: DataFrame, subject: str, share: float = 0.2, seed: int = 0) -> DataFrame:
     """(subject, validates): a share of the subjects, one at least, drawn by hash; whole subjects go to either side."""
     drawn = df.select(subject).distinct().withColumn("_draw", F.xxhash64(F.col(subject).cast("string"), F.lit(seed)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLAT_BELOW = 20.0
@@ -26,6 +26,22 @@ def verdict(fractions: DataFrame, keys: Sequence[str], channel: str, limit: floa
     )
 
 
+#: Checks by name: from a channel's epochs an aggregate that is true where the channel is bad.
+CHECKS: dict[str, Callable[[Column, float, float], Column]] = {
+    "flat": lambda ptp, below, limit: F.avg(F.when(ptp < below, 1.0).otherwise(0.0)) > limit,
+}
+
+
+def assess(df: DataFrame, keys: Sequence[str], channel: str, ptp: str, checks: Sequence[str] = ("flat",), below: float = FLAT_BELOW, limit: float = TOO_FLAT) -> DataFrame:
+    """Per recording: excluded if a channel fails any of the named checks, and `reasons`, check:channel by commas. An unknown check stops."""
+    if unknown := [c for c in checks if c not in CHECKS]:
+        raise KeyError(f"unknown checks {', '.join(unknown)}; known: {', '.join(sorted(CHECKS))}")
+    bad = df.groupBy(*keys, channel).agg(*[CHECKS[c](F.col(ptp), below, limit).alias(f"_{c}") for c in checks])
+    told = F.array_compact(F.array(*[F.when(F.col(f"_{c}"), F.concat(F.lit(f"{c}:"), F.col(channel))) for c in checks]))
+    found = bad.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(told))).alias("_r"))
+    return found.select(*keys, (F.size("_r") > 0).alias("excluded"), F.array_join("_r", ",").alias("reasons"))
+
+
 def worst(verdicts: DataFrame, keys: Sequence[str], n: int = 12) -> DataFrame:
     """The n recordings with the flattest channel, for a report."""
     return verdicts.orderBy(F.desc("worst"), *keys).limit(n)

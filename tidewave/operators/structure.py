@@ -47,11 +47,21 @@ def cut_epochs(df: DataFrame, signal: str, width: int) -> DataFrame:
 
 
 def keep_labelled(df: DataFrame, keys: Sequence[str], order: str, stage: str = "stage") -> DataFrame:
-    """Rows with a stage, with their position among the kept; the order column keeps the original number."""
+    """Rows with a stage, with their position among the kept; the order column keeps the original number.
+
+    A table without rows gives none; require_rows() stops on it.
+    """
     kept = df.filter(F.col(stage) != DROP)
     return kept.withColumn("pos", (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
 
 
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """The table, which must have a row: an empty one stops with its name."""
+    if df.isEmpty():
+        raise ValueError(f"{what} has no rows")
+    return df
+
+
 def crop_bounds(df: DataFrame, keys: Sequence[str], edge: int, stage: str = "stage") -> DataFrame:
     """Per recording n, lo and hi: from `edge` positions before the first epoch that isn't wake to as many after the last.
 

@@ -516,6 +516,30 @@ def rescore_gain(spark, d):
     return _rounded(evaluation.gain(before, after, "fold"))
 
 
+_RESCORED = _scores_sql("p", " GROUP BY part", "part, ").replace("round(", "(").replace(", 6) + 0.0", ")")
+
+
+@query(
+    EPOCHS_SQL + ", " + _FOLD + ", " + _FLAT.replace("f AS", "ff AS") + _VERDICT.replace("FROM f ", "FROM ff ")
+    + ", m AS (SELECT stage, pred, user_id IN (SELECT user_id FROM v WHERE excluded) AS gone FROM f WHERE pred IS NOT NULL), "
+    "p AS (SELECT stage, pred, 'before' AS part FROM m UNION ALL SELECT stage, pred, CASE WHEN gone THEN 'excluded_only' ELSE 'after' END FROM m), "
+    f"s AS ({_RESCORED}) SELECT 'pred' AS \"column\", part, n, {R('accuracy', 'accuracy')}, {R('macro_f1', 'macro_f1')}, "
+    + R("CASE WHEN part = 'after' THEN (macro_f1 - (SELECT macro_f1 FROM s WHERE part = 'before')) * 100 END", "gain_pp") + " FROM s"
+)
+def rescore_parts(spark, d):
+    """Scores before, after and on the excluded alone; the smoothed column isn't there and is left out."""
+    bad = _verdicts(spark, d).filter("excluded")
+    return _rounded(evaluation.rescore(_predicted(spark, d), bad, KEYS, "stage", ["pred", "smoothed"]))
+
+
+@query(
+    EPOCHS_SQL + ", b AS (SELECT user_id, event_type, avg(CASE WHEN value < 20 THEN 1.0 ELSE 0.0 END) > 0.4 AS bad FROM kept GROUP BY 1, 2) "
+    "SELECT user_id, bool_or(bad) AS excluded, coalesce(string_agg(CASE WHEN bad THEN 'flat:' || event_type END, ',' ORDER BY event_type), '') AS reasons FROM b GROUP BY user_id"
+)
+def named_checks(spark, d):
+    return quality.assess(kept(spark, d), KEYS, "event_type", "value", ["flat"], 20.0, 0.4)
+
+
 _COLUMNS = {"a": 0, "a_p2min": 0, "a_c7min": 7, "a_ep+1": 1, "a_ep+2": 2, "a_norm": 0, "a_posthoc": 2**31 - 1}
 
 
@@ -838,3 +862,17 @@ def stage_sessions(spark, d):
     )
     coef = tuple(tuple(0.3 * ((i + 2 * j) % 5 - 2) for j in range(6)) for i in range(4))
     return stage_batch(rows, LinearStager(coef, (0.1, 0.0, 0.2, -0.1), tuple(map(tuple, STEPS)), WEIGHT), 2)
+
+
+@query()
+def model_boosted(spark, d):
+    """Each user's epochs scored by boosted trees of their own values so far; a few small trees."""
+    from tidewave.operators import boosting
+    from tidewave.operators.models import predict
+
+    rows = kept(spark, d).select(
+        "user_id", "epoch_idx", "stage", X.expanding_norm(F.col("value"), KEYS, "epoch_idx").alias("value_norm"),
+        X.trailing_mean(F.col("k"), KEYS, "epoch_idx", 4).alias("k_p2min"),
+    )
+    fitted = boosting.fit(rows, ["value_norm", "k_p2min"], "stage", 4, rounds=4, depth=2, bins=32)
+    return predict(fitted, rows, ["value_norm", "k_p2min"]).select("user_id", "epoch_idx", "stage", "pred")
