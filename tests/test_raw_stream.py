@@ -37,10 +37,10 @@ def sessions():
     return rows
 
 
-def run(spark, stream, model, rec, tmp_path, name):
+def run(spark, stream, model, rec, tmp_path, name, state=None):
     out = str(tmp_path / f"{name}-out")
     write = sinks.append_versions(out, ["session", "seq"], ["seq"])
-    started = stager.stage_stream(stream, model, rec).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/{name}-cp").trigger(availableNow=True).start()
+    started = stager.stage_stream(stream, model, rec, state).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/{name}-cp").trigger(availableNow=True).start()
     assert started.awaitTermination(600)
     return {(r["session"], r["seq"]): r for r in sinks.current(spark, out, ["session", "seq"]).collect()}
 
@@ -120,3 +120,21 @@ def test_orders_side_by_side_equal_one_by_one():
             side = RunningOrders(5, *side.state())
         for q in (0.05, 0.5, 0.95):
             assert np.allclose(side.quantile(q), [o.quantile(q) if len(o) else np.nan for o in each], equal_nan=True)
+
+
+def test_another_query_goes_on_with_the_sessions(spark, tmp_path):
+    rec, rows = recorder("zerophase"), [r for r in sessions() if r[0] in "ac"]
+    model = model_for(len(rec.names))
+    batch = {(r["session"], r["seq"]): r["stage"] for r in stager.stage_raw_batch(spark.createDataFrame(rows, SCHEMA), model, rec).collect()}
+    parts = {"one": [r for r in rows if r[1] < 14], "two": [r for r in rows if r[1] >= 12] + [(s, 10**6, None, True) for s in "ac"]}  # two epochs come twice
+    got, state = {}, None
+    for name, part in parts.items():
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/{name}/0")
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{name}")
+        found = run(spark, stream, model, rec, tmp_path, name, state)
+        assert not set(found) & set(got)
+        got |= {k: r["stage"] for k, r in found.items()}
+        state = stager.session_state(spark, f"{tmp_path}/{name}-cp", raw=True)
+    assert got == batch
+    ended = {r["session"]: r for r in state.collect()}
+    assert ended["a"]["received"] == 32 and ended["a"]["counts"] is None and ended["a"]["ring"] is None

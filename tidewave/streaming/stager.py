@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -120,6 +120,20 @@ class Stager(StatefulProcessor):
         """(seq, features) of the epochs that are known once this row has come."""
         yield int(row.seq), np.array([np.nan if v is None else v for v in row.features], float)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        """Takes over a session as session_state() gave it."""
+        for r in initialState.itertuples():
+            alpha = [] if r.alpha is None else [float(v) for v in r.alpha]
+            self.counters.update((int(r.received), int(r.decided), int(r.last), alpha))
+            if r.counts is not None:
+                self.order.update((int(r.width), bytes(r.counts), bytes(r.values)))
+            if r.recent is not None and len(r.recent):
+                self.recent.put([(int(e["seq"]), [float(v) for v in e["z"]]) for e in r.recent])
+            self.take_over(r)
+
+    def take_over(self, row) -> None:
+        """Puts what a kind of stager keeps besides."""
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows)).sort_values(["ended", "seq"], kind="stable")
         received, decided, last, alpha = self.counters.get() if self.counters.exists() else (0, 0, -1, None)
@@ -234,6 +248,12 @@ class RawStager(Stager):
         if self.z is not None:
             self.filter_state.update((np.ascontiguousarray(self.z).tobytes(),))
 
+    def take_over(self, row) -> None:
+        if row.ring is not None and len(row.ring):
+            self.ring_state.put([(int(e["seq"]), bytes(e["x"])) for e in row.ring])
+        if row.z is not None:
+            self.filter_state.update((bytes(row.z),))
+
     def drop(self) -> None:
         self.ring_state.clear()
         self.filter_state.clear()
@@ -256,13 +276,37 @@ class RawStager(Stager):
             yield seq, values
 
 
-def stage_stream(epochs: DataFrame, model: LinearStager, recorder: Recorder | None = None) -> DataFrame:
-    """Decisions (OUTPUT) for a stream of session, seq, ended, and features or, with a recorder, signal."""
+def session_state(spark: SparkSession, checkpoint: str, raw: bool = False) -> DataFrame:
+    """What a stopped query keeps of each session, from its checkpoint, for another query to go on with; `raw` for a RawStager's."""
+
+    def read(name: str, *fields: str) -> DataFrame:
+        found = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+        return found.select(F.col("key.session").alias("session"), *[F.col(f"value.{f}").alias(f) for f in fields])
+
+    def listed(name: str, to: str) -> DataFrame:
+        found = spark.read.format("statestore").option("stateVarName", name).option("flattenCollectionTypes", True).load(checkpoint)
+        return found.groupBy(F.col("key.session").alias("session")).agg(F.array_sort(F.collect_list("list_element")).alias(to))
+
+    out = read("counters", "received", "decided", "last", "alpha")
+    parts = [read("order", "width", "counts", "values"), listed("recent", "recent")]
+    if raw:
+        parts += [listed("ring", "ring"), read("filter", "z")]
+    for part in parts:
+        out = out.join(part, "session", "left")
+    return out
+
+
+def stage_stream(epochs: DataFrame, model: LinearStager, recorder: Recorder | None = None, state: DataFrame | None = None) -> DataFrame:
+    """Decisions (OUTPUT) for a stream of session, seq, ended, and features or, with a recorder, signal.
+
+    With the session_state() of another query, its sessions go on as if they had never stopped.
+    """
     what = "features" if recorder is None else "signal"
     rows = epochs.select("session", F.col("seq").cast("long").alias("seq"), what, F.coalesce("ended", F.lit(False)).alias("ended"))
     return rows.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=Stager(model) if recorder is None else RawStager(model, recorder), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
-    )
+        statefulProcessor=Stager(model) if recorder is None else RawStager(model, recorder), outputStructType=OUTPUT, outputMode="Append", timeMode="None",
+        initialState=None if state is None else state.groupBy("session"),
+    )
 
 
 def well_formed(signal: Column, recorder: Recorder) -> Column:
