@@ -203,10 +203,12 @@ class Texts:
         """(node, label) of all classes: the components over all similar pairs. `proposed` pairs are looked at first, in place of
         the first pivots."""
         entries = self.classes.select("node", "n", "matches", F.posexplode("keys").alias("pos", "key"))
-        pivots = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("node").alias("_pivot")).filter("_c > 1").drop("_c")
+        early = F.col("pos").cast("long") * (1 << 32) + F.pmod("node", F.lit(1 << 32))  # who has it first has the fewest shingles of its own
+        pivots = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min_by("node", early).alias("_pivot")).filter("_c > 1").drop("_c")
         met = materialize(entries.join(pivots, "key"), forget=True)
-        if proposed is None:
-            proposed = met.filter("node <> _pivot").select(F.col("_pivot").alias("a"), F.col("node").alias("b"))
+        given = proposed is not None
+        if not given:
+            proposed = met.filter("node <> _pivot").select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b"))
         met = met.drop("_pivot")
         before, labels, fresh = None, self.classes.select("node", F.col("node").alias("label")), self.verified(proposed.distinct())
         for turn in range(ROUNDS + 1):
@@ -217,7 +219,7 @@ class Texts:
             if turn == ROUNDS or meetings <= MEETINGS * rows or before is not None and 2 * meetings > before:
                 labels = merged(labels, self.verified(self._candidates(met)))
                 break
-            before, draw = meetings, F.xxhash64("node", "key", F.lit(turn))
+            before, draw = meetings, F.col("pos").cast("long") if given and not turn else F.xxhash64("node", "key", F.lit(turn))
             pivot = met.groupBy("key").agg(F.min(F.struct(draw.alias("_d"), "node", "label")).alias("_p"))
             pairs = met.join(pivot, "key").filter("label <> _p.label").select(F.least("node", "_p.node").alias("a"), F.greatest("node", "_p.node").alias("b"))
             fresh = self.verified(pairs.distinct())
