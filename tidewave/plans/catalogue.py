@@ -827,15 +827,17 @@ def group_folds(spark, d):
     EPOCHS_SQL + "SELECT count(DISTINCT user_id) AS subjects, CAST(0 AS BIGINT) AS split, CAST(3 AS BIGINT) AS folds, true AS even FROM kept"
 )
 def group_folds_check(spark, d):
-    """How many users are dealt, how many lie in several folds, and whether each stage's rows are within a tenth of a third in every fold."""
+    """How many users are dealt, how many lie in several folds, and whether of each stage no two folds differ by more than twice what one
+    user has at most."""
     from tidewave.operators.models import group_folds as deal
 
     rows = kept(spark, d)
     dealt = deal(rows, "user_id", "stage", 3)
     whole = dealt.groupBy("user_id").agg(F.count_distinct("fold").alias("n")).agg(F.count(F.lit(1)).alias("subjects"), F.count_if(F.col("n") > 1).alias("split"))
     held = rows.join(dealt, "user_id").groupBy("stage", "fold").agg(F.count(F.lit(1)).alias("n"))
-    shares = held.groupBy("stage").agg((F.max("n") / F.sum("n")).alias("most"), (F.min("n") / F.sum("n")).alias("least"))
-    even = shares.agg(((F.max("most") < 1.1 / 3) & (F.min("least") > 0.9 / 3)).alias("even"))
+    one = rows.groupBy("stage", "user_id").agg(F.count(F.lit(1)).alias("n")).groupBy("stage").agg(F.max("n").alias("one"))
+    apart = held.groupBy("stage").agg((F.max("n") - F.min("n")).alias("apart"))
+    even = apart.join(one, "stage").agg(F.bool_and(F.col("apart") <= 2 * F.col("one")).alias("even"))
     return whole.crossJoin(held.agg(F.count_distinct("fold").alias("folds"))).crossJoin(even).select("subjects", "split", "folds", "even")
 
 
