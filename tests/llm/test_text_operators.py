@@ -407,6 +407,38 @@ def test_texts_after_a_deep_nest_stay_in_their_article():
     assert wrappers.extract(low, wrappers.items_of(wrappers.parse(low))).split() == ["in", "it"]
 
 
+@pytest.mark.parametrize("share", [0.3, 0.7, 1.0, 3.0])
+def test_articles_in_unnamed_boxes_win_over_text_beside_them(share):
+    page = lambda n: (
+        f"<div id=page><div class=x7><article><p>{f'own{n} ' * 80}</p><p>{f'more{n} ' * 40}</p></article></div></div>"
+        f"<div id=xy><p>{f'beside{n} ' * int(120 * share)}</p></div>"
+    )
+    for pages in ([page(1)], [page(n) for n in range(4)]):
+        wrapper = wrappers.items_of(wrappers.parse(pages[0]))
+        for other in pages[1:]:
+            wrapper = wrappers.align(wrapper, wrappers.items_of(wrappers.parse(other)))
+        for p in pages:
+            text = wrappers.extract(p, wrapper)
+            assert "beside" not in text and text.startswith("own") and text.count("\n\n") == 1
+
+
+@pytest.mark.parametrize("depth", [1, 59, 60, 500, 5000])
+def test_blocks_stay_blocks_however_deep(depth):
+    page = "<body>" + "<div>" * depth + "<p>a</p><p>b</p><h2>c</h2>" + "</div>" * depth
+    items = wrappers.items_of(wrappers.parse(page))
+    assert wrappers.extract(page, items) == "a\n\nb\n\nc"
+    assert wrappers.unpack(wrappers.pack(items)) == items and wrappers.align(items, items) is not None
+
+
+def test_large_tables_of_wrappers_are_handed_on_in_parts(spark, monkeypatch):
+    rows = [(i, f"https://h{i % 7}.org/{i}", f"<nav>menu</nav><article><p>text {i}</p></article>") for i in range(60)] + [(90, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted(map(tuple, wrappers.main_text(pages).collect()), key=str)
+    monkeypatch.setattr(wrappers, "ITEMS_KEPT", 5)
+    assert sorted(map(tuple, wrappers.main_text(pages).collect()), key=str) == found
+    assert (3, "https://h3.org/3", "text 3", 6) in found and (90, None, "", 0) in found
+
+
 def test_long_lists_align_in_order():
     def page(n, extra=""):
         return "<div>" + "".join(f"<p class={chr(97 + i % 26)}{chr(97 + i // 26)}>x{i}</p>" for i in range(n)) + extra + "</div>"
