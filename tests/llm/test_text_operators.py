@@ -427,7 +427,8 @@ def test_blocks_stay_blocks_however_deep(depth):
     page = "<body>" + "<div>" * depth + "<p>a</p><p>b</p><h2>c</h2>" + "</div>" * depth
     items = wrappers.items_of(wrappers.parse(page))
     assert wrappers.extract(page, items) == "a\n\nb\n\nc"
-    assert wrappers.unpack(wrappers.pack(items)) == items and wrappers.align(items, items) is not None
+    packed = wrappers.pack(items)
+    assert wrappers.pack(wrappers.unpack(packed)) == packed and wrappers.extract(page, wrappers.align(items, wrappers.unpack(packed)))
 
 
 def test_large_tables_of_wrappers_are_handed_on_in_parts(spark, monkeypatch):
