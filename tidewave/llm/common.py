@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import posixpath
 import tempfile
 import uuid
@@ -87,6 +89,16 @@ def materialize(df: DataFrame, forget: bool = False) -> DataFrame:
             return df.select("*").checkpoint(eager=True)
 
 
+def release() -> None:
+    """Gives the memory that earlier tasks of a worker have left unused back to the machine; workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
+
+
 def fresh_dir(spark: SparkSession, kind: str) -> str:
     """A folder of its own below the shared one, for files that are no Spark table."""
     return posixpath.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")

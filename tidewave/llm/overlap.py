@@ -42,7 +42,7 @@ VERIFY = 16.0  # the cost of verifying a pair, in meetings under a shingle
 BUCKETS = 128
 #: Pivots are tried again while texts of different components would meet over so many times for each row, and half as often as before.
 MEETINGS, ROUNDS = 8, 3
-WORDS_KEPT = 1 << 17
+WORDS_KEPT = 1 << 15
 
 
 @dataclass(frozen=True)

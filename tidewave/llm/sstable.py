@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, slices
+from .common import fresh_dir, release, slices
 from .tokens import encoder
 
 MAGIC = b"TWTOKEN1"
@@ -200,6 +200,7 @@ class Reader:
 
 def _write_task(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         coder = encoder(tokenizer)
         end = np.array([end_id], coder.type).tobytes()
         part = TaskContext.get().partitionId()
