@@ -222,7 +222,7 @@ def test_the_stage_keeps_one_of_texts_with_a_few_words_changed(spark):
 
 def test_overlap_groups_equal_brute_force(spark):
     table = queries.table(spark, SF, "documents")
-    sets = {r["doc_id"]: set(overlap.shingles_of(r["text"].encode()).tolist()) for r in table.collect()}
+    sets = {r["doc_id"]: set(overlap.shingles_of(r["text"].encode(), 5).tolist()) for r in table.collect()}
     edges = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     assert edges
     assert sorted(r["doc_id"] for r in simhash.keep_first(table, shingle=5, similarity=0.8).collect()) == sorted(set(brute_components(sets, edges).values()))
