@@ -41,7 +41,7 @@ MATCHES = 4  # the most shared prefix shingles that a text may ask for
 VERIFY = 16.0  # the cost of verifying a pair, in meetings under a shingle
 BUCKETS = 128
 #: Pivots are tried again while texts of different components would meet over so many times for each row, and half as often as before.
-MEETINGS, ROUNDS = 8, 3
+MEETINGS, ROUNDS = 128, 3
 WORDS_KEPT = 1 << 15
 
 
@@ -159,10 +159,10 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample of the different texts, sorted, and in how many of these each is."""
     sample = texts.filter(F.pmod("_hash", F.lit(SAMPLE)) == 0).select("_hash", _sets(F.col("_text"), shingle).alias("_s"))
     each = sample.select("_hash", F.explode("_s.set").alias("s")).distinct()
-    rows = each.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(FREQUENT_AT_MOST).collect()
-    found = np.array([r["s"] for r in rows], np.int64).view(np.uint64)
+    rows = each.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(FREQUENT_AT_MOST).toArrow()
+    found = rows["s"].to_numpy().view(np.uint64)
     order = np.argsort(found)
-    return found[order], np.array([r["count"] for r in rows], np.int64)[order]
+    return found[order], rows["count"].to_numpy()[order]
 
 
 class Texts:
