@@ -40,6 +40,7 @@ RESTART = 16
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 END_ID = 2
+ENCODED_BYTES = 1 << 20  # of texts at a time; an encoder takes many times their size
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -202,6 +203,7 @@ def _write_task(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         coder = encoder(tokenizer)
+        release()  # what reading the tokenizer's file took
         end = np.array([end_id], coder.type).tobytes()
         part = TaskContext.get().partitionId()
         fs, root = open_fs(folder)
@@ -212,7 +214,7 @@ def _write_task(folder: str, tokenizer: str, end_id: int):
             writer, last, ordinal = Writer(out, coder.width), b"", 0
             for batch in batches:
                 keys = batch.column(0).to_pylist()
-                for at, texts in slices(batch.column(1)):
+                for at, texts in slices(batch.column(1), ENCODED_BYTES):
                     for doc_id, ids in zip(keys[at : at + len(texts)], coder.encode(texts), strict=True):
                         key = key_of(doc_id)
                         ordinal = ordinal + 1 if key[:9] == last else 0

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .common import words
 
 #: Bytes that a worker's words and their ids may take up.
-MEMORY_BYTES = 24 << 20
+MEMORY_BYTES = 8 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"
