@@ -109,3 +109,19 @@ def test_a_decoding_block_takes_what_most_folds_chose(spark):
     assert block["weight"] == 0.1 and np.allclose(np.exp(block["log_prob"]).sum(axis=1), 1) and block["log_prob"][0][0] == block["log_prob"][0][1] > block["log_prob"][0][2]
     with pytest.raises(ValueError):
         models.decoding_block(decoded.filter("false"), labels, ["rec"], "t", "fold")
+
+
+def test_subjects_dealt_in_lots_lie_as_evenly_as_the_check_asks(spark, monkeypatch):
+    monkeypatch.setattr(models, "GREEDY_SUBJECTS", 0)
+    monkeypatch.setattr(models, "LOT", 250, raising=False)
+    rng = np.random.default_rng(5)
+    table = [(None if s == 7 else f"s{s}", t, int(x)) for s in range(4000) for t, x in enumerate(rng.poisson([15, 12, 9, 0.1]) + (s % 400 == 0) * 60)]
+    counts = spark.createDataFrame(table, "subject string, stage int, n int").repartition(6)
+    rows = counts.select("subject", "stage", F.explode(F.array_repeat("stage", F.col("n"))).alias("_")).cache()
+    for folds in (3, 5):
+        dealt = models.group_folds(rows, "subject", "stage", folds).cache()
+        assert dealt.count() == dealt.distinct().count() == 4000 and dealt.filter("subject IS NULL").count() == 1
+        held = rows.join(dealt, rows["subject"].eqNullSafe(dealt["subject"])).groupBy("stage", "fold").count().groupBy("stage")
+        apart = {r["stage"]: r["apart"] for r in held.agg((F.max("count") - F.min("count")).alias("apart")).collect()}
+        one = {r["stage"]: r["one"] for r in counts.groupBy("stage").agg(F.max("n").alias("one")).collect()}
+        assert all(apart[t] <= 2 * one[t] for t in range(4)), (folds, apart, one)

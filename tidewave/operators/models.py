@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -11,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from tidewave.functions.lineage import cut
 from tidewave.sources.sinks import read_note, write_note
@@ -50,33 +52,73 @@ def majority(df: DataFrame, fold: str, stage: str) -> DataFrame:
 
 #: Up to so many subjects each is dealt by what all before it have left; it takes a row of counts per subject on the driver.
 GREEDY_SUBJECTS = 10_000
+#: More are dealt in lots of so many, or more where there would be over LOTS lots.
+LOT, LOTS = 1_000, 10_000
 
 
 def group_folds(df: DataFrame, subject: str, stage: str, folds: int = 10, seed: int = 0) -> DataFrame:
     """(subject, fold): whole subjects, dealt so that the stages' shares stay even.
 
     Up to GREEDY_SUBJECTS come in the order of how uneven their own counts are (equal ones by a hash); each goes to the fold whose
-    shares it then leaves most even, the one with fewer rows of equals. More of them are put in the order of their most frequent stage, its
-    share and their size, in one sort by ranges, and dealt to and fro over the folds, so neighbours, which are alike, lie apart.
+    shares it then leaves most even, the one with fewer rows of equals. More of them are drawn into lots. In each lot subjects that are
+    alike form rounds, a subject for each fold, and the lots' sums are dealt like rounds once more; only these reach the driver.
     """
     counts = df.groupBy(subject).pivot(stage).count().na.fill(0)
     names = [c for c in counts.columns if c != subject]
     rows = cut(counts.withColumn("_hash", F.xxhash64(F.col(subject), F.lit(seed))))
     if rows.count() <= GREEDY_SUBJECTS:
         return df.sparkSession.createDataFrame(_greedy(rows.collect(), names, subject, folds), rows.select(subject).schema.add("fold", IntegerType()))
-    size = sum(F.col(c) for c in names)
-    top = F.greatest(*[F.struct(F.col(c).alias("n"), (-F.lit(i)).alias("i")) for i, c in enumerate(names)]) if len(names) > 1 else F.struct(F.col(names[0]).alias("n"), F.lit(0).alias("i"))
-    order = [top["i"], F.round(top["n"] / size, 1), F.desc(size), F.col("_hash"), F.col(subject)]
-    laid = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(subject, F.monotonically_increasing_id().alias("_at")))
-    span, before, at = F.shiftright("_at", 33), [], 0
-    for r in laid.groupBy(span.alias("span")).count().orderBy("span").collect():  # a row per range
-        before.append((r["span"], at))
-        at += r["count"]
-    offsets = df.sparkSession.createDataFrame(before, "_span long, _before long")
-    placed = laid.withColumn("_span", span).join(F.broadcast(offsets), "_span")
-    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    turn = place % folds
-    return placed.select(subject, F.when(F.floor(place / folds) % 2 == 0, turn).otherwise(folds - 1 - turn).cast("int").alias("fold"))
+    return _in_lots(rows, names, subject, folds)
+
+
+def _in_lots(rows: DataFrame, names: Sequence[str], subject: str, folds: int) -> DataFrame:
+    n, most = rows.count(), rows.agg(*[F.max(c) for c in names]).first()
+    lots = -(-n // max(LOT, -(-n // LOTS)))
+    scale = np.array([1, *most], float)  # what one subject has at most: itself, and its rows of each stage
+
+    def deal(lot: pa.Table) -> pa.Table:
+        counts = np.stack([lot[c].to_numpy() for c in names], axis=1)
+        size, top = counts.sum(axis=1), counts.argmax(axis=1)
+        order = np.lexsort((lot["_hash"].to_numpy(), -size, (10 * counts.max(axis=1) / size).round(), top))
+        own = np.zeros((-(-len(order) // folds) * folds, len(scale)), np.int64)
+        own[: len(order), 0], own[: len(order), 1:] = 1, counts[order]
+        rounds = own.reshape(-1, folds, len(scale))
+        parts = _even(rounds, scale)
+        held = np.zeros(rounds.shape[1:], np.int64)
+        np.add.at(held, parts.ravel(), own)
+        first = [held.ravel().tolist(), *[None] * (len(order) - 1)]
+        columns = [lot[subject].take(pa.array(order)), lot["_lot"], pa.array(parts.ravel()[: len(order)], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+        return pa.table(columns, names=[subject, "_lot", "_part", "_held"])
+
+    schema = rows.select(subject).schema.add("_lot", LongType()).add("_part", IntegerType()).add("_held", ArrayType(LongType()))
+    dealt = cut(rows.withColumn("_lot", F.pmod("_hash", F.lit(lots))).groupBy("_lot").applyInArrow(deal, schema))
+    sums = dealt.filter("_held IS NOT NULL").select("_lot", "_held").orderBy("_lot").collect()  # a row per lot
+    placed = _even(np.array([r["_held"] for r in sums]).reshape(len(sums), folds, -1), scale)
+    turns = rows.sparkSession.createDataFrame([(r["_lot"], p) for r, p in zip(sums, placed.tolist(), strict=True)], "_lot long, _turn array<int>")
+    return dealt.join(F.broadcast(turns), "_lot").select(subject, F.col("_turn")[F.col("_part")].alias("fold"))
+
+
+def _even(loads: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """(load, part) -> fold, for loads of a part for each fold: one part to each, so that all columns' sums stay even over the folds.
+
+    The most uneven come first. Two parts change places while that lessens the squares of what the folds are then apart, of which
+    only the products of the parts with what is held depend on the choice.
+    """
+    apart = loads / scale
+    apart -= apart.mean(axis=1, keepdims=True)
+    folds = apart.shape[1]
+    held, out = np.zeros(apart.shape[1:]), np.tile(np.arange(folds), (len(apart), 1))
+    for i in np.argsort(-(apart**2).sum(axis=(1, 2)).round(9), kind="stable"):
+        cost, to, moved = (apart[i] @ held.T).tolist(), out[i].tolist(), True
+        while moved:
+            moved = False
+            for p in range(folds):
+                for q in range(p):
+                    if cost[p][to[q]] + cost[q][to[p]] < cost[p][to[p]] + cost[q][to[q]] - 1e-9:
+                        to[p], to[q], moved = to[q], to[p], True
+        out[i] = to
+        held[to] += apart[i]
+    return out
 
 
 def _greedy(rows: Sequence, names: Sequence[str], subject: str, folds: int) -> list[tuple]:
