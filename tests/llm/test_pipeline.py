@@ -31,3 +31,20 @@ def test_stages_decide_as_the_operators_do(spark, tmp_path):
     whole = queries.sstable.encoder(queries.tokenizer_path()).whole
     expect = collections.Counter((r["doc_id"], len(whole.encode(r["text"], add_special_tokens=False).ids) + 1) for r in mixed.collect())
     assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in tokens.collect()) == expect
+
+
+def test_a_worker_gives_up_the_tokenizer_when_another_stage_begins():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewave.llm import toxicity
+    from tidewave.llm.common import release
+    from tidewave.llm.queries import tokenizer_path
+    from tidewave.llm.tokens import encoder
+
+    held = encoder(tokenizer_path())
+    release(encoder)
+    assert encoder(tokenizer_path()) is held and encoder.cache_info().currsize == 1
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+    (scored,) = toxicity._margin_task(toxicity.Model(np.zeros(toxicity.SYMBOLS**3), 1.0, 0.0))([batch])
+    assert scored.column(0).to_pylist() == [1, 2] and encoder.cache_info().currsize == 0

@@ -7,8 +7,9 @@ import gc
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,9 +90,24 @@ def materialize(df: DataFrame, forget: bool = False) -> DataFrame:
             return df.select("*").checkpoint(eager=True)
 
 
-def release() -> None:
-    """Gives the memory that earlier tasks of a worker have left unused back to the machine; workers live on from stage to stage."""
-    gc.collect()
+_KEPT: list = []
+
+
+def kept(function: Callable) -> Callable:
+    """functools.cache for large things that a worker keeps from task to task, until another operator's task calls release()."""
+    _KEPT.append(cache(function))
+    return _KEPT[-1]
+
+
+def release(keep: Callable | None = None, collect: bool = False) -> None:
+    """Gives the memory that a worker doesn't use back to the machine, and what `kept` functions other than `keep` hold; workers live on
+    from stage to stage, and so would all that any of them has needed. Cheap enough for every batch, unless it must `collect`."""
+    for f in _KEPT:
+        if f is not keep and f.cache_info().currsize:
+            f.cache_clear()
+            collect = True
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

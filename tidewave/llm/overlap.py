@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, few, join_hot, materialize, text_node
+from .common import BROADCAST_ROWS, few, join_hot, materialize, release, text_node
 from .components import merged
 from .shingles import SEED, votes
 
@@ -140,6 +140,7 @@ def _sketches(text: Column, shingle: int, threshold: Threshold, frequent, prints
             rows.append((node, len(whole), keys.view(np.int64), matches, spread.astype(np.uint8).tobytes() if few_enough else None, votes(whole) if prints and len(whole) else 0))
         nodes, sizes, keys, matches, spreads, marks = zip(*rows, strict=True) if rows else [()] * 6
         long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        release()
         columns = [long(nodes), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(matches, pa.int32()), pa.array(spreads, pa.binary()), long(marks)]
         return pa.StructArray.from_arrays(columns, names=["node", "n", "keys", "matches", "spread", "print"])
 
@@ -148,6 +149,7 @@ def _sketches(text: Column, shingle: int, threshold: Threshold, frequent, prints
 
 def _sets(text: Column, shingle: int) -> Column:
     def found(texts: pa.Array) -> pa.Array:
+        release()
         sets = [shingles_of(t.as_py(), shingle) for t in texts]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         return pa.StructArray.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "set"])
@@ -259,6 +261,7 @@ def _most(a: Column, b: Column) -> Column:
     """The most shingles that two texts can share: the lesser counts of all buckets, null where one isn't known."""
 
     def found(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        release()
         known = np.flatnonzero([x.is_valid and y.is_valid for x, y in zip(xs, ys, strict=True)])
         out = np.zeros(len(xs), np.int64)
         if len(known):

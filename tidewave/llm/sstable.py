@@ -201,9 +201,9 @@ class Reader:
 
 def _write_task(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release(encoder, collect=True)
         coder = encoder(tokenizer)
-        release()  # what reading the tokenizer's file took
+        release(encoder, collect=True)  # what reading the tokenizer's file took
         end = np.array([end_id], coder.type).tobytes()
         part = TaskContext.get().partitionId()
         fs, root = open_fs(folder)

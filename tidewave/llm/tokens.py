@@ -11,13 +11,12 @@ whole tokenizer.
 from __future__ import annotations
 
 import os
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import words
+from .common import kept, words
 
 #: Bytes that a worker's words and their ids may take up.
 MEMORY_BYTES = 8 << 20
@@ -115,6 +114,6 @@ class WordEncoder:
         return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-@cache
+@kept
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

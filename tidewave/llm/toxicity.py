@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, words
+from .common import materialize, release, slices, words
 from .shingles import shingle_hashes
 
 LAMBDA = 0.7
@@ -198,6 +198,7 @@ def nystrom_svm(units: list[str], labels: np.ndarray, landmarks: list[str], cost
 def _unit_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, unit, toxic) once for each unit of a labelled text."""
     for batch in batches:
+        release()
         docs, toxic = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for at, texts in slices(batch.column(1)):
             units, ids, owner = units_of(texts)
@@ -313,6 +314,7 @@ def _mining_task(weights: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value, window = largest_windows(batch.column(0).to_pylist(), weights)
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(window, pa.string()), pa.array(value)], names=["unit", "margin"])
 
     return run
@@ -336,6 +338,7 @@ def _calibrated(weights: np.ndarray, margin: np.ndarray, toxic: np.ndarray) -> M
 def _margin_task(model: Model, score: bool = True):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             for at, texts in slices(batch.column(1)):
                 value = model.margins(texts)
                 value = model.scores(value) if score else value
@@ -365,6 +368,7 @@ def clean(docs: DataFrame, model: Model, *, text_col="text", threshold: float =
 
     def passes(texts: pa.Array) -> pa.Array:
         out = [model.scores(model.margins(part)) < threshold for _, part in slices(texts)]
+        release()
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.filter(F.arrow_udf(passes, "boolean")(F.col(text_col)))
