@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Texts are worked on in slices of about this many UTF-8 bytes, so that a batch of long texts stays small in memory.
 SLICE_BYTES = 4 << 20
@@ -28,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table. They go over as Arrow: from a list, Spark makes an RDD that each executor reads with a Python
+    daemon and workers of its own, beside those of the functions (some 80 MB)."""
+    kind = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kind)
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), kind)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's limit of an Arrow batch to ARROW_BATCH_BYTES; a lower one stays. Results don't depend on it."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

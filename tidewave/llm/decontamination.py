@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.08
 #: Characters of normalised items in one block, which every worker holds as an automaton.
@@ -166,6 +168,7 @@ def _find_task(key: str, items, rate: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, items, rate)
         for batch in batches:
+            release()
             out = [
                 (doc_id, *found)
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
@@ -199,6 +202,7 @@ def find(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text",
 
 def _holds(key: str, items, rate: float):
     def run(texts: pa.Array) -> pa.Array:
+        release()
         matcher = _matcher(key, items, rate)
         return pa.array([bool(matcher.find(normalise(t.as_py()), first=True)) for t in texts], pa.bool_())
 

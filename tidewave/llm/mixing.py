@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import local_rows, materialize
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -101,7 +101,7 @@ def plan(rows: DataFrame, weights=WEIGHTS) -> tuple[DataFrame, bool]:
         epochs = min(MAX_EPOCHS, int(target // r["n"])) if r["n"] else 0
         out.append((r["source"], r["n"], target, epochs, target - epochs * r["n"]))
     small = len(out) <= BROADCAST_SOURCES
-    budgets = spark.createDataFrame(out, "source string, source_size long, target double, _epochs long, _left double")
+    budgets = local_rows(spark, out, "source string, source_size long, target double, _epochs long, _left double")
     before = W.partitionBy("source").orderBy("_end").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     # The bucket where the budget ends: it begins below the budget and ends at or above it.

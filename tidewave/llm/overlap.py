@@ -157,11 +157,16 @@ def _sets(text: Column, shingle: int) -> Column:
     return F.arrow_udf(found, "node long, set array<long>")(text.cast("binary"))
 
 
+def _sampled(texts: DataFrame, shingle: int) -> DataFrame:
+    """(_hash, s): the shingles of a sample of the different texts. With explode(), Spark would look for empty sets first, by
+    shingling each text once more in a second Python worker of the task."""
+    sample = texts.filter(F.pmod("_hash", F.lit(SAMPLE)) == 0).select("_hash", _sets(F.col("_text"), shingle).alias("_s"))
+    return sample.select("_hash", F.explode_outer("_s.set").alias("s")).filter("s IS NOT NULL").distinct()
+
+
 def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample of the different texts, sorted, and in how many of these each is."""
-    sample = texts.filter(F.pmod("_hash", F.lit(SAMPLE)) == 0).select("_hash", _sets(F.col("_text"), shingle).alias("_s"))
-    each = sample.select("_hash", F.explode("_s.set").alias("s")).distinct()
-    rows = each.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(FREQUENT_AT_MOST).toArrow()
+    rows = _sampled(texts, shingle).groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(FREQUENT_AT_MOST).toArrow()
     found = rows["s"].to_numpy().view(np.uint64)
     order = np.argsort(found)
     return found[order], rows["count"].to_numpy()[order]

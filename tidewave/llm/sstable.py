@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, release, slices
+from .common import fresh_dir, local_rows, release, slices
 from .tokens import encoder
 
 MAGIC = b"TWTOKEN1"
@@ -268,7 +268,7 @@ def read(spark, files: list) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, one task a file."""
     before = [0, *accumulate(f["tokens"] for f in files)]
     rows = [(f["file"], b) for f, b in zip(files, before, strict=False)]
-    listed = spark.createDataFrame(rows, "file string, start long").repartition(max(1, len(rows)))
+    listed = local_rows(spark, rows, "file string, start long").repartition(max(1, len(rows)))
     return listed.mapInArrow(_read_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

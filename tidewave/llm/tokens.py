@@ -36,11 +36,10 @@ class WordEncoder:
 
     def __init__(self, path: str, memory_bytes: int = MEMORY_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.pieces = Tokenizer.from_file(path)
-        self.pieces.normalizer = normalizers.Sequence([])
+        self.pieces = Tokenizer(self.whole.model)  # shared: a worker holds the vocabulary once; simple words hold no added tokens
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
